@@ -112,7 +112,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, least_revisit: i
             for page_id, url, html, first in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if out is None:
                     fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(f"{root}/.{name}")
+                    out = fs.open_output_stream(f"{root}/.{name}", compression=None)
                 record_id = str(uuid.uuid4())
                 data = record(record_id, page_id, url, html, first)
                 if plain and len(plain) + len(data) > frame_bytes:
