@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, mixing, top_k, warc
+from . import decontaminate, jaccard_join, language_id, license_scan, mixing, top_k, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,11 @@ def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of three-word shingles are similar by 0.9 or more."""
+    return jaccard_join.components(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from the rows that aren't held out."""
     return language_id.train_and_predict(table(spark, sf_dir, "documents"))
@@ -54,6 +59,20 @@ f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
     CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
 
+OP3 = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words),
+sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+tokens AS (SELECT doc_id, unnest(s) AS t FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * m >= 90 * (x.n + y.n - m)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS c FROM sizes UNION SELECT b.b, reach.c FROM reach JOIN both_ways b ON b.a = reach.doc_id),
+least AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id FROM sizes JOIN least USING (doc_id)"""
+
 OP7 = r"""
 WITH RECURSIVE words AS (
     SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -79,6 +98,7 @@ SELECT * FROM r WHERE rank <= 5"""
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op2_warc_bundles": (op2_warc_bundles, OP2),
+    "op3_jaccard_join": (op3_jaccard_join, OP3),
     "op5_language_id": (op5_language_id, None),
     "op6_license_scan": (op6_license_scan, license_scan.oracle()),
     "op7_decontaminate": (op7_decontaminate, OP7),
