@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, license_scan, mixing, top_k, warc
+from . import decontaminate, jaccard_join, language_id, license_scan, mixing, suffix_dedup, top_k, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,11 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps when strings of 50 bytes that stand in earlier documents go."""
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's language, learned from the rows that aren't held out."""
     return language_id.train_and_predict(table(spark, sf_dir, "documents"))
@@ -99,6 +104,7 @@ SELECT * FROM r WHERE rank <= 5"""
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op2_warc_bundles": (op2_warc_bundles, OP2),
     "op3_jaccard_join": (op3_jaccard_join, OP3),
+    "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op5_language_id": (op5_language_id, None),
     "op6_license_scan": (op6_license_scan, license_scan.oracle()),
     "op7_decontaminate": (op7_decontaminate, OP7),
