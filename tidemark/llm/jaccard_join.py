@@ -94,24 +94,17 @@ def chunk_links(members: DataFrame, tasks: DataFrame, num: int, den: int) -> Dat
     return rows.groupBy("block", "c1", "c2").applyInPandas(meet, "a long, b long")
 
 
-def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, chunk_tokens: int = 400_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): documents linked where den * intersection >= num * union of their shingle sets.
-
-    n_links counts the spanning links that were found for the document's set, not all its links.
-    """
-    made = shingle_sets(docs, k, num, den).withColumn("row", F.monotonically_increasing_id())
-    rows = cut(made)
-    key = ["h1", "h2", "n"]
-    equal = rows.where("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("m")).select(*key, F.col("m.doc_id").alias("first"), F.col("m.row").alias("node"))
-    nodes = rows.join(equal.withColumnRenamed("node", "row").select("row", "first"), "row")
-    blocks = blocks_of(nodes.select(F.col("row").alias("node"), "need", "tokens"))
+def placed_in_chunks(nodes: DataFrame, num: int, den: int, chunk_tokens: int) -> DataFrame:
+    """The nodes (node, block, n, ...) with their size class and chunk: about chunk_tokens tokens of one class by hash. Similar sets lie in the same or neighbouring classes."""
     size_class = F.floor(F.log("n") / (1.02 * math.log(den / num))).cast("int")
-    placed = cut(blocks.join(nodes.select(F.col("row").alias("node"), *key, "doc_id"), "node").select("node", F.col("component").alias("block"), *key, "doc_id", size_class.alias("class")))
-    counts = placed.groupBy("block", "class").agg(F.sum("n").alias("tokens"))
-    placed = placed.join(counts, ["block", "class"]).withColumn("chunk", F.concat_ws(":", F.lpad("class", 4, "0"), F.lpad(F.pmod(F.xxhash64("node"), F.ceil(F.col("tokens") / chunk_tokens)).cast("string"), 9, "0"))).select("node", "block", "chunk", "class", *key, "doc_id")
-    wanted = docs.join(placed.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = shingle_sets(wanted, k, num, den, whole=True).select("doc_id", *key, "tokens")
-    members = cut(placed.join(sets, ["doc_id", *key]).select("node", "block", "chunk", "class", "tokens"))
+    nodes = cut(nodes.withColumn("class", size_class))
+    counts = nodes.groupBy("block", "class").agg(F.sum("n").alias("class_tokens"))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("class_tokens") / chunk_tokens))
+    return nodes.join(counts, ["block", "class"]).withColumn("chunk", F.concat_ws(":", F.lpad("class", 4, "0"), F.lpad(part.cast("string"), 9, "0"))).drop("class_tokens")
+
+
+def tree_components(members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b), components (node, component)) of members (node, block, chunk, class, tokens), by tree joins of their chunks."""
     chunks = members.select("block", "chunk", "class").distinct()
     hubs = chunks.groupBy("block", "class").agg(F.min("chunk").alias("hub"))
     near = F.abs(F.col("l.class") - F.col("r.class")) <= 1
@@ -128,6 +121,25 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, chunk
     if not rest.isEmpty():
         links = cut(links.unionByName(chunk_links(labels, rest, num, den)))
         joined = connected_components(links)
+    return links, joined
+
+
+def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, chunk_tokens: int = 400_000) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links): documents linked where den * intersection >= num * union of their shingle sets.
+
+    n_links counts the spanning links that were found for the document's set, not all its links.
+    """
+    made = shingle_sets(docs, k, num, den).withColumn("row", F.monotonically_increasing_id())
+    rows = cut(made)
+    key = ["h1", "h2", "n"]
+    equal = rows.where("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("m")).select(*key, F.col("m.doc_id").alias("first"), F.col("m.row").alias("node"))
+    nodes = rows.join(equal.withColumnRenamed("node", "row").select("row", "first"), "row")
+    blocks = blocks_of(nodes.select(F.col("row").alias("node"), "need", "tokens"))
+    placed = placed_in_chunks(blocks.join(nodes.select(F.col("row").alias("node"), *key, "doc_id"), "node").withColumnRenamed("component", "block"), num, den, chunk_tokens)
+    wanted = docs.join(placed.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = shingle_sets(wanted, k, num, den, whole=True).select("doc_id", *key, "tokens")
+    members = cut(placed.join(sets, ["doc_id", *key]).select("node", "block", "chunk", "class", "tokens"))
+    links, joined = tree_components(members, num, den)
     degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
     of_node = equal.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of_node.groupBy("component").agg(F.min("first").alias("component_id"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, license_scan, mixing, suffix_dedup, top_k, warc
+from . import decontaminate, jaccard_join, language_id, license_scan, mixing, paragraph_dedup, suffix_dedup, top_k, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to earlier documents with the same or similar paragraphs."""
+    return paragraph_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record per page, written to seekable bundles and read back."""
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -102,6 +107,7 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sc
 SELECT * FROM r WHERE rank <= 5"""
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_paragraph_dedup": (op1_paragraph_dedup, None),
     "op2_warc_bundles": (op2_warc_bundles, OP2),
     "op3_jaccard_join": (op3_jaccard_join, OP3),
     "op4_suffix_dedup": (op4_suffix_dedup, None),

@@ -44,13 +44,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(ts.BYTE_CODE[data] * ts.table("up", ts.BASE, len(data)), out=sums[1:], dtype=np.uint64)
     grams = ts.mix((sums[GRAM:] - sums[:-GRAM]) * ts.table("down", ts.INVERSE, len(data) + 1)[: len(data) - GRAM + 1])
-    least, place, width, want = grams, np.arange(len(grams), dtype=np.int32), 1, length - GRAM + 1
-    while width < want:
-        step = min(width, want - width)
-        left = least[:-step] <= least[step:]
-        place = np.where(left, place[:-step], place[step:])
-        least = np.where(left, least[:-step], least[step:])
-        width += step
+    place = ts.minimum_places(grams, length - GRAM + 1)
     inside = np.zeros(n + 1, dtype=np.int32)  # windows that lie in one row
     first, last = offsets[:-1], offsets[1:] - length
     fits = last >= first

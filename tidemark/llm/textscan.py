@@ -104,6 +104,25 @@ def runs(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def minimum_places(values: np.ndarray, want: int) -> np.ndarray:
+    """For each window of ``want`` values the place of the smallest, of equals the first."""
+    least, place, width = values, np.arange(len(values), dtype=np.int32), 1
+    while width < want:
+        step = min(width, want - width)
+        left = least[:-step] <= least[step:]
+        place = np.where(left, place[:-step], place[step:])
+        least = np.where(left, least[:-step], least[step:])
+        width += step
+    return place
+
+
+def sequence_hashes(hashes: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Hash of each stretch hashes[first:after]."""
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * table("up", BASE, len(hashes)), out=sums[1:], dtype=np.uint64)
+    return mix((sums[after] - sums[first]) * table("down", INVERSE, len(hashes) + 1)[first] + (after - first).astype(np.uint64))
+
+
 def row_runs(hashes: np.ndarray, counts: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """For each row, its k-word shingles in order; a row of fewer words gives its whole sequence as one, one without words none."""
     whole = runs(hashes, k)
