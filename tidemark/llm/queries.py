@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, language_id, license_scan, mixing, paragraph_dedup, suffix_dedup, top_k, warc
+from . import decontaminate, html_wrapper, jaccard_join, language_id, license_scan, mixing, paragraph_dedup, suffix_dedup, top_k, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 OP2 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
@@ -116,4 +121,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op7_decontaminate": (op7_decontaminate, OP7),
     "op8_top_k": (op8_top_k, OP8),
     "op9_mixing": (op9_mixing, None),
+    "op10_html_wrapper": (op10_html_wrapper, None),
 }
