@@ -1,4 +1,61 @@
 """Registered queries of the analytics operators: name to (Spark query, DuckDB SQL or None)."""
 
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import features as fx
+from ..operators import feature_frame
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, tuple[Query, str | None]] = {}
 FLAGSHIP = "features_all"
-QUERIES: dict = {}
+BENCHMARK = "purchase"
+DIGITS = 6
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None):
+    """Registers a query under a name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = (f, sql)
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, keep: list[str], values: list[str]) -> DataFrame:
+    """Values to DIGITS decimals (and -0 as 0), so that engines that add in another order agree."""
+    return df.select(*keep, *[(F.round(F.col(c).cast("double"), DIGITS) + F.lit(0.0)).alias(c) for c in values])
+
+
+def sql_rounded(values: list[str]) -> str:
+    return ", ".join(f"round(CAST({c} AS DOUBLE), {DIGITS}) + 0.0 AS {c}" for c in values)
+
+
+_PARTS, _LAST = feature_frame.duckdb_frame(BENCHMARK)
+FRAME_SQL = "WITH RECURSIVE " + ",\n".join(_PARTS)
+
+
+def features_sql(names: list[str]) -> str:
+    return f"{FRAME_SQL}\nSELECT symbol, ts, {sql_rounded(names)} FROM {_LAST}"
+
+
+def _block(names: list[str]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        frame = feature_frame.from_events(table(spark, sf_dir, "events"), BENCHMARK)
+        return rounded(frame, ["symbol", "ts"], names)
+
+    return run
+
+
+QUERIES[FLAGSHIP] = (_block(sorted(fx.NAMES)), features_sql(sorted(fx.NAMES)))
+for _name, _names in fx.BLOCKS.items():
+    QUERIES[f"features_{_name}"] = (_block(sorted(_names)), features_sql(sorted(_names)))
