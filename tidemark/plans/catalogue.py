@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
-from ..operators import feature_frame
+from ..functions.dialect import DUCKDB, doubles
+from ..operators import feature_frame, labels, metrics, reports, simulator, validation
+from ..operators.asof import asof
+from ..sources import bars, exchange
+from ..streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -59,3 +63,216 @@ def _block(names: list[str]) -> Query:
 QUERIES[FLAGSHIP] = (_block(sorted(fx.NAMES)), features_sql(sorted(fx.NAMES)))
 for _name, _names in fx.BLOCKS.items():
     QUERIES[f"features_{_name}"] = (_block(sorted(_names)), features_sql(sorted(_names)))
+
+
+# Bars and series
+
+
+def _bars(step_ms: int) -> Query:
+    return lambda spark, d: bars.candles(table(spark, d, "events"), step_ms).select("symbol", "open_time", "ts", "open", "high", "low", "close", "volume", F.round("quote_volume", DIGITS).alias("quote_volume"))
+
+
+for _name, _step in (("candles_1h", bars.HOUR_MS), ("candles_4h", 4 * bars.HOUR_MS)):
+    QUERIES[_name] = (_bars(_step), f"SELECT symbol, open_time, ts, open, high, low, close, volume, round(quote_volume, {DIGITS}) AS quote_volume FROM ({bars.duckdb(_step)})")
+for _column, _make in (("funding_rate", bars.funding_rates), ("premium_index_close", bars.premium_index), ("open_interest", bars.open_interest)):
+    QUERIES[f"series_{_column}"] = (lambda spark, d, make=_make, c=_column: rounded(make(table(spark, d, "events")), ["symbol", "ts"], [c]), f"SELECT symbol, ts, {sql_rounded([_column])} FROM ({bars.duckdb_series(_column)})")
+
+
+@query(
+    "asof_events_candles",
+    f"SELECT e.event_id, c.ts AS bar_ts, c.close AS bar_close FROM (SELECT event_id, event_type AS symbol, CAST(epoch_ms(ts) AS BIGINT) AS ts FROM events) e ASOF LEFT JOIN ({bars.duckdb()}) c ON c.symbol = e.symbol AND c.ts <= e.ts",
+)
+def asof_events_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with the last bar closed before it; keys are split by day, so a hot symbol is spread over tasks."""
+    events = table(spark, sf_dir, "events")
+    left = events.select("event_id", F.col("event_type").alias("symbol"), bars.epoch_ms(F.col("ts").cast("timestamp_ntz")).cast("long").alias("ts"))
+    right = bars.candles(events).select("symbol", "ts", F.col("ts").alias("bar_ts"), F.col("close").alias("bar_close"))
+    return asof(left, right, "symbol", "ts", ["bar_ts", "bar_close"], bucket=validation.DAY_MS).select("event_id", "bar_ts", "bar_close")
+
+
+@query(
+    "tumbling_bars",
+    f"SELECT symbol, open_time, open, high, low, close, CAST(volume AS BIGINT) AS volume FROM ({bars.duckdb(4 * bars.HOUR_MS)})",
+)
+def tumbling_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming plan on a table."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return live.tumbling_bars(table(spark, sf_dir, "events")).withColumn("open_time", F.unix_millis("open_time"))
+
+
+@query(
+    "payload_klines",
+    f"SELECT symbol, open_time, open, high, low, close, volume FROM ({bars.duckdb()})",
+)
+def payload_klines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars packed as exchange answers of a symbol and day, and mapped back."""
+    c = bars.candles(table(spark, sf_dir, "events"))
+    row = F.array(*[F.col(x).cast("string") for x in ("open_time", "open", "high", "low", "close", "volume")], F.lit("0"), F.col("quote_volume").cast("string"))
+    payloads = c.groupBy("symbol", F.floor(F.col("open_time") / validation.DAY_MS)).agg(F.to_json(F.collect_list(row)).alias("payload")).select("symbol", "payload")
+    return exchange.klines(payloads, "b").select("symbol", "open_time", "open", "high", "low", "close", "volume")
+
+
+@query(
+    "request_windows",
+    "SELECT CAST(i AS INTEGER) AS k, a + i * 36000000 AS start, least(a + i * 36000000 + 32400000, b) AS \"end\" FROM (SELECT a, b, unnest(range(0, (b - a) // 36000000 + 1)) AS i FROM (SELECT min(open_time) AS a, max(open_time) AS b FROM (" + bars.duckdb() + ")))",
+)
+def request_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of ten bars over the table's time range."""
+    r = bars.candles(table(spark, sf_dir, "events")).agg(F.min("open_time").alias("a"), F.max("open_time").alias("b")).first()
+    return exchange.request_windows(spark, r["a"], r["b"], bars.HOUR_MS, 10)
+
+
+# Labels, folds, weights
+
+_LABEL_PARTS, _LABELLED = feature_frame.duckdb_levels(_LAST, labels.label_levels(labels.Barriers(), DUCKDB), "lab")
+LABEL_SQL = FRAME_SQL + ",\n" + ",\n".join(_LABEL_PARTS)
+LABEL_INPUTS = ["realized_vol_1h", "rsi_1h", "market_breadth_ema_fast_slow_1h", "ema_slope_4h", "ema_fast_slow", "volume_ratio_1h"]
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = fx.resolve(LABEL_INPUTS)
+    return labels.label(feature_frame.from_events(table(spark, sf_dir, "events"), BENCHMARK, wanted))
+
+
+_LABEL_VALUES = ["barrier_stop_pct", "barrier_take_pct", "long_pnl", "short_pnl"]
+
+
+@query("triple_barrier_labels", f"{LABEL_SQL} SELECT symbol, ts, CAST(horizon AS INTEGER) AS horizon, CAST(Target AS INTEGER) AS Target, {sql_rounded(_LABEL_VALUES)} FROM {_LABELLED}")
+def triple_barrier_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Horizons, barriers, outcomes and labels of every bar."""
+    return rounded(labelled(spark, sf_dir), ["symbol", "ts", F.col("horizon").cast("int").alias("horizon"), F.col("Target").cast("int").alias("Target")], _LABEL_VALUES)
+
+
+@query("symbol_profile", f"{LABEL_SQL} SELECT symbol, count(*) AS n_rows, count(DISTINCT ts) AS n_ts, min(ts) AS first_ts, max(ts) AS last_ts, CAST(count(*) FILTER (Target = 1) AS BIGINT) AS longs, CAST(count(*) FILTER (Target = -1) AS BIGINT) AS shorts, CAST(count(*) FILTER (Target = 0) AS BIGINT) AS flats FROM {_LABELLED} GROUP BY symbol")
+def symbol_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, times and targets of each symbol."""
+    return metrics.profile(labelled(spark, sf_dir))
+
+
+@query("final_training_rows", f"{LABEL_SQL} SELECT symbol, ts, {sql_rounded(LABEL_INPUTS)}, CAST(Target AS INTEGER) AS Target FROM {_LABELLED} WHERE rows_left >= 20 AND {' AND '.join(f'{c} IS NOT NULL' for c in LABEL_INPUTS + ['barrier_stop_pct'])}")
+def final_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What training sees: no tail, no missing value."""
+    rows = labels.finalise(labelled(spark, sf_dir), [*LABEL_INPUTS, "barrier_stop_pct"])
+    return rows.select("symbol", "ts", *[(F.round(c, DIGITS) + F.lit(0.0)).alias(c) for c in LABEL_INPUTS], F.col("Target").cast("int").alias("Target"))
+
+
+_LINE = f"line AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM ({bars.duckdb()})))"
+
+
+@query(
+    "expanding_folds",
+    f"WITH {_LINE}, f AS (SELECT *, n // 6 AS size, unnest([1, 2, 3, 4, 5]) AS fold FROM line), s AS (SELECT *, n - (6 - fold) * size AS start FROM f) SELECT CAST(fold AS INTEGER) AS fold, ts, CASE WHEN i >= start AND i < start + size THEN 'test' ELSE 'train' END AS role FROM s WHERE i >= start AND i < start + size OR i < start - CASE WHEN start > 20 THEN 20 ELSE 0 END",
+)
+def expanding_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five expanding folds with a purge gap of twenty bars."""
+    return validation.expanding_folds(bars.candles(table(spark, sf_dir, "events")), 5, 20)
+
+
+_WEIGHT = "least(greatest(exp(-ln(2.0::DOUBLE) / 180 * d) * CASE WHEN d <= 60 THEN 1.5 ELSE 1.0 END * (1 + greatest(0.0, least((least(abs(coalesce(market_breadth_ema_fast_slow_1h, 0.5) * 2 - 1), 1.0) + tanh(abs(coalesce(ema_slope_4h, 0.0)) / 0.08)) / 2 * 0.18, 0.25))), 0.8), 1.35)"
+
+
+@query("sample_weights", f"{LABEL_SQL} SELECT symbol, ts, round(CAST({_WEIGHT} AS DOUBLE), {DIGITS}) AS weight FROM (SELECT *, (max(ts) OVER () - ts) / 86400000.0::DOUBLE AS d FROM {_LABELLED})")
+def sample_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all labelled rows."""
+    return rounded(validation.sample_weights(labelled(spark, sf_dir)), ["symbol", "ts"], ["weight"])
+
+
+@query("winsorised", f"{LABEL_SQL}, q AS (SELECT {', '.join(f'quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}' for c in LABEL_INPUTS)} FROM {_LABELLED}) SELECT symbol, ts, {', '.join(f'round(CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest({c}, lo_{c}), hi_{c}) END, {DIGITS}) + 0.0 AS {c}' for c in LABEL_INPUTS)} FROM {_LABELLED}, q")
+def winsorised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features clipped to their first and last hundredth."""
+    rows = labelled(spark, sf_dir)
+    return rounded(validation.clipped(rows, validation.clip_bounds(rows, LABEL_INPUTS)), ["symbol", "ts"], LABEL_INPUTS)
+
+
+# Metrics, on probabilities that are a fixed function of a feature
+
+_P = "round(1.0 / (1.0 + exp(-((rsi_1h - 50.0) * 0.05))), 3)"
+_SCORED = f"scored AS (SELECT CASE WHEN Target = 1 THEN 1 ELSE 0 END AS y, {doubles(_P)} AS p_long, 1 - {doubles(_P)} AS p_short FROM {_LABELLED} WHERE Target <> 0 AND rsi_1h IS NOT NULL)"
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labelled(spark, sf_dir).where("Target <> 0 and rsi_1h is not null").withColumn("p_long", F.expr(doubles(_P)))
+    return rows.select(F.when(F.col("Target") == 1, 1).otherwise(0).alias("y"), "p_long", (1 - F.col("p_long")).alias("p_short"))
+
+
+_CM = "c AS (SELECT count(*) FILTER (p_long >= 0.5 AND y = 1) AS tp, count(*) FILTER (p_long < 0.5 AND y = 0) AS tn, count(*) FILTER (p_long >= 0.5 AND y = 0) AS fp, count(*) FILTER (p_long < 0.5 AND y = 1) AS fn, avg(y) AS base_rate FROM scored)"
+_METRICS = ["accuracy", "balanced_accuracy", "f1_macro", "mcc", "base_rate"]
+
+
+@query(
+    "classification_metrics",
+    f"""{LABEL_SQL}, {_SCORED}, {_CM} SELECT CAST(tp AS BIGINT) AS tp, CAST(tn AS BIGINT) AS tn, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round((tp + tn) / (tp + tn + fp + fn), {DIGITS}) AS accuracy, round((tp / (tp + fn) + tn / (tn + fp)) / 2, {DIGITS}) AS balanced_accuracy,
+    round((2 * tp / (2 * tp + fp + fn) + 2 * tn / (2 * tn + fn + fp)) / 2, {DIGITS}) AS f1_macro, round((tp * tn - fp * fn) / sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)), {DIGITS}) AS mcc, round(base_rate, {DIGITS}) AS base_rate FROM c""",
+)
+def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion counts and the scores made of them."""
+    return rounded(metrics.classification(scored(spark, sf_dir)), ["tp", "tn", "fp", "fn"], _METRICS)
+
+
+@query(
+    "ranking_metrics",
+    f"""{LABEL_SQL}, {_SCORED}, d AS (SELECT p_long, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM scored GROUP BY 1), r AS (SELECT *, sum(pos) OVER (ORDER BY p_long DESC) AS tp, sum(neg) OVER (ORDER BY p_long DESC) AS fp FROM d),
+    auc AS (SELECT sum(CASE WHEN a.p_long > b.p_long THEN a.pos * b.neg WHEN a.p_long = b.p_long THEN a.pos * b.neg / 2 ELSE 0 END) AS s FROM d a, d b)
+    SELECT round((SELECT s FROM auc) / (sum(pos) * sum(neg)), {DIGITS}) AS roc_auc, round(sum(pos * tp / (tp + fp)) / sum(pos), {DIGITS}) AS average_precision FROM r""",
+)
+def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area under the curve and average precision."""
+    return rounded(metrics.ranking(scored(spark, sf_dir)), [], ["roc_auc", "average_precision"])
+
+
+_T_VALUES = ["coverage", "signal_accuracy", "long_precision", "short_precision", "long_recall_all", "short_recall_all"]
+
+
+@query(
+    "threshold_breakdown",
+    f"""{LABEL_SQL}, {_SCORED}, e AS (SELECT *, p_short >= t AS s, p_long >= t AND NOT p_short >= t AS l FROM scored, (SELECT unnest([0.55::DOUBLE, 0.6, 0.65, 0.7]) AS t)),
+    g AS (SELECT t AS threshold, count(*) AS n, count(*) FILTER (l) AS ls, count(*) FILTER (s) AS ss, count(*) FILTER (l AND y = 1) AS lt, count(*) FILTER (s AND y = 0) AS st, count(*) FILTER (y = 1) AS yl, count(*) FILTER (y = 0) AS ys FROM e GROUP BY t)
+    SELECT threshold, CAST(ls + ss AS BIGINT) AS signals, round((ls + ss) / n, {DIGITS}) AS coverage, CAST(ls AS BIGINT) AS long_signals, CAST(ss AS BIGINT) AS short_signals, CAST(n - ls - ss AS BIGINT) AS no_trade, round((lt + st) / nullif(ls + ss, 0), {DIGITS}) AS signal_accuracy,
+    round(lt / nullif(ls, 0), {DIGITS}) AS long_precision, round(st / nullif(ss, 0), {DIGITS}) AS short_precision, round(lt / yl, {DIGITS}) AS long_recall_all, round(st / ys, {DIGITS}) AS short_recall_all FROM g""",
+)
+def threshold_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals by confidence threshold."""
+    return rounded(metrics.thresholds(scored(spark, sf_dir)), ["threshold", "signals", "long_signals", "short_signals", "no_trade"], _T_VALUES)
+
+
+# Reports, on the outcomes of all labelled bars as trades
+
+_TRADES = f"t AS (SELECT 'r' AS run_id, 'trade' AS kind, ts, symbol, CASE WHEN Target = 1 THEN 'LONG' ELSE 'SHORT' END AS direction, CASE WHEN Target = 1 THEN long_pnl ELSE short_pnl END * 100 AS pnl_abs, 0.08::DOUBLE AS commission FROM {_LABELLED} WHERE Target <> 0)"
+
+
+def outcome_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    won = F.when(F.col("Target") == 1, F.col("long_pnl")).otherwise(F.col("short_pnl"))
+    t = labelled(spark, sf_dir).where("Target <> 0")
+    return t.select(F.lit("r").alias("run_id"), F.lit("trade").alias("kind"), "ts", "symbol", F.when(F.col("Target") == 1, "LONG").otherwise("SHORT").alias("direction"), F.lit("TP").alias("reason"), won.alias("pnl_pct"), (won * 100).alias("pnl_abs"), F.lit(0.08).alias("commission"))
+
+
+@query("report_by_month", f"{LABEL_SQL}, {_TRADES} SELECT strftime(make_timestamp(ts * 1000), '%Y-%m') AS month, round(sum(pnl_abs), 4) AS pnl_abs, CAST(count(*) AS BIGINT) AS trades, CAST(count(*) FILTER (pnl_abs > 0) AS BIGINT) AS wins, CAST(count(*) FILTER (pnl_abs <= 0) AS BIGINT) AS losses FROM t GROUP BY 1")
+def report_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return reports.by_month(outcome_trades(spark, sf_dir)).select("month", F.round("pnl_abs", 4).alias("pnl_abs"), "trades", "wins", "losses")
+
+
+@query("report_by_symbol", f"{LABEL_SQL}, {_TRADES} SELECT symbol, CAST(count(*) AS BIGINT) AS trades, CAST(count(*) FILTER (pnl_abs > 0) AS BIGINT) AS wins, round(sum(pnl_abs), 4) AS pnl_abs, round(count(*) FILTER (pnl_abs > 0) / count(*) * 100, 4) AS winrate FROM t GROUP BY 1")
+def report_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.by_symbol(outcome_trades(spark, sf_dir)).select("symbol", "trades", "wins", F.round("pnl_abs", 4).alias("pnl_abs"), F.round("winrate", 4).alias("winrate"))
+
+
+@query("report_by_direction", f"{LABEL_SQL}, {_TRADES} SELECT direction, CAST(count(*) AS BIGINT) AS trades, CAST(count(*) FILTER (pnl_abs > 0) AS BIGINT) AS wins, round(sum(pnl_abs), 4) AS pnl_abs FROM t GROUP BY 1")
+def report_by_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.by_direction(outcome_trades(spark, sf_dir)).select("direction", "trades", "wins", F.round("pnl_abs", 4).alias("pnl_abs"))
+
+
+@query("report_totals", f"{LABEL_SQL}, {_TRADES} SELECT CAST(count(*) AS BIGINT) AS trades, CAST(count(*) FILTER (pnl_abs > 0) AS BIGINT) AS wins, round(sum(commission), 4) AS fees, round(sum(pnl_abs), 4) AS pnl_abs, round(sum(pnl_abs), 4) AS return_pct, round(avg(pnl_abs), 4) AS expectancy, coalesce(round(sum(pnl_abs) FILTER (pnl_abs > 0) / -sum(pnl_abs) FILTER (pnl_abs < 0), 4), 'Infinity'::DOUBLE) AS profit_factor FROM t")
+def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.totals(outcome_trades(spark, sf_dir), 100.0).select("trades", "wins", *[F.round(c, 4).alias(c) for c in ("fees", "pnl_abs", "return_pct", "expectancy", "profit_factor")])
+
+
+@query("portfolio_simulation", None)
+def portfolio_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two halves of the timeline as runs of the simulator."""
+    rows = labelled(spark, sf_dir).where("rsi_1h is not null").withColumn("p_long", F.expr(doubles(_P)))
+    half = F.when(F.col("ts") < F.lit(1_705_363_200_000), "first").otherwise("second")
+    signals = rows.select(half.alias("run_id"), "symbol", "ts", "p_long", (1 - F.col("p_long")).alias("p_short"), "barrier_stop_pct", "barrier_take_pct")
+    c = bars.candles(table(spark, sf_dir, "events"))
+    candles = c.select(F.when(F.col("ts") < F.lit(1_705_363_200_000), "first").otherwise("second").alias("run_id"), "symbol", "open_time", "open", "high", "low", "close")
+    return simulator.simulate(simulator.steps(candles, signals, bars.HOUR_MS), simulator.Rules(balance=10_000.0))
