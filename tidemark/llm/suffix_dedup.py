@@ -1,5 +1,7 @@
 """Exact removal of repeated byte strings by threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
+0. A document whose whole text stands in one with a smaller id loses everything; only the first of each group of equal
+   documents goes on.
 1. Routing. In every window of ``length`` bytes the gram of ``GRAM`` bytes with the smallest hash is its anchor (the first of
    equals), so equal windows have equal anchors at the same place. Per document the distinct anchors' hashes are
    sent out; those of two or more documents come back to their documents.
@@ -29,8 +31,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textscan as ts
+from .shared import cut
 
-GRAM = 24
+GRAM = 16
 SEED_DEPTH = 8
 BORDER = 0xFF  # in no UTF-8 text
 
@@ -155,8 +158,28 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def removed_ranges(docs: DataFrame, length: int = 50, slice_bytes: int = 2_000_000) -> DataFrame:
-    """(doc_id, h, first, after): byte ranges that go; h tells apart the texts of rows that repeat an id. Ranges may touch or overlap."""
+def known(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of rows with an id, dealt by id. It is read three times; Spark shuffles it once and uses the exchange again."""
+    return texts_of(docs).where("doc_id is not null").repartition("doc_id")
+
+
+def notes_on(docs: DataFrame) -> DataFrame:
+    """(doc_id, copies, several) of documents of which there is something to say: hashes of their texts that stand in a smaller id, and whether rows of the id differ in text. Cut."""
+    hashed = texts_of(docs).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"), F.length("text").alias("n"))
+    first = hashed.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    copies = hashed.join(first, ["h", "h2", "n"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("h").alias("copies"))
+    several = hashed.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("doc_id", F.lit(True).alias("several"))
+    return cut(copies.join(several, "doc_id", "full").select("doc_id", "copies", F.coalesce("several", F.lit(False)).alias("several")))
+
+
+def marked(rows: DataFrame, notes: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, mark (tells apart different texts of one id, else 0) and copy."""
+    h = F.xxhash64("text")
+    return rows.join(notes, "doc_id", "left").select(*keep, F.when(F.col("several"), h).otherwise(0).alias("mark"), F.coalesce(F.array_contains("copies", h), F.lit(False)).alias("copy"))
+
+
+def removed_ranges(docs: DataFrame, notes: DataFrame, length: int = 50, slice_bytes: int = 2_000_000) -> DataFrame:
+    """(doc_id, mark, first, after): byte ranges that go, but for whole copies. Ranges may touch or overlap."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +188,7 @@ def removed_ranges(docs: DataFrame, length: int = 50, slice_bytes: int = 2_000_0
                 rows, grams, _, _ = anchors(data, offsets, length)
                 yield pa.RecordBatch.from_arrays([pa.array(ts.signed(grams)), pa.array(ids[lo + rows], pa.int64())], ["gram", "doc_id"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             wanted = batch.column(3)
@@ -181,7 +204,7 @@ def removed_ranges(docs: DataFrame, length: int = 50, slice_bytes: int = 2_000_0
                 rows, grams, low, high = rows[keep], grams[keep], low[keep], high[keep]
                 held = data.tobytes()
                 pieces = [held[a : b + length] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(ids[lo + rows]), pa.array(marks[lo + rows]), pa.array(low - offsets[rows]), pa.array(pieces, pa.binary())], ["gram", "doc_id", "h", "start", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(ids[lo + rows]), pa.array(marks[lo + rows]), pa.array(low - offsets[rows]), pa.array(pieces, pa.binary())], ["gram", "doc_id", "mark", "start", "piece"])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by anchor and rising document, so what a later slice needs of an anchor is one row of each piece seen so far."""
@@ -210,15 +233,15 @@ def removed_ranges(docs: DataFrame, length: int = 50, slice_bytes: int = 2_000_0
         grams = table.column(0).to_numpy()
         last = np.flatnonzero(grams == grams[-1]) if len(grams) else np.zeros(0, np.int64)
         keep = last[np.unique(piece[last], return_index=True)[1]]  # the first row of a piece has its smallest document
-        return table.take(pa.array(np.sort(keep))), pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(table.column(2).to_numpy()[rows]), pa.array(first), pa.array(after)], ["doc_id", "h", "first", "after"])
+        return table.take(pa.array(np.sort(keep))), pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(table.column(2).to_numpy()[rows]), pa.array(first), pa.array(after)], ["doc_id", "mark", "first", "after"])
 
-    rows = texts_of(docs)
-    named = rows.where("doc_id is not null").mapInArrow(name, "gram long, doc_id long")
+    rows = marked(known(docs), notes, ["doc_id", "text"]).where("not copy")
+    named = rows.select("doc_id", "text").mapInArrow(name, "gram long, doc_id long")
     by = Window.partitionBy("gram")
     repeated = named.withColumn("low", F.min("doc_id").over(by)).withColumn("high", F.max("doc_id").over(by)).where("low < high").select("doc_id", "gram")
     wanted = repeated.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
-    pieces = rows.join(wanted, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("h"), "grams").mapInArrow(cut, "gram long, doc_id long, h long, start long, piece binary")
-    return pieces.repartition("gram").sortWithinPartitions("gram", "doc_id").mapInArrow(judge, "doc_id long, h long, first long, after long")
+    pieces = rows.join(wanted, "doc_id").select("doc_id", "text", "mark", "grams").mapInArrow(pieces_of, "gram long, doc_id long, mark long, start long, piece binary")
+    return pieces.repartition("gram").sortWithinPartitions("gram", "doc_id").mapInArrow(judge, "doc_id long, mark long, first long, after long")
 
 
 def kept_ranges(n: int, ranges: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], int, int]:
@@ -240,16 +263,20 @@ def kept_ranges(n: int, ranges: list[tuple[int, int]]) -> tuple[list[tuple[int,
 
 
 def with_ranges(docs: DataFrame, length: int, keep: list[str]) -> DataFrame:
-    """The documents' rows with their text, h and the list of ranges (null if none)."""
-    ranges = removed_ranges(docs, length).groupBy("doc_id").agg(F.collect_list(F.struct("h", "first", "after")).alias("ranges"))
+    """Rows with an id (keep, or doc_id and text) with mark, copy and the list of ranges (null if none)."""
+    notes = notes_on(docs)
+    ranges = removed_ranges(docs, notes, length).groupBy("doc_id").agg(F.collect_list(F.struct("mark", "first", "after")).alias("ranges"))
     if keep:
-        rows = docs.withColumn("__id", F.col("doc_id").cast("long"))
-        return rows.join(ranges.withColumnRenamed("doc_id", "__id").withColumnRenamed("ranges", "__ranges"), "__id", "left").select(*keep, F.xxhash64(F.coalesce("text", F.lit(""))).alias("__h"), "__ranges")
-    return texts_of(docs).join(ranges, "doc_id", "left").select("doc_id", "text", F.xxhash64("text").alias("h"), "ranges")
+        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+        found = marked(rows, notes, ["doc_id", "row"]).join(ranges, "doc_id", "left")
+        return found.select("row.*", F.col("mark").alias("__mark"), F.col("copy").alias("__copy"), F.col("ranges").alias("__ranges"))
+    return marked(known(docs), notes, ["doc_id", "text"]).join(ranges, "doc_id", "left").select("doc_id", "text", "mark", "copy", "ranges")
 
 
-def own_ranges(mark: int, ranges: list[dict] | None) -> list[tuple[int, int]]:
-    return [(r["first"], r["after"]) for r in ranges or () if r["h"] == mark]
+def own_ranges(n: int, length: int, mark: int, copy: bool, ranges: list[dict] | None) -> list[tuple[int, int]]:
+    if copy:
+        return [(0, n)] if n >= length else []
+    return [(r["first"], r["after"]) for r in ranges or () if r["mark"] == mark]
 
 
 def digest(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -262,14 +289,15 @@ def digest(docs: DataFrame, length: int = 50) -> DataFrame:
                 held = data.tobytes()
                 for r in range(hi - lo):
                     text = held[offsets[r] : offsets[r + 1]]
-                    ranges = batch.column(3)[lo + r].as_py()
-                    stay, gone, spans = kept_ranges(len(text), own_ranges(batch.column(2)[lo + r].as_py(), ranges)) if ranges else ([(0, len(text))], 0, 0)
+                    stay, gone, spans = kept_ranges(len(text), own_ranges(len(text), length, *(batch.column(c)[lo + r].as_py() for c in (2, 3, 4))))
                     out.append((len(text), gone, spans, hashlib.sha256(text if not gone else b"".join(text[a:b] for a, b in stay)).hexdigest()))
             columns = zip(*out, strict=True) if out else ((), (), (), ())
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_ranges(docs, length, []).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    others = texts_of(docs).where("doc_id is null").select("doc_id", "text", F.lit(0).cast("long").alias("mark"), F.lit(False).alias("copy"), F.array().cast("array<struct<mark:long,first:long,after:long>>").alias("ranges"))
+    return with_ranges(docs, length, []).mapInArrow(run, kinds).unionByName(others.mapInArrow(run, kinds))
 
 
 def drop_repeats(docs: DataFrame, length: int = 50, least_left: int = 1) -> DataFrame:
@@ -282,11 +310,11 @@ def drop_repeats(docs: DataFrame, length: int = 50, least_left: int = 1) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, ranges = batch.column(len(columns)), batch.column(len(columns) + 1)
+            marks, copies, ranges = (batch.column(len(columns) + c) for c in range(3))
             texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, dtype=bool)
-            for r in np.flatnonzero(ranges.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                data = texts[r].encode()
-                stay, gone, _ = kept_ranges(len(data), own_ranges(marks[r].as_py(), ranges[r].as_py()))
+            for r in np.flatnonzero(ranges.is_valid().to_numpy(zero_copy_only=False) | copies.to_numpy(zero_copy_only=False)).tolist():
+                data = (texts[r] or "").encode()
+                stay, gone, _ = kept_ranges(len(data), own_ranges(len(data), length, marks[r].as_py(), copies[r].as_py(), ranges[r].as_py()))
                 if not gone:
                     continue
                 parts = []
@@ -301,4 +329,4 @@ def drop_repeats(docs: DataFrame, length: int = 50, least_left: int = 1) -> Data
             new = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(new, columns).filter(pa.array(keep))
 
-    return with_ranges(docs, length, columns).mapInArrow(run, docs.schema)
+    return with_ranges(docs, length, columns).mapInArrow(run, docs.schema).unionByName(docs.where("doc_id is null"))
