@@ -1,6 +1,7 @@
 """Streams against the same rows as a table."""
 
 import json
+import os
 
 import pandas as pd
 import pytest
@@ -29,7 +30,9 @@ def run(query, out):
 def lines(tmp_path):
     (tmp_path / "in").mkdir()
     for k in range(3):
-        (tmp_path / "in" / f"{k}.txt").write_text("\n".join(frame(i) for i in range(k * 5, k * 5 + 6)))  # one bar of each file comes again
+        path = tmp_path / "in" / f"{k}.txt"
+        path.write_text("\n".join(frame(i) for i in range(1 + k * 5, k * 5 + 7)))  # one bar of each file comes again
+        os.utime(path, (1_000_000 + 10 * k, 1_000_000 + 10 * k))  # files are read in order of their time
     return tmp_path
 
 
@@ -37,15 +40,15 @@ def test_stream_of_frames(spark, lines):
     source = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(str(lines / "in"))
     bars = live.once_each(live.closed_bars(source))
     run(bars.writeStream.format("parquet").option("checkpointLocation", str(lines / "c1")), str(lines / "o1"))
-    assert sorted(r["start_ms"] for r in spark.read.parquet(str(lines / "o1")).collect()) == list(range(16))
+    assert sorted(r["start_ms"] for r in spark.read.parquet(str(lines / "o1")).collect()) == list(range(1, 17))
 
 
 def test_running_ema(spark, lines):
     source = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(str(lines / "in"))
     run(live.running_ema(live.closed_bars(source), 5).writeStream.format("parquet").option("checkpointLocation", str(lines / "c2")), str(lines / "o2"))
     got = spark.read.parquet(str(lines / "o2")).toPandas().sort_values("start_ms").reset_index(drop=True)
-    want = pd.Series(range(16), dtype=float).ewm(span=5, adjust=False).mean()
-    assert got.start_ms.tolist() == list(range(16)) and got.ema.tolist() == pytest.approx(want.tolist())
+    want = pd.Series(range(1, 17), dtype=float).ewm(span=5, adjust=False).mean()
+    assert got.start_ms.tolist() == list(range(1, 17)) and got.ema.tolist() == pytest.approx(want.tolist())
 
 
 def test_tumbling_stream_equals_table(spark, tmp_path):
