@@ -88,6 +88,17 @@ reach AS (SELECT doc_id, doc_id AS c FROM sizes UNION SELECT b.b, reach.c FROM r
 least AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, n AS n_shingles, component_id FROM sizes JOIN least USING (doc_id)"""
 
+OP4 = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS g FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM h WHERE n >= 50)),
+m AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS low FROM w),
+s AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM m WHERE low < doc_id),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, run),
+nxt AS (SELECT doc_id, a, b, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS na FROM spans),
+sums AS (SELECT h.doc_id, sum(b - a) AS gone, count(*) AS n_spans, substr(any_value(x), 1, 2 * min(a)) || string_agg(substr(x, 2 * b + 1, 2 * (coalesce(na, n) - b)), '' ORDER BY a) AS kept FROM nxt JOIN h USING (doc_id) GROUP BY h.doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM h LEFT JOIN sums USING (doc_id)"""
+
 OP7 = r"""
 WITH RECURSIVE words AS (
     SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -115,7 +126,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_paragraph_dedup": (op1_paragraph_dedup, None),
     "op2_warc_bundles": (op2_warc_bundles, OP2),
     "op3_jaccard_join": (op3_jaccard_join, OP3),
-    "op4_suffix_dedup": (op4_suffix_dedup, None),
+    "op4_suffix_dedup": (op4_suffix_dedup, OP4),
     "op5_language_id": (op5_language_id, None),
     "op6_license_scan": (op6_license_scan, license_scan.oracle()),
     "op7_decontaminate": (op7_decontaminate, OP7),
