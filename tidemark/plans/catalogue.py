@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features as fx
 from ..functions.dialect import DUCKDB, doubles
-from ..operators import feature_frame, labels, metrics, reports, simulator, validation
+from ..operators import feature_frame, labels, metrics, reports, simulator, training, validation
 from ..operators.asof import asof
 from ..sources import bars, exchange
 from ..streaming import live
@@ -276,3 +276,12 @@ def portfolio_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = bars.candles(table(spark, sf_dir, "events"))
     candles = c.select(F.when(F.col("ts") < F.lit(1_705_363_200_000), "first").otherwise("second").alias("run_id"), "symbol", "open_time", "open", "high", "low", "close")
     return simulator.simulate(simulator.steps(candles, signals, bars.HOUR_MS), simulator.Rules(balance=10_000.0))
+
+
+@query("walk_forward_model", None)
+def walk_forward_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-sample probabilities of two folds, by small trees."""
+    columns = ["ema_fast_slow", "realized_vol_1h", "rsi_1h", "volume_ratio_1h"]
+    rows = labels.finalise(labelled(spark, sf_dir), columns)
+    rows.cache()
+    return training.walk_forward(rows, columns, folds=2, trees=training.Trees(rounds=5, step=0.1, depth=3, least_rounds=1))[0]
