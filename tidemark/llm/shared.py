@@ -36,7 +36,6 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     aggregation, so a node with very many edges is no single group, and nothing is collected. Loops and null ends count
     for nothing; repeated edges count once.
     """
-    spark = edges.sparkSession
     now = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
     before = None
     for _ in range(rounds):
@@ -53,4 +52,4 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     tops = now.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops) if spark else now
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops)
