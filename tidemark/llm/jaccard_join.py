@@ -23,7 +23,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,15 +82,36 @@ def chunk_links(members: DataFrame, tasks: DataFrame, num: int, den: int) -> Dat
     """(a, b): links that the tree joins of the tasks (block, c1, c2) find. members: (node, block, chunk, label, tokens)."""
     left = tasks.select("block", "c1", "c2", F.col("c1").alias("chunk"), F.when(F.col("c1") == F.col("c2"), 2).otherwise(0).alias("side"))
     right = tasks.where("c1 <> c2").select("block", "c1", "c2", F.col("c2").alias("chunk"), F.lit(1).alias("side"))
-    rows = members.join(left.unionByName(right), ["block", "chunk"])
+    rows = members.join(left.unionByName(right), ["block", "chunk"]).select(F.xxhash64("block", "c1", "c2").alias("task"), "side", "node", "label", "tokens")
 
-    def meet(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("node")
-        ids = part["node"].to_numpy()
-        found = signature_tree.links([np.asarray(s, dtype=np.int64) for s in part["tokens"]], part["side"].to_numpy(), part["label"].to_numpy(), num, den)
-        return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
-
-    return rows.groupBy("block", "c1", "c2").applyInPandas(meet, "a long, b long")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by task, many small tasks to a batch; one task's sets are held at a time."""
+        now, held = None, {}
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            task, side, node, label = (batch.column(i).to_numpy() for i in range(4))
+            tokens = batch.column(4)
+            at, flat = tokens.offsets.to_numpy(), tokens.values.to_numpy()
+            for r in range(batch.num_rows):
+                if task[r] != now:
+                    found += joined(held)
+                    now, held = task[r], {}
+                held.setdefault(int(node[r]), (side[r], label[r], flat[at[r] : at[r + 1]].copy()))
+            yield pairs(found)
+        yield pairs(joined(held))
+
+    def joined(held: dict[int, tuple]) -> list[tuple[int, int]]:
+        if len(held) < 2:
+            return []
+        ids = list(held)
+        side, label, sets = zip(*held.values(), strict=True)
+        return [(ids[i], ids[j]) for i, j in signature_tree.links(list(sets), np.array(side), np.array(label), num, den)]
+
+    def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(meet, "a long, b long")
 
 
 def placed_in_chunks(nodes: DataFrame, num: int, den: int, chunk_tokens: int) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 import numpy as np
 
 LEAF, FAN = 32, 4
+#: So few sets are one leaf whose pairs are verified without bitmaps.
+FEW = 6
 
 
 class Union:
@@ -68,11 +70,34 @@ def too_far(x: Node, y: Node, num: int, den: int) -> bool:
     return den * x.high - num * y.low < (num + den) * out_x or den * y.high - num * x.low < (num + den) * out_y
 
 
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted sets share."""
+    both = np.concatenate([a, b])
+    both.sort()
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
+def few_links(sets: list[np.ndarray], side: np.ndarray, labels: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    top, kinds, out = labels.tolist(), side.tolist(), []
+    for i in range(len(sets)):
+        for j in range(i):
+            n, m = len(sets[i]), len(sets[j])
+            if top[i] == top[j] or kinds[i] == kinds[j] != 2 or den * min(n, m) < num * max(n, m):
+                continue
+            both = overlap(sets[i], sets[j])
+            if den * both >= num * (n + m - both):
+                out.append((i, j))
+                top = [top[j] if x == top[i] else x for x in top]
+    return out
+
+
 def links(sets: list[np.ndarray], side: np.ndarray, labels: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
     """Pairs (i, j) of similar sets, 100 * intersection >= share * union, that join different components; with labels, they span all components.
 
     side: 0, 1, or 2 for both; pairs are sought between rows of side 0 or 2 and rows of side 1 or 2. Sets are sorted.
     """
+    if len(sets) <= FEW:
+        return few_links(sets, side, labels, num, den)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     n_bits = 64
     while n_bits < min(8192, 4 * int(sizes.max(initial=1))):
@@ -110,7 +135,7 @@ def links(sets: list[np.ndarray], side: np.ndarray, labels: np.ndarray, num: int
             i, j = int(x.items[i]), int(y.items[j])
             if i == j or union.find(i) == union.find(j):
                 continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            both = overlap(sets[i], sets[j])
             if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
                 union.up[union.find(i)] = union.find(j)
                 out.append((i, j))
