@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import signature_tree
 from . import textscan as ts
-from .shared import connected_components, cut
+from .shared import connected_components, cut, side_of_ids
 
 SET = "doc_id long, n long, h1 long, h2 long"
 
@@ -156,7 +156,7 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, chunk
     nodes = rows.join(equal.withColumnRenamed("node", "row").select("row", "first"), "row")
     blocks = blocks_of(nodes.select(F.col("row").alias("node"), "need", "tokens"))
     placed = placed_in_chunks(blocks.join(nodes.select(F.col("row").alias("node"), *key, "doc_id"), "node").withColumnRenamed("component", "block"), num, den, chunk_tokens)
-    wanted = docs.join(placed.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = docs.join(side_of_ids(cut(placed.select("doc_id").distinct())), "doc_id", "left_semi")
     sets = shingle_sets(wanted, k, num, den, whole=True).select("doc_id", *key, "tokens")
     members = cut(placed.join(sets, ["doc_id", *key]).select("node", "block", "chunk", "class", "tokens"))
     links, joined = tree_components(members, num, den)
@@ -171,4 +171,4 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, chunk
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The documents with the smallest id of each component, with all columns; documents without words stay."""
     found = components(docs, **options)
-    return docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(side_of_ids(cut(found.where("doc_id <> component_id").select("doc_id").distinct())), "doc_id", "left_anti").select(docs.columns)

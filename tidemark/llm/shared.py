@@ -29,6 +29,11 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def side_of_ids(ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """ids (cut) as the right side of a semi or anti join against documents: broadcast up to ``most`` rows (8 MB of longs), else joined by shuffle."""
+    return F.broadcast(ids) if small_enough(ids, most) else ids
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of edges (a long, b long); component is the smallest node that is reachable.
 
