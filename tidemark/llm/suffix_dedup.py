@@ -34,7 +34,7 @@ from . import textscan as ts
 from .shared import cut
 
 GRAM = 16
-SEED_DEPTH = 8
+SEED_DEPTH = 10  # five bytes, doubled once
 BORDER = 0xFF  # in no UTF-8 text
 
 
@@ -65,37 +65,47 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes ordered by their first ``depth`` or more bytes (doubled from 8), and the 8-byte key in that order."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(len(data), dtype=np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | padded[j : j + len(data)]
-    eight, known = key, 8
+    """Suffixes ordered by their first ``depth`` or more bytes, doubled from 5; and, in that order, their rank by SEED_DEPTH bytes."""
+    n = len(data)
+    padded = np.concatenate([data, np.zeros(5, np.uint8)]).astype(np.uint64)
+    key = np.zeros(n, dtype=np.uint64)
+    for j in range(5):
+        key = (key << np.uint64(8)) | padded[j : j + n]
+    known, seed = 5, None
+    width = n.bit_length()
     while True:
-        order = np.argsort(key, kind="stable")
-        if known >= depth:
-            return order, eight[order]
+        order = in_turn(key)
         in_order = key[order]
-        rank = np.empty(len(data), dtype=np.uint64)
+        rank = np.empty(n, dtype=np.uint64)
         rank[order] = np.cumsum(np.concatenate(([1], in_order[1:] != in_order[:-1])), dtype=np.uint64)
-        if int(rank.max()) == len(data):
-            return order, eight[order]
-        ahead = np.zeros(len(data), dtype=np.uint64)
-        if len(data) > known:
+        if known == SEED_DEPTH:
+            seed = rank
+        if known >= max(depth, SEED_DEPTH):
+            return order, seed[order]
+        ahead = np.zeros(n, dtype=np.uint64)
+        if n > known:
             ahead[:-known] = rank[known:]
-        key = rank * np.uint64(len(data) + 1) + ahead
+        key = (rank << np.uint64(width)) | ahead
         known *= 2
 
 
+def in_turn(key: np.ndarray) -> np.ndarray:
+    """The order of keys, equal ones in their order of place."""
+    width = max(1, (len(key) - 1).bit_length())
+    if int(key.max()).bit_length() + width > 64:
+        return np.argsort(key, kind="stable")
+    return (np.sort((key << np.uint64(width)) | np.arange(len(key), dtype=np.uint64)) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
 def equal_windows(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order and, in that order, a class number: suffixes of one class have their first ``length`` bytes in common."""
-    order, eight = suffix_order(data, length)
+    order, seed = suffix_order(data, length)
     n = len(order)
     transform = data[order - 1]  # the byte before; that of the first suffix is the last byte, a border
     back = np.empty(n, dtype=np.int64)
     back[np.argsort(transform, kind="stable")] = np.arange(n)  # LF mapping
     border = np.ones(n + 1, dtype=bool)
-    border[1:n] = eight[1:] != eight[:-1]
+    border[1:n] = seed[1:] != seed[:-1]
     low = np.flatnonzero(border[:-1])
     high = np.flatnonzero(border[1:])
     for _ in range(SEED_DEPTH, length):
@@ -107,7 +117,7 @@ def equal_windows(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
             ends = np.cumsum(sizes)
             at = np.arange(ends[-1]) + np.repeat(wide_low - (ends - sizes), sizes)
             key = np.repeat(np.arange(len(sizes)), sizes) * 256 + transform[at]
-            by = np.argsort(key, kind="stable")
+            by = in_turn(key.astype(np.uint64))
             cut = np.flatnonzero(np.concatenate(([True], key[by][1:] != key[by][:-1])))
             to_low = np.concatenate([to_low, back[at[by[cut]]]])
             to_high = np.concatenate([to_high, back[at[by[np.append(cut[1:], len(by)) - 1]]]])
