@@ -34,6 +34,7 @@ from . import textscan as ts
 from .shared import cut
 
 GRAM = 16
+ROUTE = np.uint64((1 << 48) - 1)  # an anchor is sent as 48 bits of its hash; where two share them (3 % of 10^13) their pieces meet for nothing
 SEED_DEPTH = 10  # five bytes, doubled once
 BORDER = 0xFF  # in no UTF-8 text
 
@@ -61,7 +62,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     after = np.append(begin[1:], n)
     rows = np.searchsorted(offsets, begin, side="right") - 1
     after = np.minimum(after, offsets[rows + 1] - length + 1)
-    return rows, grams[place[begin]], begin, after - 1
+    return rows, grams[place[begin]] & ROUTE, begin, after - 1
 
 
 def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
