@@ -227,6 +227,27 @@ def test_license_scan(spark, none):
         assert license_scan.plain(name)
 
 
+def test_license_scan_whole_sentences(spark):
+    grant = license_scan.SENTENCES["mit-grant"].split()
+    wrapped = "\n * ".join(" ".join(grant[i : i + 9]) for i in range(0, len(grant), 9))
+    texts = {
+        1: "# SPDX-License-Identifier: MIT\nimport x",
+        2: "// SPDX-License-Identifier: Apache-2.0",
+        3: "SPDX-License-Identifier:\nGPL-3.0-only\n",
+        4: "SPDX-License-Identifier: BSD-3-Clause",
+        5: "MIT License\n\n * " + wrapped + "\n *\n * More.",
+        6: "This Source Code Form is subject to the terms of the\nMozilla Public License, v. 2.0. If a copy",
+        7: "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.",
+        8: "Licensed under the Apache License,\n\nVersion 2.0.",
+        9: 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in\ncompliance with the License.',
+        10: "SPDX-License-Identifier: MIT OR GPL-3.0-only",
+    }
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: "MIT", 2: "Apache-2.0", 3: "GPL-3.0", 4: "", 5: "MIT", 6: "MPL-2.0", 7: "", 8: "", 9: "Apache-2.0", 10: ""}
+    with pytest.raises(ValueError):
+        license_scan.forms({"a": "MIT License", "b": "mit license."})
+
+
 def plain_hits(text, items, window):
     w = decontaminate.words(text)
     hit, names = set(), set()

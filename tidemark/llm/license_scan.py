@@ -1,9 +1,10 @@
 """Licence recognition by sentence rules, with DataFrame functions only.
 
-A text is cut into sentences (at line ends, and after . ! ? ; or : before white space). Each sentence is normalised (small
-letters, every other character than a-z and 0-9 a space, single spaces) and looked up in the table of known licence
-sentences; both tables are constants of this module, so that they are literals of the plan and nothing is shuffled. The identifiers found in
-a document, in order, are matched against ordered rules: a rule holds where its identifiers follow one another directly
+A text is cut into units (at line ends, and after . ! ? ; or : before white space). Each unit is normalised (small
+letters, every other character than a-z and 0-9 a space, single spaces). A known licence sentence is found where neighbouring units, with no
+blank line among them, make up the whole of it, so it may be wrapped over lines or hold a stop; where several begin at one unit, the longest counts, and the
+search goes on after it. Both tables are constants of this module, so that they are literals of the plan and nothing is shuffled. The identifiers
+found in a document, in order, are matched against ordered rules: a rule holds where its identifiers follow one another directly
 among those found.
 
 Defined cases: null or empty text has no sentence and no licence; a sentence that repeats counts each time; a licence is
@@ -77,6 +78,7 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ]
 
 BREAK = r"([.!?;:])[ \t\r\n]+"
+INNER_BREAK = r"([.!?;:])[ \t\r]+(?=[^ \t\r\n])"
 
 
 def plain(sentence: str) -> str:
@@ -84,16 +86,33 @@ def plain(sentence: str) -> str:
 
 
 def pieces(sentences: dict[str, str]) -> dict[str, str]:
-    """Normalised form to identifier. A known sentence that the break rule cuts is known by its first piece."""
+    """First piece of each sentence to identifier: the older rule, which the SQL still states."""
     return {plain(re.sub(BREAK, "\\1\n", s).split("\n")[0]): k for k, s in sentences.items()}
 
 
+def forms(sentences: dict[str, str]) -> dict[str, str]:
+    """Normalised form of each whole sentence to identifier."""
+    out: dict[str, str] = {}
+    for name, sentence in sentences.items():
+        form = plain(sentence)
+        if not form or form in out:
+            raise ValueError(f"licence sentence {name} is {f'the same as {out[form]}' if form else 'empty'}")
+        out[form] = name
+    return out
+
+
 def found_ids(text: Column, sentences: dict[str, str]) -> Column:
-    known = F.create_map(*[F.lit(x) for pair in pieces(sentences).items() for x in pair])
+    if not sentences:
+        return F.array().cast("array<string>")
+    known = forms(sentences)
+    names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     capitals, small = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    lines = F.split(F.regexp_replace(text, BREAK, "$1\n"), "\n")
-    shape = F.transform(lines, lambda s: F.trim(F.regexp_replace(F.translate(s, capitals, small), "[^a-z0-9]+", " ")))
-    return F.coalesce(F.filter(F.transform(shape, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull()), F.array().cast("array<string>"))
+    units = F.translate(F.regexp_replace(text, INNER_BREAK, "$1\n"), capitals, small)
+    units = F.regexp_replace(F.regexp_replace(units, r"[^a-z0-9\n]+", " "), r" ?\n ?", "\n")
+    units = F.concat(F.lit("\n"), F.trim(units), F.lit("\n"))
+    whole = "|".join(form.replace(" ", r"[ \n]") for form in sorted(known, key=len, reverse=True))
+    found = F.regexp_extract_all(units, F.lit(rf"\n({whole})(?=\n)"), F.lit(1))
+    return F.coalesce(F.transform(found, lambda s: F.element_at(names, F.translate(s, "\n", " "))), F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
