@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
 
+from tidemark.functions import features as fx
 from tidemark.operators import training
+from tidemark.plans import catalogue
 
 HOUR = 3_600_000
 
@@ -26,3 +28,17 @@ def test_walk_forward(spark):
     assert top["feature"] == "x"
     with pytest.raises(ValueError):
         training.directional(frame.selectExpr("symbol", "ts", "5 AS Target"))
+
+
+def test_registered_walk_forward_is_the_whole_job(spark, monkeypatch):
+    seen = {}
+
+    def record(frame, columns, *args, **options):
+        seen.update(frame=frame, columns=columns, args=args, options=options)
+        return frame, None
+
+    monkeypatch.setattr(training, "walk_forward", record)
+    catalogue.walk_forward_model(spark, "/root/testdata/sf0.01")
+    assert set(fx.NAMES) <= set(seen["columns"]) and (seen["args"], seen["options"]) == ((), {})
+    assert not seen["frame"].isEmpty()
+    seen["frame"].unpersist()

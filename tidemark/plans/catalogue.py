@@ -280,8 +280,9 @@ def portfolio_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("walk_forward_model", None)
 def walk_forward_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-sample probabilities of two folds, by small trees."""
-    columns = ["ema_fast_slow", "realized_vol_1h", "rsi_1h", "volume_ratio_1h"]
-    rows = labels.finalise(labelled(spark, sf_dir), columns)
+    """Out-of-sample probabilities of all folds, on every feature column, with the operator's defaults."""
+    rows = labels.label(feature_frame.from_events(table(spark, sf_dir, "events"), BENCHMARK))
+    columns = training.feature_columns(rows)
+    rows = labels.finalise(rows, columns)
     rows.cache()
-    return training.walk_forward(rows, columns, folds=2, trees=training.Trees(rounds=5, step=0.1, depth=3, least_rounds=1))[0]
+    return training.walk_forward(rows, columns)[0]
