@@ -215,6 +215,25 @@ def test_language_id(spark):
     assert kept.columns == docs.columns and {500, 501, 502}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
+def test_language_unspaced(spark):
+    rng = random.Random(9)
+    stock = {"aa": "漢字仮名交文書", "bb": "한글문장단어로"}
+
+    def run(lang, n):
+        return "".join(rng.choice(stock[lang]) for _ in range(n))
+
+    train = spark.createDataFrame([(run(k, 300), k) for k in stock for _ in range(5)], "text string, lang string")
+    model = language_id.fit(train)
+    assert model["langs"] == ["aa", "bb"]  # unspaced text is learned from
+    text = run("aa", 450) + run("bb", 4000)
+    assert language_id.judge(model, {}, text, 20)[0] == "bb"  # what lies beyond the first 400 letters counts
+    long = run("bb", 1200)
+    assert language_id.judge(model, {}, long + " " + " ".join(run("aa", 4) for _ in range(6)), 20)[0] == "bb"  # and a run weighs by its length
+    many = {"".join(w) for w in zip(*[rng.choices("abcdefghij", k=30_000) for _ in range(7)])}
+    both = language_id.fit(spark.createDataFrame([(" ".join(many) + " " + " ".join(many), "cc")], "text string, lang string"))
+    assert set(both["levels"][0]) == many and len(both["levels"][0]) > 20_000  # no cap on rank
+
+
 def test_license_scan(spark, none):
     text = "Intro. Released under the MIT License.\nMore text; All rights reserved. GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"
     docs = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "mit license", 0), (4, "GNU GENERAL PUBLIC LICENSE\nAll rights reserved.\nVersion 3, 29 June 2007", 0)], "doc_id long, text string, licenses int")

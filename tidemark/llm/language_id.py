@@ -4,12 +4,13 @@ Fit: each training document's distinct words are counted by language (one shuffl
 aggregation), over a sample of at most ``most_docs`` different training texts, those whose hash lies below a bound
 (all, if there are fewer): the bound is set for nine tenths of ``most_docs``, which leaves chance fifteen standard deviations
 of room. No task takes the sample whole. Words that occur ``least`` times become known words; the n-grams of one to ``longest``
-characters of all counted words, with a word border at either end, form the back-off tables, of which the ``most_known``
-commonest entries of a length and language are kept. The model thus has a fixed greatest size and is broadcast.
+characters of all counted words, with a word border at either end, form the back-off tables; single characters and
+those counted ``least_grams`` times are kept, as one seen once says less than its parts. A run of more than ``LONG`` letters (text without spaces) is no word but gives its n-grams like any other. The model's size
+is bounded by the sample's, and it is broadcast.
 
 Predict: a known word scores its per-language log frequency. Another word is covered from its start by the longest
 known n-gram at each place, falling back to shorter ones down to single characters, each at its per-language log
-frequency less a penalty for each step back. The scores of a document's words add up; the posterior of the best language
+frequency less a penalty for each step back; a run is read whole and weighs as one word for every ``LONG`` letters begun. The scores of a document's words add up; the posterior of the best language
 (even prior, scores averaged over at most ``full_weight`` words' evidence) is the score. Ties go to the smaller name.
 
 Defined cases: null text, or one without a letter, is ``und`` with score 0; text whose words are all unknown down to
@@ -25,11 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = regex.compile(r"\p{L}+")
 SPARK_WORD = r"\p{L}+"
+#: Letters from which on a run is no word but text without spaces.
+LONG = 40
+#: N-grams to an Arrow batch.
+BATCH = 100_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -43,8 +48,8 @@ def grams(word: str, longest: int) -> Iterator[str]:
             yield w[i : i + n]
 
 
-def fit(rows: DataFrame, most_docs: int = 20_000, most_known: int = 20_000, longest: int = 5, least: int = 2) -> dict:
-    """The model from rows (text, lang). Word and n-gram counts are aggregated by Spark; only the bounded tables come back."""
+def fit(rows: DataFrame, most_docs: int = 20_000, longest: int = 5, least: int = 2, least_grams: int = 2) -> dict:
+    """The model from rows (text, lang). Word and n-gram counts are aggregated by Spark; only the tables come back."""
     usable = rows.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"))
     share = 0.9 * most_docs / max(1, usable.agg(F.approx_count_distinct("h", 0.01)).first()[0])
     if share < 1:
@@ -54,28 +59,33 @@ def fit(rows: DataFrame, most_docs: int = 20_000, most_known: int = 20_000, long
     counts = words.groupBy("lang", "word").agg(F.count("*").alias("n"))
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+
+        lang, gram, n = [], [], []
         for batch in batches:
-            lang, gram, n = [], [], []
             for a, w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if len(w) > 40:  # a run of letters that long is no word; its pieces would only blur the tables
-                    continue
-                lang.append(a), gram.append("=" + w), n.append(c)
+                if len(w) <= LONG:
+                    lang.append(a), gram.append("=" + w), n.append(c)
                 for g in grams(w, longest):
                     lang.append(a), gram.append(g), n.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+                    if len(n) >= BATCH:
+                        yield packed()
+                        lang, gram, n = [], [], []
+        yield packed()
 
     pieces = counts.mapInArrow(expand, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     kind = F.when(F.col("gram").startswith("="), 0).otherwise(F.length("gram"))
-    best = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "gram")
-    kept = pieces.withColumn("kind", kind).where((F.col("kind") > 0) | (F.col("n") >= least)).withColumn("place", F.row_number().over(best)).where(F.col("place") <= most_known)
-    table = kept.select("lang", "kind", "gram", "n").collect()  # at most most_known x (longest + 1) rows a language
-    langs = sorted({r["lang"] for r in table})
+    kept = pieces.withColumn("kind", kind).where(F.col("n") >= F.when(F.col("kind") == 0, least).when(F.col("kind") == 1, 1).otherwise(least_grams))
+    table = kept.select("lang", "kind", "gram", "n").toArrow()  # what the sample holds, and it is bounded
+    langs = sorted(table["lang"].unique().to_pylist())
     at = {x: i for i, x in enumerate(langs)}
     levels: list[dict[str, np.ndarray]] = [{} for _ in range(longest + 1)]
     totals = np.zeros((longest + 1, len(langs)))
-    for r in table:
-        levels[r["kind"]].setdefault(r["gram"].removeprefix("=") if r["kind"] == 0 else r["gram"], np.zeros(len(langs)))[at[r["lang"]]] += r["n"]
-        totals[r["kind"], at[r["lang"]]] += r["n"]
+    for batch in table.to_batches(max_chunksize=BATCH):
+        for lang, kind, gram, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            levels[kind].setdefault(gram.removeprefix("=") if kind == 0 else gram, np.zeros(len(langs)))[at[lang]] += n
+            totals[kind, at[lang]] += n
     for kind, level in enumerate(levels):
         size = max(len(level), 1)
         for g, n in level.items():
@@ -83,11 +93,16 @@ def fit(rows: DataFrame, most_docs: int = 20_000, most_known: int = 20_000, long
     return {"langs": langs, "levels": levels, "longest": longest}
 
 
+def units(word: str) -> int:
+    """How many words a run of letters weighs as."""
+    return max(1, -(-len(word) // LONG))
+
+
 def word_score(model: dict, word: str, step: float = math.log(0.4)) -> np.ndarray:
     known = model["levels"][0].get(word)
     if known is not None:
         return known
-    w = f"^{word[:400]}$" if len(word) > 400 else f"^{word}$"
+    w = f"^{word}$"
     total, i, parts = np.zeros(len(model["langs"])), 0, 0
     while i < len(w):
         for n in range(min(model["longest"], len(w) - i), 0, -1):
@@ -98,7 +113,7 @@ def word_score(model: dict, word: str, step: float = math.log(0.4)) -> np.ndarra
                 break
         else:
             i += 1
-    return total * (2.0 / max(parts, 1)) if parts > 2 else total
+    return total * (2.0 * units(word) / parts) if parts > 2 * units(word) else total
 
 
 def predict(docs: DataFrame, model: dict, most_cached: int = 200_000, full_weight: int = 20) -> DataFrame:
@@ -128,11 +143,13 @@ def judge(model: dict, cache: dict[str, np.ndarray], text: str, full_weight: int
     for w in words:
         s = cache.get(w)
         if s is None:
-            s = cache[w] = word_score(model, w)
+            s = word_score(model, w)
+            if len(w) <= LONG:
+                cache[w] = s
         scores.append(s)
     total = np.sum(scores, axis=0)
     order = int(np.argmax(total))  # the first of the best: names are sorted
-    weight = min(1.0, full_weight / len(words))
+    weight = min(1.0, full_weight / sum(map(units, words)))
     p = np.exp((total - total[order]) * weight)
     return model["langs"][order], float(1.0 / p.sum())
 
