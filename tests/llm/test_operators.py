@@ -300,6 +300,15 @@ def test_decontaminate(spark, docs, none, corpus, most_chars):
     assert not any(r["contaminated"] for r in decontaminate.digest(decontaminate.hits(docs, bench.limit(0))).collect())
 
 
+def test_decontaminate_item_without_id(spark):
+    docs = spark.createDataFrame([(1, "so one two three it is"), (2, "four five"), (3, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two three"), (7, "four five"), (None, "four five")], "item_id long, text string")
+    for most_chars in (10_000_000, 10):
+        got = {r["doc_id"]: r for r in decontaminate.digest(decontaminate.hits(docs, bench, most_chars=most_chars)).collect()}
+        assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["contaminated"]) for i in (1, 2, 3)] == [(3, 0, True), (2, 1, True), (0, 0, False)]
+        assert [r["doc_id"] for r in decontaminate.remove_documents(docs, bench, most_chars=most_chars).collect()] == [3]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(size=(300, 8)) * 0.3, np.repeat(rng.normal(size=(1, 8)), 60, axis=0)])

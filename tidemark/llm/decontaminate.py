@@ -7,7 +7,8 @@ Items of more than ``most_chars`` characters in all are not broadcast in one pie
 scan of the corpus each.
 
 Defined cases: a null or empty text has no words and no hit; an item without words hits nothing; repeated rows are
-judged one by one; an empty benchmark hits nothing; items of equal text are all reported.
+judged one by one; an empty benchmark hits nothing; items of equal text are all reported; an item
+without an id hits like any other but is not among the items named.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ def words(text: str | None) -> list[bytes]:
 class Windows:
     """Hash set of the windows of some items, by window length."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        self.texts: dict[tuple[bytes, ...], list[str]] = {}
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
+        self.texts: dict[tuple[bytes, ...], list[str | None]] = {}
         for item, text in items:
             w = words(text)
             n = min(window, len(w))
@@ -92,7 +93,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def blocks_of(benchmark: DataFrame, most_chars: int) -> Iterator[Broadcast]:
     """The items in broadcasts of about ``most_chars`` characters (an item has fewer windows than that)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item_id is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-int(total) // most_chars))
     for k in range(n):
@@ -117,7 +118,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_chars: in
                     for row in range(hi - lo):
                         s, i = found.get(row, ((), ()))
                         spans.append(merged(s))
-                        names.append(sorted(i))
+                        names.append(sorted(x for x in i if x is not None))
                 if later:  # join what earlier blocks of items found
                     for row, (s, i) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                         spans[row] = merged([*spans[row], *((x["first"], x["last"]) for x in s)])
