@@ -1,6 +1,6 @@
 """Vectorised text helpers that run inside Arrow map tasks.
 
-All of them work on the UTF-8 bytes of a slice of rows at once. Slices hold about one megabyte (a single longer text
+All of them work on the UTF-8 bytes of a slice of rows at once. Slices hold about a quarter of a megabyte (a single longer text
 makes a slice of its own), so that the temporary arrays stay small whatever the Arrow batch holds.
 """
 
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -116,6 +116,27 @@ def minimum_places(values: np.ndarray, want: int) -> np.ndarray:
     return place
 
 
+def least_places(values: np.ndarray, want: int) -> np.ndarray:
+    """For each window of ``want`` values the place of the smallest, by all bits but the lowest that number a window's places; of equals any."""
+    if want > 1 << 16:
+        raise ValueError("windows of more than 65536 values leave too few bits to tell values apart")
+    low = np.uint64((1 << want.bit_length()) - 1)
+    at = np.arange(len(values), dtype=np.uint64)
+    least, width = (values & ~low) | (at & low), 1
+    while width < want:
+        step = min(width, want - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    at = at[: len(least)]
+    return (at + ((least - at) & low)).view(np.int64)
+
+
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, sorted."""
+    own = np.sort(values)
+    return own[np.concatenate(([True], own[1:] != own[:-1]))] if len(own) else own
+
+
 def sequence_hashes(hashes: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
     """Hash of each stretch hashes[first:after]."""
     sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
