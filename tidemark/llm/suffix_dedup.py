@@ -1,68 +1,81 @@
 """Exact removal of repeated byte strings by threshold-bounded interval expansion on a Burrows-Wheeler transform.
 
 0. A document whose whole text stands in one with a smaller id loses everything; only the first of each group of equal
-   documents goes on.
-1. Routing. In every window of ``length`` bytes the gram of ``GRAM`` bytes with the smallest hash is its anchor (the first of
-   equals), so equal windows have equal anchors at the same place. Per document the distinct anchors' hashes are
-   sent out; those of two or more documents come back to their documents.
-2. Each anchor that came back owns a run of consecutive windows. Their bytes (one piece) go to the anchor's task.
-   A window with an equal in another document thus meets it there, and no piece is longer than two windows.
-3. A task takes the pieces in slices of whole anchors. Equal pieces are laid together; a suffix array of the pieces
-   (prefix doubling up to the bytes needed), its Burrows-Wheeler transform and the LF mapping are built. Intervals are
-   extended backwards breadth first, so the borders between suffixes get their common prefix lengths in rising order, and the expansion
-   stops at ``length``: suffixes without a border between them have an equal window. Each window's smallest document
-   decides which documents lose it.
-4. The removed byte ranges meet their documents.
+   documents goes on. Documents are dealt by hash into buckets of about ``BUCKET_BYTES``, and one shuffle of the texts by
+   bucket serves all passes.
+1. Routing. In every window of ``length`` bytes the gram of ``GRAM`` bytes with the smallest hash is its anchor (the first
+   of equals), so equal windows have equal anchors at the same place. An anchor owns a run of consecutive windows, whose
+   bytes are one piece of at most two windows. A bucket sends one row for each of its anchors; those that stand in two
+   or more documents come back. So an anchor that a third of all documents hold has one row a bucket.
+2. Of these anchors each bucket sends its different pieces, one row each with the smallest document that holds it, to the
+   anchor's task. A window with an equal in another document thus meets it there.
+3. A task takes the pieces in slices of whole anchors. Where all pieces of an anchor are equal, the smallest document is
+   known at once. Of the others, equal pieces are laid together; a suffix array of the pieces (prefix doubling up to the
+   bytes needed), its Burrows-Wheeler transform and the LF mapping are built. Intervals are extended backwards breadth
+   first, so the borders between suffixes get their common prefix lengths in rising order, and the expansion stops at
+   ``length``: suffixes without a border between them have an equal window. Each window's smallest document decides which
+   documents lose it.
+4. What goes of a piece meets its bucket's documents, each of which loses it if its id is large enough.
 
 Defined cases: null text is empty; documents shorter than ``length`` lose nothing; strings that only repeat inside one
-document, or in rows of one id, stay; rows without an id lose nothing and cause no removal; rows that repeat an id are judged
-one by one; an empty table gives an empty result. Cuts may fall inside a character, as bytes are asked for; where
-text is wanted, ``drop_repeats`` widens what stays to whole characters.
+document, or in rows of one id, stay; rows without an id lose nothing and cause no removal; rows that repeat an id are
+judged one by one; an empty table gives an empty result; extra columns of any name are kept apart. Cuts may fall inside a
+character, as bytes are asked for; where text is wanted, ``drop_repeats`` widens what stays to whole characters.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textscan as ts
+from .buckets import beside, bucket_of, buckets_for, columns_of, spark_schema, texts_of
 from .shared import cut
 
-GRAM = 16
-ROUTE = np.uint64((1 << 48) - 1)  # an anchor is sent as 48 bits of its hash; where two share them (3 % of 10^13) their pieces meet for nothing
+GRAM = 20
+ROUTE = 48  # an anchor is sent as so many bits of its hash; where two share them, their pieces meet for nothing
 SEED_DEPTH = 10  # five bytes, doubled once
 BORDER = 0xFF  # in no UTF-8 text
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, gram hash, first window, last window) of each anchor, in order of place."""
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(row, gram hash, piece hash, first window, last window) of each anchor, in order of place."""
     n = len(data) - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none.astype(np.uint64), none, none
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(ts.BYTE_CODE[data] * ts.table("up", ts.BASE, len(data)), out=sums[1:], dtype=np.uint64)
-    grams = ts.mix((sums[GRAM:] - sums[:-GRAM]) * ts.table("down", ts.INVERSE, len(data) + 1)[: len(data) - GRAM + 1])
-    place = ts.minimum_places(grams, length - GRAM + 1)
-    inside = np.zeros(n + 1, dtype=np.int32)  # windows that lie in one row
+        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
+    sums = running(data)
+    down = ts.table("down", ts.INVERSE, len(data) + 1)
+    grams = ts.mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1])
+    place = ts.least_places(grams, length - GRAM + 1)  # equal in the bits that name the anchor, whichever of equals it is
     first, last = offsets[:-1], offsets[1:] - length
     fits = last >= first
-    np.add.at(inside, first[fits], 1)
-    np.add.at(inside, last[fits] + 1, -1)
-    inside = np.cumsum(inside[:-1]) > 0
-    new = inside.copy()
-    new[1:] &= (place[1:n] != place[: n - 1]) | ~inside[:-1]
-    new[np.clip(first[fits], 0, n - 1)] = True
-    begin = np.flatnonzero(new)
+    changed = np.flatnonzero(place[1:n] != place[: n - 1]) + 1
+    begin = ts.distinct(np.concatenate([changed, first[fits], last[fits] + 1]))
     after = np.append(begin[1:], n)
     rows = np.searchsorted(offsets, begin, side="right") - 1
-    after = np.minimum(after, offsets[rows + 1] - length + 1)
-    return rows, grams[place[begin]] & ROUTE, begin, after - 1
+    inside = np.flatnonzero((begin < n) & (begin <= offsets[np.minimum(rows + 1, len(offsets) - 1)] - length))
+    rows, begin, after = rows[inside], begin[inside], after[inside]
+    return rows, grams[place[begin]] >> np.uint64(64 - ROUTE), piece_hashes(sums, begin, after + (length - 1)), begin, after - 1
+
+
+def piece_hashes(sums: np.ndarray, first: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Hash of each stretch first:after of the bytes whose running sums are given."""
+    size = (after - first).astype(np.uint64)
+    return ts.mix((sums[after] - sums[first]) * ts.table("down", ts.INVERSE, len(sums))[first] + size)
+
+
+def running(data: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(ts.BYTE_CODE[data] * ts.table("up", ts.BASE, len(data)), out=sums[1:], dtype=np.uint64)
+    return sums
 
 
 def suffix_order(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,75 +160,162 @@ def decide(pieces: list[bytes], least: np.ndarray, length: int) -> tuple[np.ndar
     return of[at], np.concatenate(([0], ends))
 
 
-def lost(doc: np.ndarray, start: np.ndarray, piece: np.ndarray, texts: list[bytes], length: int) -> tuple[list, list, list]:
-    """(row, first byte, byte after the last) of what each occurrence of a piece loses."""
+def lost(doc: np.ndarray, piece: np.ndarray, gram: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """(row, first byte, byte after the last) of what the smallest document of each row (one piece in one bucket) loses."""
     least = np.full(len(texts), np.iinfo(np.int64).max)
     np.minimum.at(least, piece, doc)
-    smallest, begin = decide(texts, least, length)
-    low, high = np.minimum.reduceat(smallest, begin[:-1]), np.maximum.reduceat(smallest, begin[:-1])
+    of = np.zeros(len(texts), dtype=np.int64)
+    of[piece] = gram
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    _, which, many = np.unique(of, return_inverse=True, return_counts=True)
+    open_ = np.flatnonzero(many[which] > 1)  # pieces that stand beside others of their anchor
+    low, high, at = least.copy(), least.copy(), np.full(len(texts), -1)
+    if len(open_):
+        smallest, begin = decide([texts[i] for i in open_.tolist()], least[open_], length)
+        low[open_], high[open_], at[open_] = np.minimum.reduceat(smallest, begin[:-1]), np.maximum.reduceat(smallest, begin[:-1]), np.arange(len(open_))
     whole = np.flatnonzero(doc > high[piece])
-    rows, first, after = [whole], [start[whole]], [start[whole] + sizes[piece[whole]]]
+    rows, first, after = [whole], [np.zeros(len(whole), np.int64)], [sizes[piece[whole]]]
     for i in np.flatnonzero((doc > low[piece]) & (doc <= high[piece])).tolist():
-        gone = np.flatnonzero(smallest[begin[piece[i]] : begin[piece[i] + 1]] < doc[i])
+        k = at[piece[i]]
+        gone = np.flatnonzero(smallest[begin[k] : begin[k + 1]] < doc[i])
         edges = np.flatnonzero(np.diff(gone) > 1)
         rows.append(np.full(len(edges) + 1, i))
-        first.append(start[i] + gone[np.concatenate(([0], edges + 1))])
-        after.append(start[i] + gone[np.concatenate((edges, [len(gone) - 1]))] + length)
+        first.append(gone[np.concatenate(([0], edges + 1))])
+        after.append(gone[np.concatenate((edges, [len(gone) - 1]))] + length)
     return np.concatenate(rows), np.concatenate(first), np.concatenate(after)
 
 
-def texts_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-
-
-def known(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) of rows with an id, dealt by id. It is read three times; Spark shuffles it once and uses the exchange again."""
-    return texts_of(docs).where("doc_id is not null").repartition("doc_id")
-
-
-def notes_on(docs: DataFrame) -> DataFrame:
-    """(doc_id, copies, several) of documents of which there is something to say: hashes of their texts that stand in a smaller id, and whether rows of the id differ in text. Cut."""
-    hashed = texts_of(docs).where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("h2"), F.length("text").alias("n"))
+def told(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, h) of rows whose whole text stands in a smaller id, cut; and the number of buckets for all rows."""
+    hashed = rows.where("doc_id is not null").select("doc_id", "h", F.xxhash64(F.lit(1), "text").alias("h2"), F.octet_length("text").alias("n"))
+    hashed = cut(hashed)
     first = hashed.groupBy("h", "h2", "n").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    copies = hashed.join(first, ["h", "h2", "n"]).where("doc_id > low").groupBy("doc_id").agg(F.collect_set("h").alias("copies"))
-    several = hashed.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a < b").select("doc_id", F.lit(True).alias("several"))
-    return cut(copies.join(several, "doc_id", "full").select("doc_id", "copies", F.coalesce("several", F.lit(False)).alias("several")))
-
-
-def marked(rows: DataFrame, notes: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, mark (tells apart different texts of one id, else 0) and copy."""
-    h = F.xxhash64("text")
-    return rows.join(notes, "doc_id", "left").select(*keep, F.when(F.col("several"), h).otherwise(0).alias("mark"), F.coalesce(F.array_contains("copies", h), F.lit(False)).alias("copy"))
-
-
-def removed_ranges(docs: DataFrame, notes: DataFrame, length: int = 50, slice_bytes: int = 2_000_000) -> DataFrame:
-    """(doc_id, mark, first, after): byte ranges that go, but for whole copies. Ranges may touch or overlap."""
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, data, offsets in ts.slices(batch.column(1)):
-                rows, grams, _, _ = anchors(data, offsets, length)
-                yield pa.RecordBatch.from_arrays([pa.array(ts.signed(grams)), pa.array(ids[lo + rows], pa.int64())], ["gram", "doc_id"])
-
-    def pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, marks = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-            wanted = batch.column(3)
-            for lo, hi, data, offsets in ts.slices(batch.column(1)):
-                rows, grams, low, high = anchors(data, offsets, length)
-                edges, grams = np.searchsorted(rows, np.arange(hi - lo + 1)), ts.signed(grams)
-                keep = np.zeros(len(rows), dtype=bool)
-                for r in range(hi - lo):
-                    own = np.sort(wanted[lo + r].values.to_numpy())
-                    mine = grams[edges[r] : edges[r + 1]]
-                    at = np.minimum(np.searchsorted(own, mine), len(own) - 1)
-                    keep[edges[r] : edges[r + 1]] = own[at] == mine
-                rows, grams, low, high = rows[keep], grams[keep], low[keep], high[keep]
-                held = data.tobytes()
-                pieces = [held[a : b + length] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(ids[lo + rows]), pa.array(marks[lo + rows]), pa.array(low - offsets[rows]), pa.array(pieces, pa.binary())], ["gram", "doc_id", "mark", "start", "piece"])
+    copies = hashed.join(first, ["h", "h2", "n"]).where("doc_id > low").select("doc_id", "h").distinct()
+    return cut(copies), buckets_for(hashed)
+
+
+COPY, ANCHOR, PART = 0, 1, 2
+WIDTH = 32  # a part's first byte and the byte after its last, both inside a piece, are sent as one number
+
+
+def copies_in(left: pa.Table, right: pa.Table) -> np.ndarray:
+    """Which rows of the bucket are copies of documents with a smaller id."""
+    doc, h, _, _ = columns_of(right, COPY)
+    known = set(zip(doc.tolist(), h.tolist(), strict=True))
+    rows = zip(left.column("doc_id").to_pylist(), left.column("h").to_pylist(), strict=True)
+    return np.fromiter((x in known for x in rows), dtype=bool, count=left.num_rows)
+
+
+def segments(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts keys, equal ones by place, and where each run of equal keys begins in it."""
+    order = np.argsort(keys, kind="stable")
+    own = keys[order]
+    return order, np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1]))) if len(own) else np.zeros(0, np.int64)
+
+
+NAMED = pa.schema([("bucket", pa.int32()), ("gram", pa.int64())])
+FOUND = pa.schema([("bucket", pa.int32()), ("gram", pa.int64()), ("low", pa.int64()), ("more", pa.int64()), ("piece", pa.binary())])
+GONE = pa.schema([("bucket", pa.int32()), ("gram", pa.int64()), ("h", pa.int64()), ("part", pa.int64()), ("above", pa.int64())])
+
+
+def name(left: pa.Table, right: pa.Table, length: int) -> pa.Table:
+    """One row for each anchor of a bucket, twice the bucket's number, or one more if two of its documents hold the anchor."""
+    own = left.filter(pa.array(~copies_in(left, right)))
+    ids, found = own.column("doc_id").to_numpy(), []
+    for lo, _, data, offsets in ts.slices(own.column("text")):
+        rows, grams, _, _, _ = anchors(data, offsets, length)
+        found.append((ids[lo + rows], grams))
+    doc, grams = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (ids, np.zeros(0, np.uint64))
+    if not len(grams):
+        return NAMED.empty_table()
+    order, begin = segments(grams)
+    several = np.minimum.reduceat(doc[order], begin) < np.maximum.reduceat(doc[order], begin)
+    bucket = (2 * left.column("bucket")[0].as_py() + several).astype(np.int32)
+    return pa.Table.from_arrays([pa.array(bucket), pa.array(ts.signed(grams[order[begin]]))], schema=NAMED)
+
+
+def take_part(left: pa.Table, right: pa.Table, length: int) -> pa.Table:
+    """The different pieces of the wanted anchors in a bucket, each with its smallest document and the largest less that."""
+    wanted = ts.distinct(columns_of(right, ANCHOR)[0])
+    own = left.filter(pa.array(~copies_in(left, right)))
+    ids, found, pieces = own.column("doc_id").to_numpy(), [], {}
+    for lo, _, data, offsets in ts.slices(own.column("text")) if len(wanted) else ():
+        rows, grams, h, low, high = anchors(data, offsets, length)
+        grams = ts.signed(grams)
+        at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, grams), len(wanted) - 1)] == grams)
+        held = data.tobytes()
+        for k, a, b in zip(h[at].tolist(), low[at].tolist(), high[at].tolist(), strict=True):
+            if k not in pieces:
+                pieces[k] = held[a : b + length]
+        found.append((ids[lo + rows[at]], grams[at], h[at]))
+    if not pieces:
+        return FOUND.empty_table()
+    doc, grams, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    order, begin = segments(h)
+    low, high = np.minimum.reduceat(doc[order], begin), np.maximum.reduceat(doc[order], begin)
+    bucket = np.full(len(begin), left.column("bucket")[0].as_py(), dtype=np.int32)
+    texts = [pieces[k] for k in h[order[begin]].tolist()]
+    return pa.Table.from_arrays([pa.array(bucket), pa.array(grams[order[begin]]), pa.array(low), pa.array(high - low), pa.array(texts, pa.binary())], schema=FOUND)
+
+
+def settle(seen: pa.Table | None, new: pa.Table, length: int) -> tuple[pa.Table, pa.RecordBatch]:
+    """What goes of the pieces ``new``, and one row of each piece of the last anchor, which later slices have to meet."""
+    table, old = (new, 0) if seen is None else (pa.concat_tables([seen, new]), seen.num_rows)
+    coded = table.column("piece").combine_chunks().dictionary_encode()
+    coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+    doc, piece, gram = table.column("low").to_numpy(), coded.indices.to_numpy().astype(np.int64), table.column("gram").to_numpy()
+    texts = coded.dictionary.to_pylist()
+    rows, first, after = lost(doc, piece, gram, texts, length)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    # all others of the bucket that hold the piece lose it whole to the smallest
+    others = np.flatnonzero(table.column("more").to_numpy() > 0)
+    above = np.concatenate([doc[rows] - 1, doc[others]])
+    rows = np.concatenate([rows, others])
+    first, after = np.concatenate([first, np.zeros(len(others), np.int64)]), np.concatenate([after, sizes[piece[others]]])
+    fresh = rows >= old
+    rows, first, after, above = rows[fresh], first[fresh], after[fresh], above[fresh]
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    ends = np.cumsum(sizes)
+    h = ts.signed(piece_hashes(running(data), ends - sizes, ends))[piece[rows]]
+    last = np.flatnonzero(gram == gram[-1])
+    keep = last[np.unique(piece[last], return_index=True)[1]]  # the first row of a piece has its smallest document
+    gone = [table.column("bucket").to_numpy()[rows], gram[rows], h, (first << WIDTH) | after, above]
+    return table.take(pa.array(np.sort(keep))), pa.RecordBatch.from_arrays([pa.array(x) for x in gone], schema=GONE)
+
+
+def keys_of(gram: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return ts.mix(gram.view(np.uint64) * ts.BASE ^ h.view(np.uint64))
+
+
+def own_ranges(left: pa.Table, right: pa.Table, length: int) -> list[list[tuple[int, int]]]:
+    """The byte ranges that each row of the bucket loses."""
+    gone: list[list[tuple[int, int]]] = [[] for _ in range(left.num_rows)]
+    copies = copies_in(left, right)
+    for i, n in zip(np.flatnonzero(copies).tolist(), pc.binary_length(left.column("text")).filter(pa.array(copies)).to_pylist(), strict=True):
+        if n >= length:
+            gone[i].append((0, n))
+    gram, h, part, above = columns_of(right, PART)
+    keys = keys_of(gram, h)
+    order = np.argsort(keys, kind="stable")
+    keys, part, above = keys[order], part[order], above[order]
+    ids = left.column("doc_id").to_numpy()
+    for lo, _, data, offsets in ts.slices(left.column("text")) if len(keys) else ():
+        rows, grams, pieces, low, _ = anchors(data, offsets, length)
+        wanted = keys_of(grams, pieces)
+        begin, end = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted, side="right")
+        n = end - begin
+        at = np.repeat(np.arange(len(n)), n)
+        which = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n) + begin[at]
+        hit = (ids[lo + rows[at]] > above[which]) & ~copies[lo + rows[at]]
+        at, which = at[hit], which[hit]
+        start = low[at] - offsets[rows[at]]
+        for r, a, b in zip((lo + rows[at]).tolist(), (start + (part[which] >> WIDTH)).tolist(), (start + (part[which] & ((1 << WIDTH) - 1))).tolist(), strict=True):
+            gone[r].append((a, b))
+    return gone
+
+
+def removed_parts(known: DataFrame, notes: DataFrame, length: int = 50, slice_bytes: int = 500_000) -> DataFrame:
+    """(bucket, gram, h, part, above): a part of the piece h of an anchor that goes from the bucket's documents of ids above."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by anchor and rising document, so what a later slice needs of an anchor is one row of each piece seen so far."""
@@ -224,35 +324,20 @@ def removed_ranges(docs: DataFrame, notes: DataFrame, length: int = 50, slice_by
             held.append(batch)
             size += batch.column(4).nbytes
             if size >= slice_bytes:
-                seen, out = settle(seen, pa.Table.from_batches(held))
+                seen, out = settle(seen, pa.Table.from_batches(held), length)
                 yield out
                 held, size = [], 0
-        if held:
-            yield settle(seen, pa.Table.from_batches(held))[1]
-
-    def settle(seen: pa.Table | None, new: pa.Table) -> tuple[pa.Table, pa.RecordBatch]:
-        table, old = (new, 0) if seen is None else (pa.concat_tables([seen, new]), seen.num_rows)
-        coded = table.column(4).combine_chunks().dictionary_encode()
-        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
-        doc, piece = table.column(1).to_numpy(), coded.indices.to_numpy().astype(np.int64)
-        if table.num_rows:
-            rows, first, after = lost(doc, table.column(3).to_numpy(), piece, coded.dictionary.to_pylist(), length)
-        else:
-            rows = first = after = np.zeros(0, np.int64)
-        fresh = rows >= old
-        rows, first, after = rows[fresh], first[fresh], after[fresh]
-        grams = table.column(0).to_numpy()
-        last = np.flatnonzero(grams == grams[-1]) if len(grams) else np.zeros(0, np.int64)
-        keep = last[np.unique(piece[last], return_index=True)[1]]  # the first row of a piece has its smallest document
-        return table.take(pa.array(np.sort(keep))), pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(table.column(2).to_numpy()[rows]), pa.array(first), pa.array(after)], ["doc_id", "mark", "first", "after"])
-
-    rows = marked(known(docs), notes, ["doc_id", "text"]).where("not copy")
-    named = rows.select("doc_id", "text").mapInArrow(name, "gram long, doc_id long")
-    by = Window.partitionBy("gram")
-    repeated = named.withColumn("low", F.min("doc_id").over(by)).withColumn("high", F.max("doc_id").over(by)).where("low < high").select("doc_id", "gram")
-    wanted = repeated.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))
-    pieces = rows.join(wanted, "doc_id").select("doc_id", "text", "mark", "grams").mapInArrow(pieces_of, "gram long, doc_id long, mark long, start long, piece binary")
-    return pieces.repartition("gram").sortWithinPartitions("gram", "doc_id").mapInArrow(judge, "doc_id long, mark long, first long, after long")
+        if sum(x.num_rows for x in held):
+            yield settle(seen, pa.Table.from_batches(held), length)[1]
+
+    by_bucket = known.groupBy("bucket")
+    named = by_bucket.cogroup(notes.groupBy("bucket")).applyInArrow(lambda x, y: name(x, y, length), spark_schema(NAMED))
+    by = Window.partitionBy("gram")  # a bucket has one row here
+    counted = named.withColumns({"n": F.count("*").over(by), "several": F.max(F.col("bucket") % 2).over(by)})
+    repeated = counted.where("n > 1 or several = 1").select("gram", F.shiftright("bucket", 1).alias("bucket"))
+    wanted = notes.unionByName(beside(ANCHOR, repeated, F.col("gram")))
+    found = by_bucket.cogroup(wanted.groupBy("bucket")).applyInArrow(lambda x, y: take_part(x, y, length), spark_schema(FOUND))
+    return found.repartition("gram").sortWithinPartitions("gram", "low").mapInArrow(judge, spark_schema(GONE))
 
 
 def kept_ranges(n: int, ranges: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], int, int]:
@@ -273,71 +358,72 @@ def kept_ranges(n: int, ranges: list[tuple[int, int]]) -> tuple[list[tuple[int,
     return stay, gone, spans
 
 
-def with_ranges(docs: DataFrame, length: int, keep: list[str]) -> DataFrame:
-    """Rows with an id (keep, or doc_id and text) with mark, copy and the list of ranges (null if none)."""
-    notes = notes_on(docs)
-    ranges = removed_ranges(docs, notes, length).groupBy("doc_id").agg(F.collect_list(F.struct("mark", "first", "after")).alias("ranges"))
-    if keep:
-        rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-        found = marked(rows, notes, ["doc_id", "row"]).join(ranges, "doc_id", "left")
-        return found.select("row.*", F.col("mark").alias("__mark"), F.col("copy").alias("__copy"), F.col("ranges").alias("__ranges"))
-    return marked(known(docs), notes, ["doc_id", "text"]).join(ranges, "doc_id", "left").select("doc_id", "text", "mark", "copy", "ranges")
+def with_ranges(docs: DataFrame, length: int, kept: list[str], judged: Callable[[pa.Table, list], pa.Table], schema: StructType | str) -> DataFrame:
+    """``judged`` of every bucket: it gets rows (doc_id, h, text, kept) and the byte ranges that each of them loses."""
+    rows = texts_of(docs, kept)
+    copies, buckets = told(rows)
+    known = rows.where("doc_id is not null").withColumn("bucket", bucket_of(buckets))
+    notes = beside(COPY, copies.select(bucket_of(buckets), "doc_id", "h"), F.col("doc_id"), F.col("h"))
+    parts = removed_parts(known, notes, length)
+    right = notes.unionByName(beside(PART, parts, F.col("gram"), F.col("h"), F.col("part"), F.col("above")))
 
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        return judged(left, own_ranges(left, right, length))
 
-def own_ranges(n: int, length: int, mark: int, copy: bool, ranges: list[dict] | None) -> list[tuple[int, int]]:
-    if copy:
-        return [(0, n)] if n >= length else []
-    return [(r["first"], r["after"]) for r in ranges or () if r["mark"] == mark]
+    return known.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(meet, schema)
 
 
 def digest(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per document row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for lo, hi, data, offsets in ts.slices(batch.column(1)):
-                held = data.tobytes()
-                for r in range(hi - lo):
-                    text = held[offsets[r] : offsets[r + 1]]
-                    stay, gone, spans = kept_ranges(len(text), own_ranges(len(text), length, *(batch.column(c)[lo + r].as_py() for c in (2, 3, 4))))
-                    out.append((len(text), gone, spans, hashlib.sha256(text if not gone else b"".join(text[a:b] for a, b in stay)).hexdigest()))
-            columns = zip(*out, strict=True) if out else ((), (), (), ())
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    others = texts_of(docs).where("doc_id is null").select("doc_id", "text", F.lit(0).cast("long").alias("mark"), F.lit(False).alias("copy"), F.array().cast("array<struct<mark:long,first:long,after:long>>").alias("ranges"))
-    return with_ranges(docs, length, []).mapInArrow(run, kinds).unionByName(others.mapInArrow(run, kinds))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+    def judged(left: pa.Table, gone: list) -> pa.Table:
+        out = []
+        for lo, hi, data, offsets in ts.slices(left.column("text")):
+            held = data.tobytes()
+            for r in range(hi - lo):
+                text = held[offsets[r] : offsets[r + 1]]
+                stay, lost_bytes, spans = kept_ranges(len(text), gone[lo + r])
+                kept = b"".join(text[a:b] for a, b in stay) if lost_bytes else text
+                out.append((len(text), lost_bytes, spans, hashlib.sha256(kept).hexdigest()))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+        return pa.Table.from_arrays([left.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names)
+
+    whole = with_ranges(docs, length, [], judged, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    others = texts_of(docs, []).where("doc_id is null")
+    none = F.lit(0).cast("long")
+    return whole.unionByName(others.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")))
 
 
 def drop_repeats(docs: DataFrame, length: int = 50, least_left: int = 1) -> DataFrame:
     """The documents with repeated strings cut out of their text and all other columns as they are.
 
-    A character of which only some bytes repeat stays whole. Documents of which less than ``least_left`` characters other than white space stay are dropped, unless they had no more at the start.
+    A character of which only some bytes repeat stays whole. Documents of which less than ``least_left`` characters other
+    than white space stay are dropped, unless they had no more at the start.
     """
     columns = docs.columns
     at = columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks, copies, ranges = (batch.column(len(columns) + c) for c in range(3))
-            texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, dtype=bool)
-            for r in np.flatnonzero(ranges.is_valid().to_numpy(zero_copy_only=False) | copies.to_numpy(zero_copy_only=False)).tolist():
-                data = (texts[r] or "").encode()
-                stay, gone, _ = kept_ranges(len(data), own_ranges(len(data), length, marks[r].as_py(), copies[r].as_py(), ranges[r].as_py()))
-                if not gone:
-                    continue
-                parts = []
-                for a, b in stay:
-                    while a > 0 and data[a] & 0xC0 == 0x80:
-                        a -= 1
-                    while b < len(data) and data[b] & 0xC0 == 0x80:
-                        b += 1
-                    parts.append(data[a:b].decode())
-                texts[r] = "".join(parts)
-                keep[r] = len("".join(texts[r].split())) >= least_left
-            new = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(new, columns).filter(pa.array(keep))
-
-    return with_ranges(docs, length, columns).mapInArrow(run, docs.schema).unionByName(docs.where("doc_id is null"))
+    def judged(left: pa.Table, gone: list) -> pa.Table:
+        row = left.column("kept").combine_chunks()
+        row = row.chunk(0) if isinstance(row, pa.ChunkedArray) else row
+        null, *own = (pc.struct_field(row, [i]) for i in range(len(columns)))
+        texts = pc.if_else(null, pa.scalar(None, pa.string()), left.column("text").combine_chunks()).to_pylist()
+        keep = np.ones(left.num_rows, dtype=bool)
+        for r, ranges in enumerate(gone):
+            if not ranges:
+                continue
+            data = texts[r].encode()
+            stay, parts = kept_ranges(len(data), ranges)[0], []
+            for a, b in stay:
+                while a > 0 and data[a] & 0xC0 == 0x80:
+                    a -= 1
+                while b < len(data) and data[b] & 0xC0 == 0x80:
+                    b += 1
+                parts.append(data[a:b].decode())
+            texts[r] = "".join(parts)
+            keep[r] = len("".join(texts[r].split())) >= least_left
+        own.insert(at, pa.array(texts, pa.string()))
+        return pa.Table.from_arrays(own, columns).filter(pa.array(keep))
+
+    return with_ranges(docs, length, [c for c in columns if c != "text"], judged, docs.schema).unionByName(docs.where("doc_id is null"))
