@@ -10,7 +10,8 @@
    by dual traversal: first each chunk with itself and with its classes' first chunks, then the pairs of chunks that are
    not yet all one component. Links found are verified on the whole sets and give the components.
 
-No pairs of a group are emitted, only the links that span its components; nothing is capped, and no step gathers a block.
+No pairs of a group are emitted, only the links that span its components or, where links are counted, each set's number of
+them; nothing is capped, and no step gathers a block.
 
 Defined cases: null text, or text without words, has the empty set (size 0) and is linked with nothing; fewer than k
 words make one shingle of the whole sequence; rows that repeat an id are rows of their own that end in the same result if their
@@ -54,7 +55,7 @@ def shingle_sets(docs: DataFrame, k: int, num: int, den: int, whole: bool = Fals
                 hashes = ts.span_hashes(data, starts, ends)
                 n, h1, h2, need, tokens = [], [], [], [], []
                 for own in ts.row_runs(hashes, counts, k):
-                    own = np.unique(own)
+                    own = ts.distinct(own)
                     size = len(own)
                     n.append(size), need.append(sure(overlap_of(size, num, den)))
                     h1.append(int(own.sum(dtype=np.uint64).view(np.int64)))
@@ -78,11 +79,16 @@ def blocks_of(nodes: DataFrame) -> DataFrame:
     return connected_components(edges)
 
 
-def chunk_links(members: DataFrame, tasks: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b): links that the tree joins of the tasks (block, c1, c2) find. members: (node, block, chunk, label, tokens)."""
+def chunk_links(members: DataFrame, tasks: DataFrame, num: int, den: int, counted: bool = False) -> DataFrame:
+    """(a, b): links that the tree joins of the tasks (block, c1, c2) find. members: (node, block, chunk, label, tokens).
+
+    ``counted``: instead (node, n), the summed labels of all sets that are similar to the node's in each task.
+    """
     left = tasks.select("block", "c1", "c2", F.col("c1").alias("chunk"), F.when(F.col("c1") == F.col("c2"), 2).otherwise(0).alias("side"))
     right = tasks.where("c1 <> c2").select("block", "c1", "c2", F.col("c2").alias("chunk"), F.lit(1).alias("side"))
-    rows = members.join(left.unionByName(right), ["block", "chunk"]).select(F.xxhash64("block", "c1", "c2").alias("task"), "side", "node", "label", "tokens")
+    rows = members.join(left.unionByName(right), ["block", "chunk"])
+    rows = rows.select(F.xxhash64("block", "c1", "c2").alias("task"), "side", "node", "label", "tokens")
+    names = ["node", "n"] if counted else ["a", "b"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by task, many small tasks to a batch; one task's sets are held at a time."""
@@ -105,13 +111,24 @@ def chunk_links(members: DataFrame, tasks: DataFrame, num: int, den: int) -> Dat
             return []
         ids = list(held)
         side, label, sets = zip(*held.values(), strict=True)
+        if counted:
+            n = signature_tree.degrees(list(sets), np.array(side), np.array(label), num, den)
+            return [(ids[i], int(n[i])) for i in np.flatnonzero(n).tolist()]
         return [(ids[i], ids[j]) for i, j in signature_tree.links(list(sets), np.array(side), np.array(label), num, den)]
 
     def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
         a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names)
+
+    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(meet, ", ".join(f"{x} long" for x in names))
 
-    return rows.repartition("task").sortWithinPartitions("task").mapInArrow(meet, "a long, b long")
+
+def all_chunk_pairs(members: DataFrame) -> DataFrame:
+    """(block, c1, c2): every chunk with itself and with the later ones of its block whose sets may be similar in size."""
+    chunks = members.select("block", "chunk", "class").distinct()
+    near = (F.abs(F.col("l.class") - F.col("r.class")) <= 1) & (F.col("l.chunk") <= F.col("r.chunk"))
+    met = chunks.alias("l").join(chunks.alias("r"), F.col("l.block") == F.col("r.block")).where(near)
+    return met.select("l.block", F.col("l.chunk").alias("c1"), F.col("r.chunk").alias("c2"))
 
 
 def placed_in_chunks(nodes: DataFrame, num: int, den: int, chunk_tokens: int) -> DataFrame:
@@ -144,28 +161,38 @@ def tree_components(members: DataFrame, num: int, den: int) -> tuple[DataFrame,
     return links, joined
 
 
-def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, chunk_tokens: int = 400_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links): documents linked where den * intersection >= num * union of their shingle sets.
+def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, chunk_tokens: int = 400_000, count_links: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id): documents linked where den * intersection >= num * union of their shingle sets.
 
-    n_links counts the spanning links that were found for the document's set, not all its links.
+    ``count_links`` adds n_links, the number of other rows that the document is linked with, copies included: then all
+    similar pairs of different sets are visited (and only counted), where otherwise those inside a component already
+    found are passed over.
     """
-    made = shingle_sets(docs, k, num, den).withColumn("row", F.monotonically_increasing_id())
-    rows = cut(made)
+    rows = cut(shingle_sets(docs, k, num, den).withColumn("row", F.monotonically_increasing_id()))
     key = ["h1", "h2", "n"]
-    equal = rows.where("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("m")).select(*key, F.col("m.doc_id").alias("first"), F.col("m.row").alias("node"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("m")
+    equal = rows.where("n > 0").groupBy(*key).agg(first, F.count("*").alias("copies"))
+    equal = equal.select(*key, F.col("m.doc_id").alias("first"), F.col("m.row").alias("node"), "copies")
     nodes = rows.join(equal.withColumnRenamed("node", "row").select("row", "first"), "row")
     blocks = blocks_of(nodes.select(F.col("row").alias("node"), "need", "tokens"))
-    placed = placed_in_chunks(blocks.join(nodes.select(F.col("row").alias("node"), *key, "doc_id"), "node").withColumnRenamed("component", "block"), num, den, chunk_tokens)
+    placed = blocks.join(nodes.select(F.col("row").alias("node"), *key, "doc_id"), "node").withColumnRenamed("component", "block")
+    placed = placed_in_chunks(placed, num, den, chunk_tokens)
     wanted = docs.join(side_of_ids(cut(placed.select("doc_id").distinct())), "doc_id", "left_semi")
     sets = shingle_sets(wanted, k, num, den, whole=True).select("doc_id", *key, "tokens")
     members = cut(placed.join(sets, ["doc_id", *key]).select("node", "block", "chunk", "class", "tokens"))
-    links, joined = tree_components(members, num, den)
-    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    joined = tree_components(members, num, den)[1]
     of_node = equal.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = of_node.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = of_node.join(least, "component").join(degree, "node", "left").select(*key, "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.select("doc_id", *key).join(named, key, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = of_node.join(least, "component").select("node", *key, "component_id", "copies")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    out = ["doc_id", F.col("n").alias("n_shingles"), component]
+    if count_links:
+        weighed = members.join(equal.select("node", F.col("copies").alias("label")), "node")
+        counted = chunk_links(weighed, all_chunk_pairs(members), num, den, counted=True).groupBy("node").agg(F.sum("n").alias("others"))
+        named = named.join(counted, "node", "left")
+        links = F.coalesce(F.col("copies") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).cast("long")
+        out.append(links.alias("n_links"))
+    return rows.select("doc_id", *key).join(named.drop("node"), key, "left").select(*out)
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

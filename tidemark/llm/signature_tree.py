@@ -3,16 +3,17 @@
 A tree's leaves hold up to ``LEAF`` sets; every node knows the OR of its sets' bitmaps, the least number of bits of any
 of them, and its range of set sizes. Two nodes are left alone when no pair of their sets can reach the similarity: the
 sizes are too far apart, or so many bits of one side's sets must lie outside the other side's bitmap that the rest is too small an
-overlap. They are also left alone when all their sets are one component already, as only components are asked for.
+overlap. Where only components are asked for (``links``), they are also left alone when all their sets are one component
+already; where each set's links are counted (``degrees``), every similar pair is found.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 LEAF, FAN = 32, 4
-#: So few sets are one leaf whose pairs are verified without bitmaps.
-FEW = 6
 
 
 class Union:
@@ -48,8 +49,8 @@ class Node:
 
 def bitmaps(sets: list[np.ndarray], n_bits: int) -> np.ndarray:
     flat = np.zeros((len(sets), n_bits), dtype=bool)
-    for i, s in enumerate(sets):
-        flat[i, (s.view(np.uint64) % np.uint64(n_bits)).astype(np.int64)] = True
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat[rows, (np.concatenate(sets).view(np.uint64) & np.uint64(n_bits - 1)).astype(np.int64)] = True
     return np.packbits(flat, axis=1).view(np.uint64)
 
 
@@ -77,27 +78,11 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def few_links(sets: list[np.ndarray], side: np.ndarray, labels: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    top, kinds, out = labels.tolist(), side.tolist(), []
-    for i in range(len(sets)):
-        for j in range(i):
-            n, m = len(sets[i]), len(sets[j])
-            if top[i] == top[j] or kinds[i] == kinds[j] != 2 or den * min(n, m) < num * max(n, m):
-                continue
-            both = overlap(sets[i], sets[j])
-            if den * both >= num * (n + m - both):
-                out.append((i, j))
-                top = [top[j] if x == top[i] else x for x in top]
-    return out
-
-
-def links(sets: list[np.ndarray], side: np.ndarray, labels: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Pairs (i, j) of similar sets, 100 * intersection >= share * union, that join different components; with labels, they span all components.
+def similar_pairs(sets: list[np.ndarray], side: np.ndarray, num: int, den: int, union: Union | None) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j) with den * intersection >= num * union, by dual traversal; with a ``union`` only those of different components.
 
     side: 0, 1, or 2 for both; pairs are sought between rows of side 0 or 2 and rows of side 1 or 2. Sets are sorted.
     """
-    if len(sets) <= FEW:
-        return few_links(sets, side, labels, num, den)
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
     n_bits = 64
     while n_bits < min(8192, 4 * int(sizes.max(initial=1))):
@@ -106,18 +91,19 @@ def links(sets: list[np.ndarray], side: np.ndarray, labels: np.ndarray, num: int
     bits = np.bitwise_count(maps).sum(axis=1).astype(np.int64)
     least = np.array([int(s.view(np.uint64)[0]) if len(s) else 0 for s in sets], dtype=np.uint64)
     order = np.lexsort((least, sizes))
-    union = Union(labels)
-    out: list[tuple[int, int]] = []
     left, right = order[side[order] != 1], order[side[order] != 0]
     if not len(left) or not len(right):
-        return out
+        return
     x = build(left, sizes, maps, bits)
     y = x if np.array_equal(left, right) else build(right, sizes, maps, bits)
     stack = [(x, y)]
     while stack:
         x, y = stack.pop()
-        tops = union.tops(np.concatenate([x.items, y.items]))
-        if (tops == tops[0]).all() or too_far(x, y, num, den):
+        if union is not None:
+            tops = union.tops(np.concatenate([x.items, y.items]))
+            if (tops == tops[0]).all():
+                continue
+        if too_far(x, y, num, den):
             continue
         if x.children or y.children:
             if x is y:
@@ -130,13 +116,31 @@ def links(sets: list[np.ndarray], side: np.ndarray, labels: np.ndarray, num: int
         a, b = sizes[x.items][:, None], sizes[y.items][None, :]
         outside_a = np.bitwise_count(maps[x.items][:, None, :] & ~maps[y.items][None, :, :]).sum(axis=2).astype(np.int64)
         outside_b = np.bitwise_count(maps[y.items][None, :, :] & ~maps[x.items][:, None, :]).sum(axis=2).astype(np.int64)
-        most = np.minimum(a - outside_a, b - outside_b)
-        for i, j in zip(*np.nonzero(most * (num + den) >= num * (a + b)), strict=True):
+        most = np.minimum(a - outside_a, b - outside_b) * (num + den) >= num * (a + b)
+        if x is y:
+            most = np.triu(most, 1)
+        for i, j in zip(*np.nonzero(most), strict=True):
             i, j = int(x.items[i]), int(y.items[j])
-            if i == j or union.find(i) == union.find(j):
+            if i == j or (union is not None and union.find(i) == union.find(j)):
                 continue
             both = overlap(sets[i], sets[j])
             if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
-                union.up[union.find(i)] = union.find(j)
-                out.append((i, j))
+                yield i, j
+
+
+def links(sets: list[np.ndarray], side: np.ndarray, labels: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Similar pairs that join different components; with labels, they span all components."""
+    union, out = Union(labels), []
+    for i, j in similar_pairs(sets, side, num, den, union):
+        union.up[union.find(i)] = union.find(j)
+        out.append((i, j))
+    return out
+
+
+def degrees(sets: list[np.ndarray], side: np.ndarray, weights: np.ndarray, num: int, den: int) -> np.ndarray:
+    """For each set the summed weights of all sets similar to it across the sides."""
+    out = np.zeros(len(sets), dtype=np.int64)
+    for i, j in similar_pairs(sets, side, num, den, None):
+        out[i] += weights[j]
+        out[j] += weights[i]
     return out
