@@ -8,12 +8,12 @@ passed over exactly once, so that no document is lost, or ``budget_tokens`` if g
 
 Budgets become block permutations: a source's documents are dealt by hash into blocks of about ``block_tokens`` tokens;
 each epoch orders the blocks, and the documents inside a block, by a hash of seed and epoch; documents are placed as
-long as the tokens before them are below the source's budget. Running sums are taken over blocks and inside blocks,
-never over a whole source in one task.
+long as the tokens before them are below the source's budget. Running sums are taken over groups of about ``GROUP``
+blocks, over the blocks of a group and over the documents of a block, so that a source with a third of all rows is never
+ordered in one task.
 
 Defined cases: null text counts no tokens; such documents are placed like others; null sources form one source of their own; a source
-without any token gets one pass; an empty table gives an empty
-result; repeated rows are placed as documents of their own, in the order of all their columns used here.
+without any token gets one pass; a null doc_id is placed like any other; an empty table gives an empty result; repeated rows are placed as documents of their own, in the order of all their columns used here.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .shared import cut
 
 BISECTIONS = 60
+#: Blocks to a group, about.
+GROUP = 4_096
 
 
 def tokens_of(text: Column) -> Column:
@@ -76,23 +78,45 @@ def plan(totals: DataFrame, target_entropy: float | None = None, most_repeats: f
     return totals.select("source", "tokens", F.lit(found["alpha"]).alias("alpha"), weight.alias("weight"), budget.alias("budget"))
 
 
+def fraction(h: Column) -> Column:
+    """A 64-bit hash as a number from 0 to below 1, in the order of ``shiftrightunsigned(h, 1)``."""
+    return F.shiftrightunsigned(h, 12).cast("double") / F.lit(float(1 << 52))
+
+
+def before(keys: list[str], order: list[Column | str], amount: str) -> Column:
+    """The sum of ``amount`` over what comes earlier among rows of the same keys."""
+    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(amount).over(window), F.lit(0))
+
+
 def mix(docs: DataFrame, target_entropy: float | None = None, most_repeats: float | None = 4.0, budget_tokens: int | None = None, block_tokens: int = 200_000, seed: int = 7) -> DataFrame:
     """(doc_id, source, n_tokens, weight, epoch, block, place): each placing of a document; place is the number of its source's tokens before it."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), tokens_of(F.col("text")).alias("tokens"))
+    rows = cut(rows)  # a few bytes a document; the texts are read once
     totals = cut(rows.groupBy("source").agg(F.sum("tokens").alias("tokens")))
     sources = plan(totals, target_entropy, most_repeats, budget_tokens)
     # Spark broadcasts this side if it is small and splits the hot sources of the other if it is not
-    dealt = rows.join(sources.select(F.col("source").alias("own"), F.col("tokens").alias("total"), "weight", "budget"), F.col("source").eqNullSafe(F.col("own"))).drop("own")
+    own = sources.select(F.col("source").alias("own"), F.col("tokens").alias("total"), "weight", "budget")
+    dealt = rows.join(own, F.col("source").eqNullSafe(F.col("own"))).drop("own")
     per = F.greatest(F.lit(1), F.ceil(F.col("total") / block_tokens)).cast("long")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), per))
-    blocks = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("in_block"), F.first("total").alias("total"), F.first("budget").alias("budget"))
-    epochs = F.greatest(F.lit(1), F.ceil(F.coalesce(F.try_divide(F.col("budget").cast("double"), F.col("total")), F.lit(1.0)))).cast("int")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), per)).withColumn("groups", F.ceil(per / GROUP))
+    kept = [F.first(c).alias(c) for c in ("total", "budget", "groups")]
+    blocks = dealt.groupBy("source", "block").agg(F.sum("tokens").alias("in_block"), *kept)
+    passes = F.coalesce(F.try_divide(F.col("budget").cast("double"), F.col("total")), F.lit(1.0))
+    epochs = F.greatest(F.lit(1), F.ceil(passes)).cast("int")
     blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0), epochs - 1)))
-    order = Window.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "block"), "block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("before", F.col("epoch") * F.col("total") + F.coalesce(F.sum("in_block").over(order), F.lit(0)))
+    blocks = blocks.withColumn("h", F.xxhash64(F.lit(seed), "epoch", "block")).withColumn("group", F.floor(fraction(F.col("h")) * F.col("groups")))
+    groups = blocks.groupBy("source", "epoch", "group").agg(F.sum("in_block").alias("in_group"))
+    groups = groups.withColumn("group_before", before(["source", "epoch"], ["group"], "in_group"))
+    groups = groups.select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("group").alias("g"), "group_before")
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("group") == F.col("g"))
+    blocks = blocks.join(groups, same).drop("s", "e", "g")
+    order = [F.shiftrightunsigned("h", 1), F.col("block")]
+    in_group = before(["source", "epoch", "group"], order, "in_block")
+    blocks = blocks.withColumn("before", F.col("epoch") * F.col("total") + F.col("group_before") + in_group)
     whole_pass = (F.col("epoch") == 0) & (F.col("budget") >= F.col("total"))
     used = blocks.where((F.col("before") < F.col("budget")) | whole_pass).select(F.col("source").alias("s"), F.col("block").alias("k"), "epoch", "before")
     placed = dealt.join(used, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("k"))).drop("s", "k")
-    inside = Window.partitionBy("source", "block", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", "doc_id"), "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("place", F.col("before") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-    return placed.where((F.col("place") < F.col("budget")) | whole_pass).select("doc_id", "source", F.col("tokens").alias("n_tokens"), "weight", "epoch", "block", "place")
+    inside = before(["source", "block", "epoch"], [F.xxhash64(F.lit(seed), "epoch", "doc_id"), F.col("doc_id"), F.col("tokens")], "tokens")
+    placed = placed.withColumn("place", F.col("before") + inside).where((F.col("place") < F.col("budget")) | whole_pass)
+    return placed.select("doc_id", "source", F.col("tokens").alias("n_tokens"), "weight", "epoch", "block", "place")
