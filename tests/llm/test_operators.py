@@ -56,6 +56,11 @@ def shingles(text, k):
 
 @pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80)])
 def test_jaccard_components(spark, docs, none, corpus, k, num):
+    for chunk_tokens in (400_000, 300):  # one chunk to a block, and many
+        links = {r["doc_id"]: r["n_links"] for r in jaccard_join.components(docs, k=k, num=num, chunk_tokens=chunk_tokens, count_links=True).collect()}
+        all_sets = [(r[0], shingles(r[1], k)) for r in corpus]
+        similar = [[bool(a and b) and 100 * len(a & b) >= num * len(a | b) for _, b in all_sets] for _, a in all_sets]
+        assert links == {all_sets[i][0]: max(0, sum(x) - 1) for i, x in enumerate(similar)}
     got = {r["doc_id"]: r for r in jaccard_join.components(docs, k=k, num=num).collect()}
     sets = [(r[0], shingles(r[1], k)) for r in corpus]
     up = {i: i for i, _ in sets}
@@ -84,6 +89,24 @@ def test_jaccard_chunks_agree(docs):
     assert one == many
 
 
+def test_jaccard_many_mutual_links(spark):
+    """Every link of a group of mutually similar texts is counted, though its component needs but a few of them."""
+    rng = random.Random(8)
+    base = words(rng, 120)
+    rows = []
+    for i in range(90):
+        w = list(base)
+        w[rng.randrange(120)] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(500, rows[3][1]), (501, rows[3][1]), (None, rows[3][1]), (502, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.components(docs, k=3, num=90, chunk_tokens=2_000, count_links=True).collect()
+    sets = [(r[0], shingles(r[1], 3)) for r in rows]
+    want = sorted((str(i), sum(1 for _, b in sets if a and b and 100 * len(a & b) >= 90 * len(a | b)) - bool(a)) for i, a in sets)
+    assert sorted((str(r["doc_id"]), r["n_links"]) for r in got) == want
+    assert {r["component_id"] for r in got if r["n_shingles"]} == {0}
+
+
 def test_drop_near_duplicates(docs, corpus):
     kept = jaccard_join.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
@@ -108,7 +131,7 @@ def removed_bytes(rows, length):
 
 @pytest.mark.parametrize("slice_bytes", [2_000_000, 500])
 def test_suffix_dedup(docs, none, corpus, slice_bytes, monkeypatch):
-    monkeypatch.setattr(suffix_dedup.removed_ranges, "__defaults__", (50, slice_bytes))
+    monkeypatch.setattr(suffix_dedup.removed_parts, "__defaults__", (50, slice_bytes))
     got = {r["doc_id"]: r for r in suffix_dedup.digest(docs).collect()}
     gone = removed_bytes({(r[0], r[1]) for r in corpus}, 50)
     for i, text in {(r[0], r[1]) for r in corpus}:
@@ -226,12 +249,77 @@ def test_language_unspaced(spark):
     model = language_id.fit(train)
     assert model["langs"] == ["aa", "bb"]  # unspaced text is learned from
     text = run("aa", 450) + run("bb", 4000)
-    assert language_id.judge(model, {}, text, 20)[0] == "bb"  # what lies beyond the first 400 letters counts
+    assert language_id.judge(model, text)[0] == "bb"  # what lies beyond the first 400 letters counts
     long = run("bb", 1200)
-    assert language_id.judge(model, {}, long + " " + " ".join(run("aa", 4) for _ in range(6)), 20)[0] == "bb"  # and a run weighs by its length
+    assert language_id.judge(model, long + " " + " ".join(run("aa", 4) for _ in range(6)))[0] == "bb"  # and a run weighs by its length
     many = {"".join(w) for w in zip(*[rng.choices("abcdefghij", k=30_000) for _ in range(7)])}
     both = language_id.fit(spark.createDataFrame([(" ".join(many) + " " + " ".join(many), "cc")], "text string, lang string"))
-    assert set(both["levels"][0]) == many and len(both["levels"][0]) > 20_000  # no cap on rank
+    assert language_id.is_known(both, sorted(many)).all() and len(both["words"][0]) == len(many) > 20_000  # no cap on rank
+
+
+def slow_language(train, text, longest=5, full_weight=20):
+    """Score and back-off stated word by word. train: (text, lang) of different texts."""
+    counts = {}
+    for t, lang in train:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            own = counts.setdefault(lang, {})
+            if len(w) <= 40:
+                own["", w] = own.get(("", w), 0) + 1
+            b = f"^{w}$"
+            for n in range(1, longest + 1):
+                for i in range(len(b) - n + 1):
+                    own[n, b[i : i + n]] = own.get((n, b[i : i + n]), 0) + 1
+    langs = sorted(counts)
+    kept = [{k: n for k, n in counts[x].items() if n >= (1 if k[0] == 1 else 2)} for x in langs]
+    all_keys = {k for x in kept for k in x}
+    sums = {kind: [sum(n for k, n in x.items() if k[0] == kind) for x in kept] for kind in ["", *range(1, longest + 1)]}
+    sizes = {kind: max(1, sum(k[0] == kind for k in all_keys)) for kind in sums}
+
+    def logs(key):
+        return [math.log((x.get(key, 0) + 0.5) / (sums[key[0]][i] + 0.5 * sizes[key[0]])) for i, x in enumerate(kept)]
+
+    found = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not found or not langs:
+        return "und", 0.0
+    total, weight = [0.0] * len(langs), 0
+    for w in found:
+        units = max(1, -(-len(w) // 40))
+        weight += units
+        if ("", w) in all_keys:
+            own = logs(("", w))
+        else:
+            b, i, parts, own = f"^{w}$", 0, 0, [0.0] * len(langs)
+            while i < len(b):
+                n = next((n for n in range(min(longest, len(b) - i), 0, -1) if (n, b[i : i + n]) in all_keys), 0)
+                if n:
+                    own = [x + y + math.log(0.4) * (longest - n) for x, y in zip(own, logs((n, b[i : i + n])), strict=True)]
+                    parts += 1
+                i += n or 1
+            own = [x * min(1.0, 2.0 * units / max(parts, 1)) for x in own]
+        total = [x + y for x, y in zip(total, own, strict=True)]
+    best = total.index(max(total))
+    return langs[best], 1 / sum(math.exp((x - total[best]) * min(1.0, full_weight / weight)) for x in total)
+
+
+def test_language_against_slow_statement(spark):
+    """Scores, back-off, ties, very long texts and repeated rows against the plain statement."""
+    rng = random.Random(12)
+    stock = {"aa": words(rng, 40, "bdgm"), "bb": words(rng, 40, "ptkm")}
+    train = list({" ".join(rng.choices(stock[k], k=rng.randint(1, 30))): k for k in stock for _ in range(20)}.items())
+    texts = [" ".join(rng.choices(stock["aa"] + stock["bb"], k=9)) for _ in range(20)] + ["İstanbul ẞ ΣΑΣ", "zzz qqq", "bim1dam_tok-pat", "漢字" * 30, "", None, "12 --", " ".join(rng.choices(stock["bb"], k=60_000)), "x" * 500]
+    texts += ["".join(rng.choices("bdgptkaeiou", k=rng.randint(1, 130))) for _ in range(30)] + [texts[0]]
+    model = language_id.fit(spark.createDataFrame(train, "text string, lang string"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        lang, score = slow_language(train, text)
+        assert got[i]["lang_pred"] == lang and abs(got[i]["score"] - score) < 1e-4, text
+    tie = language_id.fit(spark.createDataFrame([("same words", "zz"), ("same words", "aa")], "text string, lang string"))
+    assert language_id.judge(tie, "same words") == ("aa", 0.5)
+    repeated = language_id.predict(docs.union(docs).withColumn("lang_pred", F.lit("clash")), model)
+    assert repeated.count() == 2 * len(texts)
+    assert language_id.predict(spark.createDataFrame([(None, "same")], "doc_id long, text string"), tie).first()["doc_id"] is None
 
 
 def test_license_scan(spark, none):
@@ -358,6 +446,56 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(docs).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+@pytest.mark.parametrize("limit", [{"most_repeats": 2.5}, {"most_repeats": None, "target_entropy": 1.2}, {"most_repeats": 4.0, "budget_tokens": 700}])
+def test_mixing_against_plain_statement(spark, limit, monkeypatch):
+    """Exponent, budgets and places in plain Python; null ids and texts, very long texts, a hot source, several groups of blocks."""
+    monkeypatch.setattr(mixing, "GROUP", 3)
+    rng = random.Random(4)
+    rows = [(i, " ".join(words(rng, rng.randint(1, 9))), "hot" if i % 3 else f"s{i % 4}") for i in range(240)]
+    rows += [(None, "no id", "hot"), (900, None, "s0"), (901, "", "none"), (902, "w " * 5_000, "s1"), (903, "x", None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_tokens=60, **limit).collect()
+    tokens = {}
+    for _, t, s in rows:
+        tokens[s] = tokens.get(s, 0) + len((t or "").split())
+    total = sum(tokens.values())
+    share = {s: n / total for s, n in tokens.items() if n}
+
+    def kept(a):
+        raised = {s: p**a for s, p in share.items()}
+        norm = sum(raised.values())
+        if limit.get("target_entropy"):
+            return -sum(r / norm * math.log(r / norm) for r in raised.values()) >= limit["target_entropy"]
+        ratio = [raised[s] / share[s] for s in share]
+        return max(ratio) <= limit["most_repeats"] * min(ratio)
+
+    lo, hi = 0.0, 1.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if kept(mid) == bool(limit.get("target_entropy")) else (lo, mid)
+    alpha = lo if limit.get("target_entropy") else hi
+    raised = {s: p**alpha for s, p in share.items()}
+    weight = {s: r / sum(raised.values()) for s, r in raised.items()}
+    least = min(raised[s] / share[s] for s in share)
+    for s in tokens:
+        own = [r for r in got if r["source"] == s]
+        if s not in share:
+            assert len(own) == sum(x[2] == s for x in rows)
+            continue
+        budget = limit["budget_tokens"] * weight[s] if "budget_tokens" in limit else total * raised[s] / least
+        budget = math.ceil(budget - 1e-6)
+        assert all(math.isclose(r["weight"], weight[s], rel_tol=1e-9) for r in own)
+        at = 0
+        for r in sorted(own, key=lambda r: (r["place"], r["n_tokens"])):  # places are running sums without gaps
+            assert r["place"] == at
+            at += r["n_tokens"]
+        assert at >= min(budget, max(budget, tokens[s]) if budget >= tokens[s] else budget)
+        for e in range(max(r["epoch"] for r in own)):  # all but the last pass hold every document once
+            assert sorted(str(r["doc_id"]) for r in own if r["epoch"] == e) == sorted(str(x[0]) for x in rows if x[2] == s)
+        blocks = [[r["block"] for r in sorted(own, key=lambda r: (r["place"], r["n_tokens"])) if r["epoch"] == 0 and r["n_tokens"]]]
+        for b in blocks:  # a block's documents stand together
+            assert sum(x != y for x, y in zip(b, b[1:])) == len(set(b)) - 1
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t{n}</title><style>p{{}}</style><script>var a="<p>no</p>";</script></head><body>
 <header><h2>Site</h2></header><nav><ul><li><a href=/>Home</a><li><a href=/x>X</a></ul></nav><!-- <p>no</p> --><div class="cookie-notice">We use cookies {n}</div>
 {open}<h1>Title {n} &amp; more</h1><p>First <b>para</b>&nbsp;{n}
@@ -388,7 +526,9 @@ def test_html_wrapper_shape():
     assert [(k[html_wrapper.KEY], k[html_wrapper.REPEATED]) for k in rows[html_wrapper.KIDS]] == [("dt", True), ("dd", True)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("part_edges", [400_000, 25])
+def test_components(spark, part_edges, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.shared.PART_EDGES", part_edges)
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
