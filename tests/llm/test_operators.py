@@ -519,11 +519,65 @@ def test_html(spark, opened, close):
 
 def test_html_wrapper_shape():
     pages = ["<article><h1>A</h1><p>x</p><p>y</p></article>", "<article><h1>B</h1><h3>sub</h3><p>z</p></article>"]
-    w = html_wrapper.merged(*[html_wrapper.expression(html_wrapper.parse(p)) for p in pages])
-    article = w[html_wrapper.KIDS][0]
-    assert [(k[html_wrapper.KEY], k[html_wrapper.OPTIONAL], k[html_wrapper.REPEATED]) for k in article[html_wrapper.KIDS]] == [("h1", False, False), ("h3", True, False), ("p", False, True)]
-    rows = html_wrapper.expression(html_wrapper.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl>"))[html_wrapper.KIDS][0]
-    assert [(k[html_wrapper.KEY], k[html_wrapper.REPEATED]) for k in rows[html_wrapper.KIDS]] == [("dt", True), ("dd", True)]
+    w = html_wrapper.merged(*[html_wrapper.stream(html_wrapper.parse(p)) for p in pages])
+    shape = [(n[html_wrapper.NAME], html_wrapper.optional(w, x), html_wrapper.repeated(w, x)) for x, n in w.items() if n[html_wrapper.LEVEL] == 2]
+    assert shape == [("h1", False, False), ("h3", True, False), ("p", False, True)]
+    rows = html_wrapper.stream(html_wrapper.parse("<dl><dt>a<dd>b<dt>c<dd>d</dl>"))
+    assert [(n[html_wrapper.NAME], html_wrapper.repeated(rows, x)) for x, n in rows.items() if n[html_wrapper.LEVEL] == 2] == [("dt", True), ("dd", True)]
+    same = html_wrapper.merged(*[html_wrapper.stream(html_wrapper.parse(f"<p>alike</p><b>{i}</b>")) for i in range(2)])
+    assert [n[html_wrapper.CONSTANT] is None for n in same.values()] == [False, False, True]
+
+
+def texts_of_pages(spark, htmls, host="http://one.example/"):
+    rows = [(i, f"{host}{i}", h) for i, h in enumerate(htmls)]
+    return {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_wrapper_decides(spark):
+    """Without article or main elements the host's pages together name the content; one page alone would not."""
+    rng = random.Random(6)
+
+    def page(n, box):
+        body = "".join(f"<p>{' '.join(words(rng, 12))}</p>" for _ in range(n))
+        return f"<body><div class=col-a><h1>T</h1>{body}</div><div class=col-b><p>{' '.join(words(rng, box))}</p></div><div class='social-x'><p>Follow us here</p></div></body>"
+
+    htmls = [page(20, 4) for _ in range(6)] + [page(1, 40)]
+    got = texts_of_pages(spark, htmls)
+    assert got[6].count("\n") == 1 and got[6].startswith("T\n")  # its side box is longer than its text
+    alone = texts_of_pages(spark, htmls[6:])[0]
+    assert alone != got[6]
+    assert all(x.startswith("T\n") and x.count("\n") == 20 and "Follow" not in x for i, x in got.items() if i < 6)
+
+
+def test_html_class_words(spark):
+    """A word in a class or id removes nothing of an article by itself."""
+    body = "<h1>H</h1><p>first</p><div class='social-history'><p>of weavers {n}</p></div><div id=notice-board>kept {n}</div><div class='share-buttons'>Share</div><section id=comments><p>me too {n}</p></section>"
+    opened = ["<article class='post comments-open promotion'>", "<main class='content has-sidebar'>", "<div role=main class=no-sidebar>", "<article class=ad>"]
+    for i, o in enumerate(opened):
+        tag = re.match("<([a-z]+)", o)[1]
+        htmls = [f"<body><nav>N</nav>{o}{body.format(n=n)}</{tag}><footer>F</footer></body>" for n in range(4)]
+        got = texts_of_pages(spark, htmls, f"http://h{i}.example/")
+        assert got == {n: f"H\nfirst\nof weavers {n}\nkept {n}" for n in range(4)}
+    weak = [f"<article><p>text {n}</p><div class='ad-zone'>Buy now at our shop</div></article>" for n in range(4)]
+    assert texts_of_pages(spark, weak) == {n: f"text {n}" for n in range(4)}  # constant on all pages, so of the template
+
+
+def test_html_deep_long_and_odd(spark):
+    deep = "<article>" + "<div>" * 3_000 + "inside" + "</div>" * 3_000 + "<p>after</p></article>"
+    asides = "<article><p>kept</p></article>" + "<aside>" * 1_200 + "x"
+    long = "<article>" + "".join(f"<p>p{i} &lt;</p>" for i in range(20_000)) + "</article>"
+    hashed = [f"<body><div class='sc{i}x9'><p>{'text ' * 30}{i}</p></div></body>" for i in range(30)]
+    got = texts_of_pages(spark, [deep, asides, long, "</p></div>", "<p>aaaa<table><tr><td>b<td>c</table>"])
+    assert got[0] == "inside\nafter" and got[1] == "kept"
+    assert got[2] == "\n".join(f"p{i} <" for i in range(20_000))
+    assert (got[3], got[4]) == ("", "aaaa\nb\nc")
+    assert texts_of_pages(spark, hashed, "http://hash.example/") == {i: "text " * 30 + str(i) for i in range(30)}
+    merged = html_wrapper.stream(html_wrapper.parse(hashed[0]))
+    for h in hashed[1:]:
+        merged = html_wrapper.merged(merged, html_wrapper.stream(html_wrapper.parse(h)))
+    assert len(merged) == 4  # names made for each build do not grow the wrapper
+    empty = spark.createDataFrame([], "page_id long, url string, html string, text string")
+    assert html_wrapper.extract(empty).count() == 0
 
 
 @pytest.mark.parametrize("part_edges", [400_000, 25])
