@@ -4,8 +4,8 @@ A text is cut into units (at line ends, and after . ! ? ; or : before white spac
 letters, every other character than a-z and 0-9 a space, single spaces). A known licence sentence is found where neighbouring units, with no
 blank line among them, make up the whole of it, so it may be wrapped over lines or hold a stop; where several begin at one unit, the longest counts, and the
 search goes on after it. Both tables are constants of this module, so that they are literals of the plan and nothing is shuffled. The identifiers
-found in a document, in order, are matched against ordered rules: a rule holds where its identifiers follow one another directly
-among those found.
+found in a document, in order, are matched against ordered rules, longest first: a rule holds where its identifiers follow
+one another directly among those found that no longer rule with the same identifiers has taken.
 
 Defined cases: null or empty text has no sentence and no licence; a sentence that repeats counts each time; a licence is
 named once however often its rules hold; extra columns are ignored.
@@ -45,11 +45,43 @@ SENTENCES: dict[str, str] = {
     "cc0-ref": "This work is dedicated to the public domain under CC0 1.0.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "reserved": "All rights reserved.",
-    "spdx-mit": "SPDX-License-Identifier: MIT",
-    "spdx-apache": "SPDX-License-Identifier: Apache-2.0",
-    "spdx-gpl3": "SPDX-License-Identifier: GPL-3.0-only",
+    "apache-title": "Apache License",
+    "apache-v2": "Version 2.0, January 2004",
+    "gpl3-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl2-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-title": "GNU LESSER GENERAL PUBLIC LICENSE",
+    "lgpl-v21": "Version 2.1, February 1999",
+    "lgpl21-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-title": "GNU AFFERO GENERAL PUBLIC LICENSE",
+    "agpl-v3": "Version 3, 19 November 2007",
+    "agpl3-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl-title": "Mozilla Public License Version 2.0",
+    "mpl11-notice": "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\");",
+    "epl2-title": "Eclipse Public License - v 2.0",
+    "epl1-title": "Eclipse Public License - v 1.0",
+    "boost-title": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "boost-ref": "Distributed under the Boost Software License, Version 1.0.",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-event": "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "wtfpl-title": "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE",
+    "wtfpl-v2": "Version 2, December 2004",
+    "cc0-title": "CC0 1.0 Universal",
+    "cc-by-title": "Creative Commons Attribution 4.0 International",
+    "cc-by-sa-title": "Creative Commons Attribution-ShareAlike 4.0 International",
+    "cc-by-nc-title": "Creative Commons Attribution-NonCommercial 4.0 International",
+    "bsd3-ref": "Licensed under the BSD 3-Clause License.",
+    "bsd2-ref": "Licensed under the BSD 2-Clause License.",
+    "isc-title": "ISC License",
 }
 
+# Licence identifiers that stand after "SPDX-License-Identifier:", each a sentence and a rule of its own.
+SPDX: list[str] = """MIT MIT-0 Apache-2.0 BSD-2-Clause BSD-3-Clause 0BSD ISC Zlib BSL-1.0 MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 CDDL-1.0
+    GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later
+    AGPL-3.0-only AGPL-3.0-or-later CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 Unlicense WTFPL Artistic-2.0 PostgreSQL
+    Python-2.0 EUPL-1.2 NCSA""".split()
+SENTENCES |= {f"spdx-{x.lower()}": f"SPDX-License-Identifier: {x}" for x in SPDX}
+
 # Rules as (licence, identifiers in order).
 RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MIT", ("mit-ref",)),
@@ -57,13 +89,33 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("MIT", ("mit-title", "mit-grant")),
     ("MIT", ("mit-title-the", "mit-grant")),
     ("MIT", ("mit-grant", "mit-notice")),
-    ("MIT", ("spdx-mit",)),
     ("Apache-2.0", ("apache-ref",)),
     ("Apache-2.0", ("apache-header", "apache-use")),
-    ("Apache-2.0", ("spdx-apache",)),
+    ("Apache-2.0", ("apache-title", "apache-v2")),
     ("GPL-3.0", ("gpl3-ref",)),
     ("GPL-3.0", ("gpl-title", "gpl-v3")),
-    ("GPL-3.0", ("spdx-gpl3",)),
+    ("GPL-3.0", ("gpl3-notice",)),
+    ("GPL-2.0", ("gpl2-notice",)),
+    ("LGPL-2.1", ("lgpl-title", "lgpl-v21")),
+    ("LGPL-2.1", ("lgpl21-notice",)),
+    ("LGPL-3.0", ("lgpl-title", "gpl-v3")),
+    ("LGPL-3.0", ("lgpl3-notice",)),
+    ("AGPL-3.0", ("agpl-title", "agpl-v3")),
+    ("AGPL-3.0", ("agpl3-notice",)),
+    ("BSD-3-Clause", ("bsd3-ref",)),
+    ("BSD-2-Clause", ("bsd2-ref",)),
+    ("MPL-2.0", ("mpl-title",)),
+    ("MPL-1.1", ("mpl11-notice",)),
+    ("EPL-2.0", ("epl2-title",)),
+    ("EPL-1.0", ("epl1-title",)),
+    ("BSL-1.0", ("boost-title",)),
+    ("BSL-1.0", ("boost-ref",)),
+    ("Zlib", ("zlib-warranty", "zlib-event")),
+    ("WTFPL", ("wtfpl-title", "wtfpl-v2")),
+    ("CC0-1.0", ("cc0-title",)),
+    ("CC-BY-4.0", ("cc-by-title",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-title",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-title",)),
     ("GPL-2.0", ("gpl-title", "gpl-v2")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
@@ -77,7 +129,8 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("LicenseRef-all-rights-reserved", ("reserved",)),
 ]
 
-BREAK = r"([.!?;:])[ \t\r\n]+"
+RULES += [(re.sub("-(only|or-later)$", "", x), (f"spdx-{x.lower()}",)) for x in SPDX]
+
 INNER_BREAK = r"([.!?;:])[ \t\r]+(?=[^ \t\r\n])"
 
 
@@ -85,11 +138,6 @@ def plain(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), sentence)).strip()
 
 
-def pieces(sentences: dict[str, str]) -> dict[str, str]:
-    """First piece of each sentence to identifier: the older rule, which the SQL still states."""
-    return {plain(re.sub(BREAK, "\\1\n", s).split("\n")[0]): k for k, s in sentences.items()}
-
-
 def forms(sentences: dict[str, str]) -> dict[str, str]:
     """Normalised form of each whole sentence to identifier."""
     out: dict[str, str] = {}
@@ -118,21 +166,47 @@ def found_ids(text: Column, sentences: dict[str, str]) -> Column:
 def scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, tuple[str, ...]]] = RULES) -> DataFrame:
     """(doc_id, n_sentences, sentence_ids, licenses) per document row: identifiers in order and licences sorted, comma-joined."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), found_ids(F.col("text"), sentences).alias("ids"))
-    trail = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
-    held = F.array(*[F.when(F.contains(trail, F.lit(f",{','.join(ids)},")), F.lit(name)) for name, ids in rules])
+    trail = F.array_join(F.transform("ids", lambda x: F.concat(F.lit(","), x, F.lit(","))), "")
+    held = F.array(*[F.when(F.contains(without(trail, longer), F.lit(step(ids))), F.lit(name)) for name, ids, longer in ordered(rules)])
     licences = F.array_sort(F.array_distinct(F.filter(held, lambda x: x.isNotNull())))
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), F.array_join(licences, ",").alias("licenses"))
 
 
+def step(ids: tuple[str, ...]) -> str:
+    return "".join(f",{x}," for x in ids)
+
+
+def ordered(rules: list[tuple[str, tuple[str, ...]]]) -> list[tuple[str, tuple[str, ...], list[tuple[str, ...]]]]:
+    """Each rule with the longer ones that hold its identifiers, longest first: where those hold, it doesn't."""
+    return [(name, ids, sorted({x for _, x in rules if len(x) > len(ids) and step(ids) in step(x)}, key=len, reverse=True)) for name, ids in rules]
+
+
+def without(trail: Column, taken: list[tuple[str, ...]]) -> Column:
+    for ids in taken:
+        trail = F.replace(trail, F.lit(step(ids)), F.lit("|"))
+    return trail
+
+
 def oracle() -> str:
-    """The same in DuckDB's SQL."""
+    """The same in DuckDB's SQL: line ends are doubled there, as its patterns can't look ahead."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    keys = ", ".join(f"{quote(k)}: {quote(v)}" for k, v in pieces(SENTENCES).items())
-    rules = ", ".join(f"CASE WHEN contains(trail, {quote(',' + ','.join(ids) + ',')}) THEN {quote(name)} END" for name, ids in RULES)
+    known = forms(SENTENCES)
+    names = ", ".join(f"{quote(k)}: {quote(v)}" for k, v in known.items())
+    whole = "|".join(form.replace(" ", "(?: |\n\n)") for form in sorted(known, key=len, reverse=True))
+
+    def rest(longer: list[tuple[str, ...]]) -> str:
+        out = "trail"
+        for ids in longer:
+            out = f"replace({out}, {quote(step(ids))}, '|')"
+        return out
+
+    rules = ", ".join(f"CASE WHEN contains({rest(longer)}, {quote(step(ids))}) THEN {quote(name)} END" for name, ids, longer in ordered(RULES))
     return f"""
-    WITH shapes AS (SELECT doc_id, list_transform(string_split(regexp_replace(text, '([.!?;:])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)),
-        lambda s: trim(regexp_replace(translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'))) AS s FROM documents),
-    found AS (SELECT doc_id, coalesce(list_filter(list_transform(s, lambda x: MAP {{{keys}}}[x]), lambda x: x IS NOT NULL), []) AS ids FROM shapes),
-    trails AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS trail FROM found)
+    WITH cut AS (SELECT doc_id, translate(regexp_replace(coalesce(text, ''), '([.!?;:])[ \t\r]+([^ \t\r\n])', '\1' || chr(10) || '\2', 'g'),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    units AS (SELECT doc_id, chr(10) || trim(regexp_replace(regexp_replace(t, '[^a-z0-9\n]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), ' ') || chr(10) AS t FROM cut),
+    found AS (SELECT doc_id, list_transform(regexp_extract_all(replace(t, chr(10), chr(10) || chr(10)), '\n({whole})\n', 1),
+        lambda s: MAP {{{names}}}[replace(s, chr(10) || chr(10), ' ')]) AS ids FROM units),
+    trails AS (SELECT doc_id, ids, list_aggregate(list_transform(ids, lambda x: ',' || x || ','), 'string_agg', '') AS trail FROM found)
     SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,
         array_to_string(list_sort(list_distinct(list_filter([{rules}], lambda x: x IS NOT NULL))), ',') AS licenses FROM trails"""

@@ -54,7 +54,8 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     sums = running(data)
     down = ts.table("down", ts.INVERSE, len(data) + 1)
     grams = ts.mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1])
-    place = ts.least_places(grams, length - GRAM + 1)  # equal in the bits that name the anchor, whichever of equals it is
+    origin = np.repeat(offsets[:-1], np.diff(offsets))
+    place = ts.least_places(grams, length - GRAM + 1, origin)  # equal in the bits that name the anchor, whichever of equals it is
     first, last = offsets[:-1], offsets[1:] - length
     fits = last >= first
     changed = np.flatnonzero(place[1:n] != place[: n - 1]) + 1

@@ -116,19 +116,21 @@ def minimum_places(values: np.ndarray, want: int) -> np.ndarray:
     return place
 
 
-def least_places(values: np.ndarray, want: int) -> np.ndarray:
-    """For each window of ``want`` values the place of the smallest, by all bits but the lowest that number a window's places; of equals any."""
+def least_places(values: np.ndarray, want: int, origin: np.ndarray) -> np.ndarray:
+    """For each window of ``want`` values the place of the smallest, by all bits but the lowest that number a window's places.
+
+    Of equals the one that comes first by those bits of its distance from ``origin``, so that it depends on the row alone.
+    """
     if want > 1 << 16:
         raise ValueError("windows of more than 65536 values leave too few bits to tell values apart")
     low = np.uint64((1 << want.bit_length()) - 1)
-    at = np.arange(len(values), dtype=np.uint64)
+    at = (np.arange(len(values), dtype=np.int64) - origin[: len(values)]).view(np.uint64)
     least, width = (values & ~low) | (at & low), 1
     while width < want:
         step = min(width, want - width)
         least = np.minimum(least[:-step], least[step:])
         width += step
-    at = at[: len(least)]
-    return (at + ((least - at) & low)).view(np.int64)
+    return np.arange(len(least)) + ((least - at[: len(least)]) & low).view(np.int64)
 
 
 def distinct(values: np.ndarray) -> np.ndarray:
