@@ -179,6 +179,31 @@ def test_reports(spark):
     assert {r["symbol"]: r["sl"] for r in reports.by_symbol(x).collect()} == {"A": 0, "B": 1}
 
 
+def test_months_begin_with_the_second_bar(spark):
+    """Nothing is traded on a run's first bar, so a month that holds only that bar is no month of the report."""
+    rows = [("r", "equity", i, t * 86_400_000, e) for i, (t, e) in enumerate([(30, 100.0), (31, 120.0), (32, 90.0), (33, 99.0)])]
+    x = spark.createDataFrame(rows, "run_id string, kind string, i long, ts long, equity double")
+    x = x.selectExpr("*", "cast(null as string) symbol", "cast(null as double) pnl_abs", "cast(null as double) pnl_pct")
+    assert [r["month"] for r in reports.by_month(x).collect()] == ["1970-02"]
+    found = reports.risk(x, 100.0).first()
+    assert found["calmar"] == pytest.approx(((99 / 100) ** (365 / 3) - 1) / 0.25)
+    assert reports.risk(x).columns == ["run_id", "sharpe", "sortino", "cagr"]
+
+
+def test_overlapping_levels_and_best(spark):
+    c = spark.createDataFrame([("A", 1), ("A", 2), ("B", 2), ("B", 9), (None, 2)], "symbol string, open_time long")
+    assert {r["symbol"] for r in simulator.overlapping(c, 1, 5).collect()} == {"A"}
+    assert {r["symbol"] for r in simulator.overlapping(c, 1, 5, 1).collect()} == {"A", "B"}
+    assert metrics.levels() == (0.5, 0.55, 0.6, 0.65, 0.7) and metrics.levels(0.584)[1] == 0.58
+    gains = spark.createDataFrame([(f, n, g) for f in (1, 2) for n, g in (("x", 3.0), ("y", 5.0), ("z", 3.0), ("w", 0.0))], "fold int, feature string, gain double")
+    best = metrics.best_features(metrics.importances(gains), 3).orderBy("place").collect()
+    assert [(r["place"], r["feature"], r["nonzero"]) for r in best] == [(1, "y", 2), (2, "x", 2), (3, "z", 2)]
+    y = spark.createDataFrame([(1, 1, 0.9), (1, 0, 0.2), (2, 1, 0.1), (2, 0, 0.2)], "fold int, y int, p_long double")
+    assert {r["fold"]: r["accuracy"] for r in metrics.classification(y, ["fold"]).collect()} == {1: 1.0, 2: 0.5}
+    folds = spark.createDataFrame([(1, 0.5), (2, 0.7)], "fold int, accuracy double")
+    assert metrics.stability(folds).first()["accuracy_range"] == pytest.approx(0.2)
+
+
 def test_store_and_sync(spark, tmp_path):
     store = tables.Store(spark, str(tmp_path))
     make = lambda *t: spark.createDataFrame([("X", "1h", i * HOUR, 1.0, 2.0, 0.5, float(v), 1.0, 1.0) for i, v in t], tables.SCHEMAS["candles"])

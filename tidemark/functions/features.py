@@ -53,7 +53,33 @@ INTERACTION_INPUTS: dict[str, list[str]] = {
 }
 SKIPPED = ["ema_fast_slow_x_vol_of_vol", "trend_efficiency_x_vol_stability", "signal_x_high_vol_stress"]
 
-PROFILES: dict[str, list[str]] = {"all": NAMES}
+# The named profiles.
+PROFILES: dict[str, list[str]] = {
+    "all": NAMES,
+    "empty": [],
+    "base_only": [
+        "realized_vol_1h",
+        "ema_fast_slow",
+        "return_1h_24",
+        "linear_regression_slope_atr_1h_24",
+        "trend_efficiency_24h",
+        "atr_ratio_1h",
+        "range_compression_1h",
+        "price_position_1h",
+        "relative_strength_vs_btc_24h",
+        "residual_return_24h",
+        "return_4h_3",
+        "return_4h_14",
+        "ema_slope_4h",
+        "realized_vol_4h_returns_20",
+        "market_breadth_pos_return_4h_3",
+        "market_dispersion_return_4h_3",
+        "zscore_vs_vwap_4h",
+        "vol_ratio",
+        "price_position_4h",
+        "adx_4h",
+    ],
+}
 
 
 @dataclass(frozen=True)

@@ -10,14 +10,15 @@ def _safe(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def classification(rows: DataFrame) -> DataFrame:
-    """One row: tp, tn, fp, fn, accuracy, balanced_accuracy, f1_macro, mcc, base_rate of y in {0, 1} against p_long >= 0.5."""
+def classification(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row, or one a group of ``keys``: tp, tn, fp, fn, accuracy, balanced_accuracy, f1_macro, mcc, base_rate of y in {0, 1} against p_long >= 0.5."""
     hit, y = F.col("p_long") >= 0.5, F.col("y") == 1
-    c = rows.agg(F.count_if(hit & y).alias("tp"), F.count_if(~hit & ~y).alias("tn"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"), F.avg("y").alias("base_rate"))
+    keys = keys or []
+    c = rows.groupBy(*keys).agg(F.count_if(hit & y).alias("tp"), F.count_if(~hit & ~y).alias("tn"), F.count_if(hit & ~y).alias("fp"), F.count_if(~hit & y).alias("fn"), F.avg("y").alias("base_rate"))
     tp, tn, fp, fn = (F.col(x).cast("double") for x in ("tp", "tn", "fp", "fn"))
     f1 = lambda t, a, b: _safe(2 * t, 2 * t + a + b)
     norm = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
-    return c.select("tp", "tn", "fp", "fn", _safe(tp + tn, tp + tn + fp + fn).alias("accuracy"), ((_safe(tp, tp + fn) + _safe(tn, tn + fp)) / 2).alias("balanced_accuracy"), ((f1(tp, fp, fn) + f1(tn, fn, fp)) / 2).alias("f1_macro"), _safe(tp * tn - fp * fn, norm).alias("mcc"), "base_rate")
+    return c.select(*keys, "tp", "tn", "fp", "fn", _safe(tp + tn, tp + tn + fp + fn).alias("accuracy"), ((_safe(tp, tp + fn) + _safe(tn, tn + fp)) / 2).alias("balanced_accuracy"), ((f1(tp, fp, fn) + f1(tn, fn, fp)) / 2).alias("f1_macro"), _safe(tp * tn - fp * fn, norm).alias("mcc"), "base_rate")
 
 
 def ranking(rows: DataFrame) -> DataFrame:
@@ -34,6 +35,11 @@ def ranking(rows: DataFrame) -> DataFrame:
     return run.agg(F.try_divide(pairs, (pos * neg).cast("double")).alias("roc_auc"), F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), pos.cast("double")).alias("average_precision"))
 
 
+def levels(configured: float = 0.5) -> tuple[float, ...]:
+    """The usual confidence levels and the configured one (0.5 at least, two decimals)."""
+    return tuple(sorted({round(max(0.5, configured), 2), 0.55, 0.6, 0.65, 0.7}))
+
+
 def thresholds(rows: DataFrame, levels: tuple[float, ...] = (0.55, 0.6, 0.65, 0.7)) -> DataFrame:
     """A row a threshold: rows, coverage, signals and precisions; where both sides pass, short wins."""
     each = rows.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in levels])))
@@ -55,6 +61,12 @@ def importances(rows: DataFrame) -> DataFrame:
     return ranked.groupBy("feature").agg(F.avg("gain").alias("mean_gain"), F.coalesce(F.stddev_samp("gain"), F.lit(0.0)).alias("std_gain"), F.count_if(F.col("place") <= 10).alias("top10"), F.count_if(F.col("place") <= 20).alias("top20"), F.count_if(F.col("gain") > 0).alias("nonzero"))
 
 
+def best_features(ranked: DataFrame, k: int = 20) -> DataFrame:
+    """The k features of largest mean gain of ``importances``, with their place; equal gains by name."""
+    best = ranked.orderBy(F.desc("mean_gain"), "feature").limit(k)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("mean_gain"), "feature")))
+
+
 def profile(frame: DataFrame) -> DataFrame:
     """Per symbol: rows, distinct times, first and last time, and how many targets of each kind."""
     return frame.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.count_distinct("ts").alias("n_ts"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count_if(F.col("Target") == 1).alias("longs"), F.count_if(F.col("Target") == -1).alias("shorts"), F.count_if(F.col("Target") == 0).alias("flats"))

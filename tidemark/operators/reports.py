@@ -9,12 +9,15 @@ DAY_MS = 86_400_000
 
 
 def month(ts: str) -> F.Column:
-    return F.date_format(F.timestamp_millis(ts).cast("timestamp_ntz"), "yyyy-MM")
+    """The calendar month (UTC) of a time in milliseconds, whatever the session's time zone."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(ts) / DAY_MS).cast("int")), "yyyy-MM")
 
 
 def by_month(rows: DataFrame) -> DataFrame:
-    """A row for each month that a bar was seen in, also without trades."""
-    spine = rows.select("run_id", month("ts").alias("month")).distinct()
+    """A row for each month in which a bar was traded on, also without trades; nothing is traded on the first bar of a run."""
+    first = rows.where("kind = 'equity'").groupBy("run_id").agg(F.min("ts").alias("first"))
+    seen = rows.join(first, "run_id", "left").where("kind = 'trade' or ts > first")
+    spine = seen.select("run_id", month("ts").alias("month")).distinct()
     trades = rows.where("kind = 'trade'").groupBy("run_id", month("ts").alias("month")).agg(F.sum("pnl_abs").alias("pnl_abs"), F.count("*").alias("trades"), F.count_if(F.col("pnl_pct") > 0).alias("wins"))
     out = spine.join(trades, ["run_id", "month"], "left").na.fill(0)
     return out.withColumn("losses", F.col("trades") - F.col("wins"))
@@ -56,11 +59,19 @@ def daily_equity(rows: DataFrame) -> DataFrame:
     return filled.withColumn("change", F.try_divide(F.col("equity"), F.lag("equity").over(w)) - 1)
 
 
-def risk(rows: DataFrame) -> DataFrame:
-    """(run_id, sharpe, sortino, cagr) of the daily equity; 0 where they are not defined."""
+def risk(rows: DataFrame, balance: float | None = None) -> DataFrame:
+    """(run_id, sharpe, sortino, cagr) of the daily equity, with a balance also calmar (cagr over the largest drawdown); 0 where they are not defined."""
     d = daily_equity(rows)
     a = d.groupBy("run_id").agg(F.avg("change").alias("m"), F.stddev_samp("change").alias("s"), F.stddev_samp(F.when(F.col("change") < 0, F.col("change"))).alias("down"), F.count("change").alias("n"), F.min_by("equity", "day").alias("first"), F.max_by("equity", "day").alias("last"), (F.max("day") - F.min("day")).alias("days"))
     fine = (F.col("n") > 1) & (F.col("s") > 0)
     year = F.sqrt(F.lit(365.0))
     zero = F.lit(0.0)
-    return a.select("run_id", F.when(fine, F.try_divide("m", "s") * year).otherwise(zero).alias("sharpe"), F.coalesce(F.when(fine & (F.col("down") > 0), F.try_divide("m", "down") * year), zero).alias("sortino"), F.when(fine & (F.col("days") > 0), F.pow(F.try_divide("last", "first"), F.try_divide(F.lit(365.0), F.col("days"))) - 1).otherwise(zero).alias("cagr"))
+    days = F.try_divide(F.lit(365.0), F.col("days"))
+    cagr = F.when(fine & (F.col("days") > 0), F.pow(F.try_divide("last", "first"), days) - 1).otherwise(zero)
+    sharpe = F.when(fine, F.try_divide("m", "s") * year).otherwise(zero)
+    sortino = F.coalesce(F.when(fine & (F.col("down") > 0), F.try_divide("m", "down") * year), zero)
+    out = a.select("run_id", sharpe.alias("sharpe"), sortino.alias("sortino"), cagr.alias("cagr"))
+    if balance is None:
+        return out
+    calmar = F.coalesce(F.when(F.col("max_drawdown") > 0, F.try_divide("cagr", F.col("max_drawdown") / 100)), zero)
+    return out.join(drawdown(rows, balance), "run_id", "left").withColumn("calmar", calmar).drop("max_drawdown")

@@ -165,6 +165,12 @@ def run_book(bars: pd.DataFrame, run_id: str, rules: Rules) -> list[tuple]:
     return book.out
 
 
+def overlapping(candles: DataFrame, start: int, end: int, least: int = 2) -> DataFrame:
+    """The candles of the symbols that have at least ``least`` of them from start to end (open_time, both included)."""
+    inside = candles.where(F.col("open_time").between(start, end)).groupBy("symbol").agg(F.count("*").alias("n"))
+    return candles.join(inside.where(F.col("n") >= least).select("symbol"), "symbol", "left_semi")
+
+
 def simulate(rows: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Trades and equity marks (kind) of every run_id in steps()."""
     names = [x.split()[0] for x in OUT.split(", ")]

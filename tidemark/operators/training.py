@@ -6,6 +6,7 @@ Each fit is a Spark job over the fold's rows; the loop over folds is on the driv
 from __future__ import annotations
 
 from dataclasses import dataclass
+from statistics import median
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -14,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import classification
 from .validation import Weights, clip_bounds, clipped, eval_split, expanding_folds, sample_weights
 
 
@@ -65,8 +67,7 @@ def fit(train: DataFrame, columns: list[str], trees: Trees = Trees(), earlier: l
     model = _fit(rows, columns, trees, trees.rounds, True, seed)
     rounds = model.stages[-1].getNumTrees
     if rounds < min(trees.least_rounds, trees.rounds):
-        past = sorted(earlier or [])
-        rounds = min(trees.rounds, max(trees.refit_least, past[len(past) // 2] if past else trees.refit_default))
+        rounds = min(trees.rounds, max(trees.refit_least, int(median(earlier)) if earlier else trees.refit_default))
         model = _fit(train, columns, trees, rounds, False, seed)
     return model, rounds
 
@@ -77,15 +78,17 @@ def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).withColumn("p_short", p[0]).withColumn("p_long", p[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def walk_forward(frame: DataFrame, columns: list[str], folds: int = 5, gap: int = 20, trees: Trees = Trees(), weights: Weights = Weights()) -> tuple[DataFrame, DataFrame]:
+def walk_forward(
+    frame: DataFrame, columns: list[str], folds: int = 5, gap: int = 20, trees: Trees = Trees(), weights: Weights = Weights(), cuts: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """((symbol, ts, Target, p_short, p_long, fold) of every test row, (fold, feature, gain)).
 
-    Folds are cut on the times of all rows; models learn from directional train rows, with bounds and weights of their own, and predict all test rows.
+    Folds are cut on the times of all rows, or given as ``cuts`` (fold, ts, role), such as those of ``month_folds``; models learn from directional train rows, with bounds and weights of their own, and predict all test rows.
     """
     spark = frame.sparkSession
-    cuts = expanding_folds(frame, folds, gap)
+    cuts = expanding_folds(frame, folds, gap) if cuts is None else cuts
     predictions, gains, rounds = None, [], []
-    for k in range(1, folds + 1):
+    for k in sorted(r["fold"] for r in cuts.select("fold").distinct().collect()):  # one row a fold
         own = cuts.where(F.col("fold") == k)
         train = directional(frame.join(own.where("role = 'train'").select("ts"), "ts", "left_semi"))
         test = frame.join(own.where("role = 'test'").select("ts"), "ts", "left_semi")
@@ -102,6 +105,14 @@ def walk_forward(frame: DataFrame, columns: list[str], folds: int = 5, gap: int
     return predictions, spark.createDataFrame(gains, "fold int, feature string, gain double")
 
 
+def fold_details(predictions: DataFrame, cuts: DataFrame) -> DataFrame:
+    """A row a fold: its test rows and directional rows, first and last test time, train times, and its out-of-sample metrics."""
+    own = predictions.where("Target <> 0").withColumn("y", (F.col("Target") == 1).cast("int"))
+    rows = predictions.groupBy("fold").agg(F.count("*").alias("test_rows"), F.count_if(F.col("Target") != 0).alias("directional_rows"), F.min("ts").alias("test_from"), F.max("ts").alias("test_to"))
+    trained = cuts.where("role = 'train'").groupBy("fold").agg(F.count("*").alias("train_times"))
+    return rows.join(trained, "fold", "left").join(classification(own, ["fold"]), "fold", "left")
+
+
 def refit_all(frame: DataFrame, columns: list[str], rounds: int, trees: Trees = Trees()) -> tuple[PipelineModel, dict]:
     """The production model on all rows, and its bounds."""
     rows = directional(frame)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
@@ -96,7 +96,6 @@ def asof_events_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def tumbling_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming plan on a table."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return live.tumbling_bars(table(spark, sf_dir, "events")).withColumn("open_time", F.unix_millis("open_time"))
 
 
@@ -248,7 +247,6 @@ def outcome_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("report_by_month", f"{LABEL_SQL}, {_TRADES} SELECT strftime(make_timestamp(ts * 1000), '%Y-%m') AS month, round(sum(pnl_abs), 4) AS pnl_abs, CAST(count(*) AS BIGINT) AS trades, CAST(count(*) FILTER (pnl_abs > 0) AS BIGINT) AS wins, CAST(count(*) FILTER (pnl_abs <= 0) AS BIGINT) AS losses FROM t GROUP BY 1")
 def report_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return reports.by_month(outcome_trades(spark, sf_dir)).select("month", F.round("pnl_abs", 4).alias("pnl_abs"), "trades", "wins", "losses")
 
 
@@ -267,6 +265,59 @@ def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.totals(outcome_trades(spark, sf_dir), 100.0).select("trades", "wins", *[F.round(c, 4).alias(c) for c in ("fees", "pnl_abs", "return_pct", "expectancy", "profit_factor")])
 
 
+# Equity, which is a balance of 1000 and the outcomes so far of buying at every bar
+
+_EQUITY = f"e AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, 1000.0::DOUBLE + sum(p) OVER (ORDER BY ts) AS equity FROM (SELECT ts, sum(long_pnl) AS p FROM {_LABELLED} WHERE Target <> 0 GROUP BY ts))"
+_PEAK = "d AS (SELECT max((peak - equity) / peak * 100) AS max_drawdown FROM (SELECT equity, greatest(max(equity) OVER (ORDER BY i), 1000.0) AS peak FROM e))"
+_DAILY = """last AS (SELECT ts // 86400000 AS day, arg_max(equity, i) AS equity FROM e GROUP BY 1), spine AS (SELECT unnest(range(a, b + 1)) AS day FROM (SELECT min(day) AS a, max(day) AS b FROM last)),
+    filled AS (SELECT day, last_value(equity IGNORE NULLS) OVER (ORDER BY day) AS equity FROM spine LEFT JOIN last USING (day)), daily AS (SELECT day, equity, equity / lag(equity) OVER (ORDER BY day) - 1 AS change FROM filled)"""
+
+
+def equity_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = labelled(spark, sf_dir).where("Target <> 0").groupBy("ts").agg(F.sum("long_pnl").alias("p")).withColumn("run_id", F.lit("r"))
+    by = Window.partitionBy("run_id").orderBy("ts")
+    return at.select("run_id", F.lit("equity").alias("kind"), "ts", (F.row_number().over(by) - 1).alias("i"), (F.lit(1000.0) + F.sum("p").over(by)).alias("equity"))
+
+
+@query("equity_drawdown", f"{LABEL_SQL}, {_EQUITY}, {_PEAK} SELECT round(max_drawdown, 4) AS max_drawdown FROM d")
+def equity_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest fall below the running peak, in percent."""
+    return reports.drawdown(equity_marks(spark, sf_dir), 1000.0).select(F.round("max_drawdown", 4).alias("max_drawdown"))
+
+
+@query("daily_equity", f"{LABEL_SQL}, {_EQUITY}, {_DAILY} SELECT CAST(day AS BIGINT) AS day, round(equity, 4) AS equity, round(change, 6) AS change FROM daily")
+def daily_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last mark of each day and its change."""
+    return reports.daily_equity(equity_marks(spark, sf_dir)).select("day", F.round("equity", 4).alias("equity"), F.round("change", 6).alias("change"))
+
+
+@query(
+    "risk_figures",
+    f"""{LABEL_SQL}, {_EQUITY}, {_PEAK}, {_DAILY}, a AS (SELECT avg(change) AS m, stddev_samp(change) AS s, stddev_samp(change) FILTER (change < 0) AS down, arg_min(equity, day) AS f, arg_max(equity, day) AS l, max(day) - min(day) AS days FROM daily),
+    r AS (SELECT m / s * sqrt(365.0) AS sharpe, coalesce(m / down * sqrt(365.0), 0.0) AS sortino, pow(l / f, 365.0 / days) - 1 AS cagr FROM a)
+    SELECT round(sharpe, 4) AS sharpe, round(sortino, 4) AS sortino, round(cagr, 4) AS cagr, round(CASE WHEN max_drawdown > 0 THEN cagr / (max_drawdown / 100) ELSE 0 END, 4) AS calmar FROM r, d""",
+)
+def risk_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sharpe, Sortino, yearly growth and Calmar of the daily equity."""
+    found = reports.risk(equity_marks(spark, sf_dir), 1000.0)
+    return found.select(*[F.round(c, 4).alias(c) for c in ("sharpe", "sortino", "cagr", "calmar")])
+
+
+_GAINS = f"g AS (SELECT CAST(ts // 86400000 % 3 + 1 AS INTEGER) AS fold, symbol || '_' || Target AS feature, CAST(count(*) AS DOUBLE) AS gain FROM {_LABELLED} GROUP BY 1, 2), k AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY gain DESC) AS place FROM g)"
+
+
+@query(
+    "feature_importances",
+    f"""{LABEL_SQL}, {_GAINS} SELECT feature, round(avg(gain), 6) AS mean_gain, round(coalesce(stddev_samp(gain), 0.0), 6) AS std_gain, CAST(count(*) FILTER (place <= 10) AS BIGINT) AS top10,
+    CAST(count(*) FILTER (place <= 20) AS BIGINT) AS top20, CAST(count(*) FILTER (gain > 0) AS BIGINT) AS nonzero FROM k GROUP BY feature""",
+)
+def feature_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary over folds, on counts of targets by symbol in place of a model's gains."""
+    fold = (F.floor(F.col("ts") / validation.DAY_MS) % 3 + 1).cast("int")
+    gains = labelled(spark, sf_dir).groupBy(fold.alias("fold"), F.concat_ws("_", "symbol", "Target").alias("feature")).agg(F.count("*").cast("double").alias("gain"))
+    return rounded(metrics.importances(gains), ["feature", "top10", "top20", "nonzero"], ["mean_gain", "std_gain"])
+
+
 @query("portfolio_simulation", None)
 def portfolio_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two halves of the timeline as runs of the simulator."""
