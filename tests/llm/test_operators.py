@@ -209,6 +209,38 @@ def test_paragraphs_near(spark):
     assert got[0] == 0 and all(got[i] >= len(" ".join(line)) * 0.9 for i in range(1, 6))
 
 
+def test_paragraph_recall(spark):
+    """Line pairs of similarity 0.8 or more meet in one component (recall 0.95 at least); no others do. Passages of 51 words go."""
+    rng = random.Random(31)
+    lines = []
+    for _ in range(60):
+        line = words(rng, rng.randint(50, 90))
+        lines.append(" ".join(line))
+        for _ in range(2):
+            w = list(line)
+            for _ in range(rng.randint(1, 2)):
+                w[rng.randrange(len(w))] = "new"
+            lines.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    sets = [shingles(t, 5) for t in lines]
+    similar = [(i, j) for j in range(len(lines)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    gone = {r["doc_id"]: r["n_removed"] for r in paragraph_dedup.digest(docs).collect()}
+    late = {j for _, j in similar}
+    assert len(late) > 30 and sum(gone[j] == len(lines[j].encode()) for j in late) >= 0.95 * len(late)
+    assert all(gone[i] < len(lines[i].encode()) for i in range(len(lines)) if i not in late)
+    passage = " ".join(words(rng, 51))
+    rows = [(i, f"{' '.join(words(rng, 40))} {passage} {' '.join(words(rng, 40))}") for i in range(20)]
+    rows += [(None, rows[0][1]), (50, rows[0][1]), (50, "other text of the same id"), (60, "short line\n" + rows[1][1])]
+    short = [(70 + i, "short line") for i in range(3)]
+    got = paragraph_dedup.digest(spark.createDataFrame([*rows, *short], "doc_id long, text string")).collect()
+    by = {r["doc_id"]: r["n_removed"] for r in got if r["doc_id"] not in (None, 50)}
+    assert by[0] == 0 and all(by[i] >= 0.5 * len(passage) for i in range(1, 20)) and by[71] == 0
+    assert sorted(r["n_removed"] for r in got if r["doc_id"] == 50) == [0, len(rows[0][1].encode())]
+    assert [r["n_removed"] for r in got if r["doc_id"] is None] == [0]
+    every = {r["doc_id"]: r["n_removed"] for r in paragraph_dedup.digest(spark.createDataFrame(short, "doc_id long, text string"), least_bytes=1).collect()}
+    assert every == {70: 0, 71: 10, 72: 10}
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(5, "http://a/1", "same " * 40), (3, "http://a/2", "same " * 40), (9, None, "same " * 40), (4, "u", None), (6, "u", ""), (7, "u\r\nX: y", "short"), (8, "u", "short"), (None, "u", "same " * 40), (1, "u", "é" * 60_000), (3, "again", "same " * 40), (2, "u", "a\r\n\r\nb" * 30)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
