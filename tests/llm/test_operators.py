@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, html_wrapper, jaccard_join, language_id, license_scan, mixing, paragraph_dedup, suffix_dedup, top_k, warc
@@ -257,6 +258,27 @@ def test_warc_round_trip(spark, tmp_path):
     one = warc.fetch(manifest, spark.createDataFrame([(1,), (5,)], "page_id long")).collect()
     assert {r["page_id"]: (r["refers_to"], len(r["html"] or b"")) for r in one} == {1: (None, 120_000), 5: (3, 0)}
     assert warc.read_archives(warc.write_archives(pages.limit(0), str(tmp_path / "e"))).count() == 0
+    clash = pages.selectExpr("*", "'x' AS digest", "1 AS n", "2 AS refers_to", "3 AS copies", "'y' AS archive")
+    assert warc.read_archives(warc.write_archives(clash, str(tmp_path / "c"))).count() == len(rows)
+
+
+def test_warc_headers(spark, tmp_path):
+    """Mandatory fields, a warcinfo at the head of each archive, and revisits that name their response's record."""
+    rows = [(5, "http://a/1", "same " * 40), (3, "http://a/2", "same " * 40), (7, "u", "twice " * 40), (6, "u", "twice " * 40), (6, "u", "twice " * 40), (8, "u", "x" * 5000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    warc.write_archives(pages, str(tmp_path / "w"), frame_bytes=1000, date="2024-05-06T07:08:09Z")
+    records = []
+    for file in (tmp_path / "w").glob("part-*.warc.zst"):
+        with file.open("rb") as source:
+            data = zstandard.ZstdDecompressor().stream_reader(source, read_across_frames=True).read()
+        own = [dict(x.split(": ", 1) for x in head.split("\r\n")) for head in data.decode().split("WARC/1.1\r\n")[1:] for head in [head.split("\r\n\r\n")[0]]]
+        assert own[0]["WARC-Type"] == "warcinfo" and own[0]["WARC-Filename"] == file.name
+        records += own
+    assert all({"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(r) and r["WARC-Date"] == "2024-05-06T07:08:09Z" for r in records)
+    assert len({r["WARC-Record-ID"] for r in records}) == len(records)
+    by = {r["X-Page-ID"]: r for r in records if "X-Page-ID" in r}
+    assert by["5"]["WARC-Refers-To"] == by["3"]["WARC-Record-ID"] and by["5"]["X-Refers-To-Page-ID"] == "3"
+    assert by["7"]["X-Refers-To-Page-ID"] == "6" and "WARC-Refers-To" not in by["7"]  # the page 6 has two records
 
 
 def test_language_id(spark):
@@ -480,6 +502,24 @@ def test_top_k(spark):
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2]
 
 
+def test_top_k_prunes(monkeypatch):
+    """Where vectors lie in clusters, a search opens few of the tree's nodes and is still exact."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16)) * 3000
+    x = np.floor(np.repeat(centres, 100, axis=0) + rng.normal(size=(4000, 16)) * 20).astype(np.int64)
+    tree = top_k.Tree(np.arange(len(x)), x, 5, 16)
+
+    def nodes(node):
+        return 1 + sum(map(nodes, node.children or []))
+
+    opened, pop = [], top_k.heapq.heappop
+    monkeypatch.setattr(top_k.heapq, "heappop", lambda heap: opened.append(1) or pop(heap))
+    for i in range(0, 4000, 400):
+        scores = sorted((-int(x[i] @ x[j]), j) for j in range(4000) if j != i)[:5]
+        assert tree.search(i, x[i]) == [(-s, j) for s, j in scores]
+    assert len(opened) < 0.5 * 10 * nodes(tree.root)
+
+
 def test_mixing(spark, docs, none):
     rows = [(i, "w " * 10, "big", 0) for i in range(300)] + [(1000 + i, "w " * 10, "small", 0) for i in range(20)] + [(2000, None, None, 0), (2001, "one two", None, 0)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string, weight int")

@@ -125,8 +125,11 @@ def integers(rows: DataFrame, scale: int = SCALE) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine).select("vec_id", F.transform("embedding", lambda x: F.floor(x * scale).cast("long")).alias("v"))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 32_768, query_rows: int = 4_096, page: int = 64) -> DataFrame:
-    """(query_id, rank, vec_id, score) for queries (query_id, v) against vectors (vec_id, v)."""
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 32_768, query_rows: int = 32_768, page: int = 64) -> DataFrame:
+    """(query_id, rank, vec_id, score) for queries (query_id, v) against vectors (vec_id, v).
+
+    A shard's tree is built once a block of ``query_rows`` queries, which is the largest number that one task holds beside it.
+    """
     spark = vectors.sparkSession
     n, m = vectors.count(), queries.count()
     shards = max(1, -(-n // shard_rows), min(spark.sparkContext.defaultParallelism, n // 1024))
