@@ -283,3 +283,54 @@ def test_journal(spark):
     s = journal.summary(journal.latest(log), day + 10, 2.0).first()
     assert tuple(s) == (1, 1, day + 5, -2.0, 15.0)
     assert journal.summary(log.limit(0), day, 0.0).first()["open_margin"] == 0.0
+
+
+def test_journal_operations(spark, tmp_path):
+    store = tables.Store(spark, str(tmp_path))
+    book = journal.journal(store, " Parquet ")
+    with pytest.raises(ValueError):
+        journal.journal(store, "other")
+    assert book.trades().count() == 0 and book.state("k") is None
+    rows = spark.createDataFrame([(1, "A", 10.0), (2, "B", 20.0), (3, "A", 30.0)], "id bigint, symbol string, entry_price double")
+    book.open(rows, 100)
+    with pytest.raises(ValueError):
+        book.open(rows.where("id = 2"), 101)
+    with pytest.raises(ValueError):
+        book.append(rows.withColumn("odd", F.lit(1)))
+    assert book.change(spark.createDataFrame([(1, 7.5), (9, 1.0)], "id bigint, stop_pct double"), 100) == 1
+    exits = spark.createDataFrame([(1, 150, 11.0, "TP", 0.1), (9, 150, 1.0, "SL", 0.0)], "id bigint, exit_ts_ms bigint, exit_price double, exit_reason string, pnl_pct double")
+    assert book.close(exits, 160) == 1 and book.close(exits, 170) == 0
+    got = {r["id"]: r for r in book.trades().collect()}
+    assert [got[i]["status"] for i in (1, 2, 3)] == ["closed", "open", "open"]
+    assert (got[1]["entry_price"], got[1]["stop_pct"], got[1]["exit_price"], got[1]["created_at_ms"], got[1]["updated_at_ms"]) == (10.0, 7.5, 11.0, 100, 160)
+    assert sorted(r["id"] for r in book.trades("open", "A").collect()) == [3]
+    book.set_state("k", "1")
+    book.set_state("k", "2")
+    assert book.state("k") == "2"
+    assert store.tables() == ["execution_engine_state", "execution_trades"]
+
+
+def test_candles_until(spark, tmp_path):
+    store = tables.Store(spark, str(tmp_path))
+    rows = [("B", "1h", 0, 1.0, 2.0, 0.5, 1.5, 3.0, None), ("A", "1h", 10, 1.0, 2.0, 0.5, 1.5, 3.0, 1.0), ("A", "1h", 0, 1.0, 2.0, 0.5, None, 3.0, 1.0), ("A", "1h", 20, 1.0, 2.0, 0.5, 1.5, 3.0, 1.0), ("A", "4h", 10, 1.0, 2.0, 0.5, 1.5, 3.0, 1.0)]
+    store.insert_new("candles", spark.createDataFrame(rows, tables.SCHEMAS["candles"]))
+    got = [(r["symbol"], r["open_time"], r["close_time"]) for r in store.candles_until(["A", "B"], "1h", 10, until=10).collect()]
+    assert got == [("A", 10, 20), ("B", 0, 10)]
+    text = spark.createDataFrame([("1.5",), ("x",), (None,)], "v string")
+    assert [r["v"] for r in tables.numbers(text, ["v"]).collect()] == [1.5, None, None]
+
+
+def test_numbered_and_ranking_in_stretches(spark):
+    rng = np.random.default_rng(3)
+    at, score, y = rng.integers(0, 40, 500), np.round(rng.beta(2, 5, 500), 2), rng.integers(0, 2, 500)
+    rows = spark.createDataFrame([(int(t), f"s{i}", float(p), int(v)) for i, (t, p, v) in enumerate(zip(at, score, y, strict=True))], "ts long, symbol string, p_long double, y int").repartition(7)
+    want = [(int(t), s) for t, s in sorted((t, f"s{i}") for i, t in enumerate(at))]
+    assert [(r["ts"], r["symbol"]) for r in validation.numbered(rows, "r").orderBy("r").collect()] == want
+    assert sorted(r["r"] for r in validation.numbered(rows, "r").collect()) == list(range(1, 501))
+    pairs = [(a > b) + (a == b) / 2 for a in score[y == 1] for b in score[y == 0]]
+    steps = sorted(set(score), reverse=True)
+    precision = sum(((score == s) & (y == 1)).sum() * (y[score >= s].mean()) for s in steps) / y.sum()
+    for stretches in (1, 2, 256):
+        got = metrics.ranking(rows, stretches).first()
+        assert abs(got["roc_auc"] - np.mean(pairs)) < 1e-12 and abs(got["average_precision"] - precision) < 1e-12
+    assert metrics.ranking(rows.limit(0)).first()["roc_auc"] is None

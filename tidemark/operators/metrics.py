@@ -21,18 +21,29 @@ def classification(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return c.select(*keys, "tp", "tn", "fp", "fn", _safe(tp + tn, tp + tn + fp + fn).alias("accuracy"), ((_safe(tp, tp + fn) + _safe(tn, tn + fp)) / 2).alias("balanced_accuracy"), ((f1(tp, fp, fn) + f1(tn, fn, fp)) / 2).alias("f1_macro"), _safe(tp * tn - fp * fn, norm).alias("mcc"), "base_rate")
 
 
-def ranking(rows: DataFrame) -> DataFrame:
+def ranking(rows: DataFrame, stretches: int = 256) -> DataFrame:
     """One row: roc_auc (NULL with one class) by average ranks, average_precision by steps over distinct scores.
 
-    Rows are first counted by distinct score, so the ordered pass has a row a score and not a row an example.
+    Rows are first counted by distinct score. The scores are cut at approximate quantiles into stretches, which are ordered
+    apart; a stretch takes over the sums of those above it, a row a stretch. Where the cuts lie doesn't change the result.
     """
     by = rows.groupBy("p_long").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
-    down = Window.orderBy(F.desc("p_long")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down))
+    shares = [k / stretches for k in range(1, stretches)]
+    cuts = sorted(set(rows.agg(F.percentile_approx("p_long", shares, 5 * stretches)).first()[0] or [])) if shares else []
+    place = F.array_position(F.array_sort(F.array(*map(F.lit, cuts), F.col("p_long"))), F.col("p_long"))  # how many cuts lie below, and 1
+    by = by.withColumn("stretch", F.coalesce(place, F.lit(0)))
+    above = Window.orderBy(F.desc("stretch")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = by.groupBy("stretch").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    carried = totals.select("stretch", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("p", "n")])
+    down = Window.partitionBy("stretch").orderBy(F.desc("p_long")).rowsBetween(Window.unboundedPreceding, 0)
+    run = by.withColumn("tp", F.sum("pos").over(down)).withColumn("fp", F.sum("neg").over(down)).join(F.broadcast(carried), "stretch")  # a row a stretch
+    run = run.withColumn("tp", F.col("tp") + F.col("p_above")).withColumn("fp", F.col("fp") + F.col("n_above"))
     pos, neg = F.sum("pos"), F.sum("neg")
     # pairs of a positive and a negative in the right order: negatives below a score, and half of those at it
     pairs = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") + F.col("pos") / 2.0))
-    return run.agg(F.try_divide(pairs, (pos * neg).cast("double")).alias("roc_auc"), F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), pos.cast("double")).alias("average_precision"))
+    auc = F.try_divide(pairs, (pos * neg).cast("double"))
+    precision = F.try_divide(F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))), pos.cast("double"))
+    return run.agg(auc.alias("roc_auc"), precision.alias("average_precision"))
 
 
 def levels(configured: float = 0.5) -> tuple[float, ...]:

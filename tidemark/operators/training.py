@@ -12,11 +12,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import classification
-from .validation import Weights, clip_bounds, clipped, eval_split, expanding_folds, sample_weights
+from .validation import Weights, clip_bounds, clipped, eval_split, expanding_folds, numbered, sample_weights
 
 
 @dataclass(frozen=True)
@@ -61,9 +61,8 @@ def fit(train: DataFrame, columns: list[str], trees: Trees = Trees(), earlier: l
     If it stops before least_rounds, all rows are fitted anew with the median of the earlier folds' rounds, refit_least at least.
     """
     n, plan = train.count(), eval_split(train)
-    place = F.row_number().over(Window.orderBy("ts", "symbol"))
     start = n - plan["eval_size"]
-    rows = train.withColumn("__r", place).where((F.col("__r") <= max(1, start - gap)) | (F.col("__r") > start)).withColumn("later", F.col("__r") > start)
+    rows = numbered(train, "__r").where((F.col("__r") <= max(1, start - gap)) | (F.col("__r") > start)).withColumn("later", F.col("__r") > start)
     model = _fit(rows, columns, trees, trees.rounds, True, seed)
     rounds = model.stages[-1].getNumTrees
     if rounds < min(trees.least_rounds, trees.rounds):

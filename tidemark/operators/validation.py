@@ -16,6 +16,15 @@ def timeline(frame: DataFrame) -> DataFrame:
     return frame.select("ts").distinct().withColumn("i", F.row_number().over(Window.orderBy("ts")) - 1)
 
 
+def numbered(frame: DataFrame, name: str) -> DataFrame:
+    """frame with each row's place by (ts, symbol), from 1. Only the row counts of the times pass through one task; a time's own rows are numbered apart."""
+    counts = frame.groupBy(F.col("ts").alias("__ts")).agg(F.count("*").alias("__n"))
+    earlier = Window.orderBy("__ts").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__ts", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    own = frame.withColumn(name, F.row_number().over(Window.partitionBy("ts").orderBy("symbol")))
+    return own.join(before, F.col("ts").eqNullSafe(F.col("__ts"))).withColumn(name, F.col(name) + F.col("__before")).drop("__ts", "__before")
+
+
 def expanding_folds(frame: DataFrame, folds: int = 5, gap: int = 20) -> DataFrame:
     """(fold, ts, role): times cut into folds + 1 stretches; each of the last is tested on all that stands before, less the last gap times (kept if there are no more than gap)."""
     line = timeline(frame)
@@ -100,7 +109,7 @@ def sample_weights(frame: DataFrame, w: Weights = Weights()) -> DataFrame:
 def eval_split(train: DataFrame, label: str = "y", fractions: tuple[float, ...] = (0.15, 0.2, 0.25, 0.3, 0.35, 0.4), most_gap: float = 0.08) -> dict:
     """The first suffix share whose label rate is within most_gap of the rest's, else the closest. Rates come from one pass of conditional sums over row places."""
     n = train.count()
-    rows = train.select(label, F.row_number().over(Window.orderBy("ts", "symbol")).alias("r")) if n else train.select(label, F.lit(0).alias("r"))
+    rows = numbered(train.select("ts", "symbol", label), "r")
     sizes = [min(max(1, int(n * f)), n - 1) for f in fractions] if n > 1 else []
     if not sizes:
         rate = train.agg(F.avg(label)).first()[0] if n else 0.5

@@ -46,6 +46,10 @@ class Store:
             return False
         return True
 
+    def tables(self) -> list[str]:
+        """The names of the tables that were written, sorted."""
+        return sorted(t for t in (*SCHEMAS, "features") if self.exists(t))
+
     def read(self, table: str) -> DataFrame:
         """The table; empty with its schema if it was never written."""
         if self.exists(table):
@@ -90,6 +94,12 @@ class Store:
             raise LookupError(f"no features of {', '.join(symbols)}")
         return rows
 
+    def candles_until(self, symbols: list[str], timeframe: str, step_ms: int, until: int | None = None) -> DataFrame:
+        """Bars for a back-test: prices and volume as numbers, close_time, rows that lack one of them or lie behind ``until`` left out, in order."""
+        rows = numbers(self.scan("candles", symbols, timeframe, end=until), ["open", "high", "low", "close", "volume"])
+        rows = rows.withColumn("close_time", F.col("open_time") + step_ms)
+        return rows.na.drop(subset=["open_time", "open", "high", "low", "close", "volume"]).orderBy("symbol", "open_time")
+
     def bounds(self, table: str) -> DataFrame:
         """First and last time and rows by symbol (and timeframe)."""
         by = [k for k in KEYS[table] if k != TIME[table]]
@@ -110,6 +120,11 @@ class Store:
         self.spark.read.parquet(self.path(f"{table}__next")).write.mode("overwrite").parquet(self.path(table))
 
 
+def numbers(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """columns as doubles; what is no number becomes NULL."""
+    return rows.withColumns({c: F.col(c).try_cast("double") for c in columns})
+
+
 def keep_last(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of each key that is last by order."""
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("__r = 1").drop("__r")
