@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_wrapper, jaccard_join, language_id, license_scan, mixing, paragraph_dedup, suffix_dedup, top_k, warc
+from . import byte_bpe, decontaminate, filter_audit, html_wrapper, jaccard_join, language_id, license_scan, mixing, paragraph_dedup, spelling, suffix_dedup, top_k, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,23 @@ def op10_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by a public vocabulary, and the bytes that they decode to."""
+    import public_tokenizers
+
+    return byte_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source in all orders."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their forms."""
+    return spelling.grouped(table(spark, sf_dir, "documents"))
+
+
 OP2 = """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
 d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
@@ -122,6 +139,23 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5"""
 
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) < doc_id AS e FROM d),
+f AS (SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, coalesce(e, false) AS e FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, map(['A', 'B', 'C', 'D', 'E'], [a, b, c, d, e]) AS fails, a::INT + b::INT + c::INT + d::INT + e::INT AS n_fails,
+    count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (SELECT p.f || q.f || r.f || s.f || t.f AS filter_order FROM x p, x q, x r, x s, x t WHERE len(list_distinct([p.f, q.f, r.f, s.f, t.f])) = 5),
+steps AS (SELECT filter_order, step, filter_order[step] AS f, string_split(filter_order[1:step - 1], '') AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step, f, n, good, toxic, n_fails, fails[f] AS own, len(list_filter(before, lambda y: y <> '' AND fails[y])) > 0 AS gone FROM m, steps),
+s AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, f, coalesce(sum(n) FILTER (NOT own AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (own AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (own AND gone), 0) AS redundant,
+    coalesce(sum(n) FILTER (own AND n_fails = 1), 0) AS unique_fails, coalesce(sum(good) FILTER (own AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (own AND NOT gone), 0) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+    CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM s"""
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_paragraph_dedup": (op1_paragraph_dedup, None),
     "op2_warc_bundles": (op2_warc_bundles, OP2),
@@ -133,4 +167,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_top_k": (op8_top_k, OP8),
     "op9_mixing": (op9_mixing, None),
     "op10_html_wrapper": (op10_html_wrapper, None),
+    "op11_byte_bpe": (op11_byte_bpe, None),
+    "op12_filter_audit": (op12_filter_audit, OP12),
+    "op13_spelling_variants": (op13_spelling_variants, None),
 }
