@@ -8,7 +8,7 @@ and that of the position that is no longer a start. So a piece of n bytes takes
 
 Both directions are narrow: rows are encoded where they lie, nothing is shuffled and a lost executor costs its own rows.
 The ranks are read on the driver and broadcast; a file above ``MOST_BYTES`` is refused, as a vocabulary does not grow
-with the corpus. Pieces met before are looked up; at most ``KEPT`` are kept a task, so memory is bounded.
+with the corpus. Pieces met before are looked up; twice ``KEPT`` are kept a task at most, so memory is bounded.
 
 Defined cases: null and empty texts have no tokens and decode to no bytes; a null doc_id is kept; repeated rows are rows
 of their own; texts of any length are encoded whole; equal ranks do not occur in a table, equal pairs in a piece are
@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 
 #: Largest rank file that is broadcast.
 MOST_BYTES = 16_000_000
-#: Pieces whose ids a task keeps, and the longest that is worth keeping.
-KEPT, KEPT_CHARS = 200_000, 40
+#: Pieces in a generation of those whose ids a task keeps, and the longest that is worth keeping.
+KEPT, KEPT_CHARS = 150_000, 40
 #: Characters of text that are encoded before a batch goes out.
 BATCH_CHARS = 2_000_000
 NONE = 1 << 62
@@ -56,52 +56,45 @@ def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
     return ranks
 
 
-class PairTree:
-    """Segment tree over the byte positions of a piece: the leftmost smallest pair rank."""
-
-    def __init__(self, values: list[int]):
-        self.size = 1 << max(0, (len(values) - 1).bit_length())
-        self.least = [NONE] * self.size + values + [NONE] * (self.size - len(values))
-        for k in range(self.size - 1, 0, -1):
-            self.least[k] = min(self.least[2 * k], self.least[2 * k + 1])
-
-    def put(self, at: int, value: int) -> None:
-        least, k = self.least, self.size + at
-        least[k] = value
-        while k > 1:
-            k >>= 1
-            low = min(least[2 * k], least[2 * k + 1])
-            if least[k] == low:
-                return
-            least[k] = low
+def put(least: list[int], leaf: int, value: int) -> None:
+    """Changes a leaf of the tree ``least``, whose node k has the children 2k and 2k + 1, and what stands above it."""
+    if least[leaf] == value:
+        return
+    least[leaf] = value
+    while leaf > 1:
+        sibling = least[leaf ^ 1]
+        value = min(value, sibling)
+        leaf >>= 1
+        if least[leaf] == value:
+            return
+        least[leaf] = value
 
 
 def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """The ids of one piece."""
-    if piece in ranks:
-        return (ranks[piece],)
-    n = len(piece)
-    if n == 0:
-        return ()
-
-    def value(start: int, end: int) -> int:  # the position makes the leftmost of equal ranks the smallest
-        rank = ranks.get(piece[start:end])
-        return NONE if rank is None else rank * n + start
-
+    if (whole := ranks.get(piece)) is not None:
+        return (whole,)
+    n, rank_of = len(piece), ranks.get
+    least = [NONE] * (2 * n)  # leaf n + i is for the pair that starts at i
+    for i in range(n - 1):
+        if (rank := rank_of(piece[i : i + 2])) is not None:
+            least[n + i] = rank * n + i  # the position makes the leftmost of equal ranks the smallest
+    for k in range(n - 1, 0, -1):
+        least[k] = min(least[2 * k], least[2 * k + 1])
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # next and previous start
-    tree = PairTree([value(i, i + 2) for i in range(n - 1)] + [NONE])
-    while (low := tree.least[1]) < NONE:
+    while n and (low := least[1]) < NONE:
         at = low % n
         gone = after[at]
         end = after[at] = after[gone]
-        tree.put(gone, NONE)
+        put(least, n + gone, NONE)
+        rank = None
         if end < n:
             before[end] = at
-            tree.put(at, value(at, after[end]))
-        else:
-            tree.put(at, NONE)
-        if before[at] >= 0:
-            tree.put(before[at], value(before[at], end))
+            rank = rank_of(piece[at : after[end]])
+        put(least, n + at, NONE if rank is None else rank * n + at)
+        if (left := before[at]) >= 0:
+            rank = rank_of(piece[left:end])
+            put(least, n + left, NONE if rank is None else rank * n + left)
     out, at = [], 0
     while at < n:
         out.append(ranks[piece[at : after[at]]])
@@ -110,15 +103,18 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class Pieces(dict):
-    """Ids of the pieces met so far; it starts anew when it is full."""
+    """Ids of the pieces met of late: of two generations the older goes when the newer is full, so that frequent pieces stay."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+        self.ranks, self.older = ranks, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = merged(piece.encode(), self.ranks)
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = merged(piece.encode(), self.ranks)
         if len(piece) <= KEPT_CHARS:
             if len(self) >= KEPT:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
