@@ -1,36 +1,22 @@
 """Directional classifier: boosted trees with early stopping, walk-forward predictions, importances.
 
-Each fit is a Spark job over the fold's rows; the loop over folds is on the driver and holds models and bounds only.
+The folds are fitted side by side: their rows are one table, and every step is a Spark job over all of them. The driver holds models, bounds and edges.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import replace
 from statistics import median
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import boosting
+from .boosting import EVAL, FIT, GAP, Model, Trees
+from .lineage import cut
 from .metrics import classification
-from .validation import Weights, clip_bounds, clipped, eval_split, expanding_folds, numbered, sample_weights
-
-
-@dataclass(frozen=True)
-class Trees:
-    rounds: int = 800
-    step: float = 0.005
-    depth: int = 5
-    bins: int = 32
-    seed: int = 42
-    tolerance: float = 0.0005
-    least_rounds: int = 25
-    refit_least: int = 150
-    refit_default: int = 250
-
+from .quantiles import exact_quantiles
+from .validation import Weights, eval_plans, expanding_folds, numbered, sample_weights
 
 RESERVED = frozenset("symbol ts open high low close volume Target y weight horizon barrier_stop_pct barrier_take_pct long_pnl short_pnl next_open fold".split())
 
@@ -47,34 +33,53 @@ def directional(frame: DataFrame) -> DataFrame:
     return frame.where("Target <> 0").withColumn("y", (F.col("Target") == 1).cast("double"))
 
 
-def _fit(train: DataFrame, columns: list[str], trees: Trees, rounds: int, validated: bool, seed: int) -> PipelineModel:
-    model = GBTClassifier(featuresCol="features", labelCol="y", weightCol="weight", maxIter=rounds, stepSize=trees.step, maxDepth=trees.depth, maxBins=trees.bins, seed=seed, validationTol=trees.tolerance, featureSubsetStrategy="auto")
-    if validated:
-        model = model.setValidationIndicatorCol("later")
-    return Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features", handleInvalid="keep"), model]).fit(train)
+def used_rows(train: DataFrame, gap: int, seen: dict[int, dict] | None = None) -> DataFrame:
+    """train (fold, ts, symbol, y) with use: the last rows in time of a fold are EVAL, the ``gap`` rows before them GAP (fewer where little would be left), the others FIT."""
+    plans = eval_plans(train) if seen is None else seen
+    starts = train.sparkSession.createDataFrame([(k, p["rows"] - p["eval_size"]) for k, p in plans.items()], "fold int, start long")
+    rows = numbered(train, "__r", "fold").join(F.broadcast(starts), "fold")  # a row a fold
+    use = F.when(F.col("__r") > F.col("start"), EVAL).when(F.col("__r") <= F.greatest(F.lit(1), F.col("start") - gap), FIT).otherwise(GAP)
+    return rows.withColumn("use", use).drop("__r", "start")
 
 
-def fit(train: DataFrame, columns: list[str], trees: Trees = Trees(), earlier: list[int] | None = None, gap: int = 0, seed: int = 42) -> tuple[PipelineModel, int]:
-    """A model of rows (y, weight, columns) and how many rounds it has.
+def fit_folds(train: DataFrame, columns: list[str], trees: Trees = Trees(), gap: int = 0, validated: bool = True, rounds: int | None = None) -> tuple[dict[int, Model], dict[int, int]]:
+    """Models and their numbers of rounds by fold, of rows (fold, symbol, ts, y, weight, columns); folds with one direction have none.
 
-    Boosting stops when the loss of the last rows in time no longer falls; between them and the rest gap rows are left out.
-    If it stops before least_rounds, all rows are fitted anew with the median of the earlier folds' rounds, refit_least at least.
+    Boosting stops when the loss of a fold's last rows no longer falls. A fold whose best round is below ``least_rounds`` is fitted anew on all its
+    rows, with as many rounds as the median of the earlier folds', ``refit_least`` at least, or ``refit_default`` if it is the first.
     """
-    n, plan = train.count(), eval_split(train)
-    start = n - plan["eval_size"]
-    rows = numbered(train, "__r").where((F.col("__r") <= max(1, start - gap)) | (F.col("__r") > start)).withColumn("later", F.col("__r") > start)
-    model = _fit(rows, columns, trees, trees.rounds, True, seed)
-    rounds = model.stages[-1].getNumTrees
-    if rounds < min(trees.least_rounds, trees.rounds):
-        rounds = min(trees.rounds, max(trees.refit_least, int(median(earlier)) if earlier else trees.refit_default))
-        model = _fit(train, columns, trees, rounds, False, seed)
-    return model, rounds
-
-
-def predict(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """rows with p_short and p_long."""
-    p = vector_to_array("probability")
-    return model.transform(rows).withColumn("p_short", p[0]).withColumn("p_long", p[1]).drop("features", "rawPrediction", "probability", "prediction")
+    bounds = {k: tuple(v) for k, v in exact_quantiles(train, columns, [0.01, 0.99], "fold").items()}
+    edges = boosting.edges_of(train, columns, bounds, trees.bins, "fold")
+    models = {k: Model(columns, {c: bounds[k, c] for c in columns if (k, c) in bounds}, e) for k, e in edges.items()}
+    if not models:
+        return {}, {}
+    rows = used_rows(train, gap) if validated else train.withColumn("use", F.lit(FIT))
+    key = F.xxhash64("symbol", "ts").alias("key")
+    blocks = boosting.blocks_of(rows.select(F.col("fold").alias("fit"), key, "y", "weight", "use", *[f"`{c}`" for c in columns]), models, trees)
+    seeds = {k: trees.seed + k for k in models}
+    if not validated:
+        out = boosting.boost(blocks, models, trees, rounds or trees.rounds, False, seeds)
+        return out, {k: len(m.trees) for k, m in out.items()}
+    out = boosting.boost(blocks, models, trees, trees.rounds, True, seeds)
+    used = {k: len(m.trees) for k, m in out.items()}
+    weak = {k for k, n in used.items() if n < trees.least_rounds}
+    if weak:  # trees do not depend on the number of rounds, so all are grown to the most that one may need, and cut
+        most = max([trees.refit_least, trees.refit_default, *used.values()])
+        anew = boosting.boost(blocks.map(lambda own: [b for b in own if b.fit in weak]), {k: models[k] for k in weak}, trees, most, False, seeds)
+        earlier: list[int] = []
+        for k in sorted(out):
+            if k in weak:
+                n = max(trees.refit_least, int(median(earlier)) if earlier else trees.refit_default)
+                out[k] = replace(anew[k], trees=anew[k].trees[:n], losses=out[k].losses)
+                used[k] = len(out[k].trees)
+            earlier.append(used[k])
+    blocks.unpersist()
+    return out, used
+
+
+def predict(models: dict[int, Model], rows: DataFrame, fit: str = "fold") -> DataFrame:
+    """rows, of folds that have a model, with p_short and p_long."""
+    return boosting.probabilities(rows.where(F.col(fit).isin(list(models))), models, fit, rows.columns)
 
 
 def walk_forward(
@@ -82,26 +87,23 @@ def walk_forward(
 ) -> tuple[DataFrame, DataFrame]:
     """((symbol, ts, Target, p_short, p_long, fold) of every test row, (fold, feature, gain)).
 
-    Folds are cut on the times of all rows, or given as ``cuts`` (fold, ts, role), such as those of ``month_folds``; models learn from directional train rows, with bounds and weights of their own, and predict all test rows.
+    Folds are cut on the times of all rows, or given as ``cuts`` (fold, ts, role), such as those of ``month_folds``; models learn from directional
+    train rows, with bounds and weights of their own, and predict all test rows. A fold whose train rows have one direction only has no rows; without any other, both results are empty.
     """
-    spark = frame.sparkSession
+    spark, frame = frame.sparkSession, cut(frame)
     cuts = expanding_folds(frame, folds, gap) if cuts is None else cuts
-    predictions, gains, rounds = None, [], []
-    for k in sorted(r["fold"] for r in cuts.select("fold").distinct().collect()):  # one row a fold
-        own = cuts.where(F.col("fold") == k)
-        train = directional(frame.join(own.where("role = 'train'").select("ts"), "ts", "left_semi"))
-        test = frame.join(own.where("role = 'test'").select("ts"), "ts", "left_semi")
-        if train.select("y").distinct().count() < 2:
-            continue
-        bounds = clip_bounds(train, columns)
-        model, used = fit(sample_weights(clipped(train, bounds), weights), columns, trees, rounds, gap, trees.seed + k)
-        rounds.append(used)
-        scored = predict(model, clipped(test, bounds)).select("symbol", "ts", "Target", "p_short", "p_long", F.lit(k).alias("fold"))
-        predictions = scored if predictions is None else predictions.unionByName(scored)
-        gains += [(k, c, float(g)) for c, g in zip(columns, model.stages[-1].featureImportances.toArray(), strict=True)]
-    if predictions is None:
-        raise ValueError("no fold has both directions")
-    return predictions, spark.createDataFrame(gains, "fold int, feature string, gain double")
+    dealt = cut(frame.join(cuts, "ts"))
+    train = directional(dealt.where("role = 'train'"))
+    train = cut(sample_weights(train, weights, "fold"))
+    both = [r["fold"] for r in train.groupBy("fold").agg(F.min("y").alias("a"), F.max("y").alias("b")).where("a < b").collect()]  # a row a fold
+    models, _ = fit_folds(train.where(F.col("fold").isin(both)), columns, trees, gap) if both else ({}, {})
+    tested = dealt.where("role = 'test'").select("symbol", "ts", "Target", "fold", *[f"`{c}`" for c in columns if c not in ("symbol", "ts", "Target", "fold")])
+    if models:
+        tested = predict(models, tested)
+    else:
+        tested = tested.limit(0).withColumns({"p_short": F.lit(0.0), "p_long": F.lit(0.0)})
+    gains = [(k, c, float(g)) for k, m in sorted(models.items()) for c, g in zip(columns, m.gains(), strict=True)]
+    return tested.select("symbol", "ts", "Target", "p_short", "p_long", "fold"), spark.createDataFrame(gains, "fold int, feature string, gain double")
 
 
 def fold_details(predictions: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -112,8 +114,10 @@ def fold_details(predictions: DataFrame, cuts: DataFrame) -> DataFrame:
     return rows.join(trained, "fold", "left").join(classification(own, ["fold"]), "fold", "left")
 
 
-def refit_all(frame: DataFrame, columns: list[str], rounds: int, trees: Trees = Trees()) -> tuple[PipelineModel, dict]:
-    """The production model on all rows, and its bounds."""
-    rows = directional(frame)
-    bounds = clip_bounds(rows, columns)
-    return _fit(sample_weights(clipped(rows, bounds)), columns, trees, rounds, False, trees.seed), bounds
+def refit_all(frame: DataFrame, columns: list[str], rounds: int, trees: Trees = Trees(), weights: Weights = Weights()) -> Model:
+    """The production model on all directional rows, with its bounds."""
+    rows = cut(sample_weights(directional(frame), weights).withColumn("fold", F.lit(0)))
+    models, _ = fit_folds(rows, columns, trees, validated=False, rounds=rounds)
+    if not models:
+        raise ValueError("rows of one direction only")
+    return models[0]

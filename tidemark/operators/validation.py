@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact_quantiles
+
 DAY_MS = 86_400_000
 
 
@@ -16,13 +18,16 @@ def timeline(frame: DataFrame) -> DataFrame:
     return frame.select("ts").distinct().withColumn("i", F.row_number().over(Window.orderBy("ts")) - 1)
 
 
-def numbered(frame: DataFrame, name: str) -> DataFrame:
-    """frame with each row's place by (ts, symbol), from 1. Only the row counts of the times pass through one task; a time's own rows are numbered apart."""
-    counts = frame.groupBy(F.col("ts").alias("__ts")).agg(F.count("*").alias("__n"))
-    earlier = Window.orderBy("__ts").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("__ts", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    own = frame.withColumn(name, F.row_number().over(Window.partitionBy("ts").orderBy("symbol")))
-    return own.join(before, F.col("ts").eqNullSafe(F.col("__ts"))).withColumn(name, F.col(name) + F.col("__before")).drop("__ts", "__before")
+def numbered(frame: DataFrame, name: str, *by: str) -> DataFrame:
+    """frame with each row's place by (ts, symbol), from 1, in groups of ``by``. Only the row counts of the times pass through one task; a time's own rows are numbered apart."""
+    counts = frame.groupBy(*[F.col(c).alias(f"__{c}") for c in by], F.col("ts").alias("__ts")).agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(*[f"__{c}" for c in by]).orderBy("__ts").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).drop("__n")
+    own = frame.withColumn(name, F.row_number().over(Window.partitionBy(*by, "ts").orderBy("symbol")))
+    same = F.col("ts").eqNullSafe(F.col("__ts"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return own.join(before, same).withColumn(name, F.col(name) + F.col("__before")).drop("__ts", "__before", *[f"__{c}" for c in by])
 
 
 def expanding_folds(frame: DataFrame, folds: int = 5, gap: int = 20) -> DataFrame:
@@ -68,9 +73,8 @@ def add_months(at: datetime, months: int) -> datetime:
 
 
 def clip_bounds(train: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> dict[str, tuple[float, float]]:
-    """Exact quantiles of each column, all in one aggregate; the bounds are two numbers a column."""
-    row = train.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(c) for c in columns]).first()
-    return {c: tuple(row[c]) for c in columns if row[c] is not None}
+    """Exact quantiles of each column; the bounds are two numbers a column."""
+    return {c: tuple(v) for (_, c), v in exact_quantiles(train, columns, [low, high]).items()}
 
 
 def clipped(frame: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
@@ -90,10 +94,15 @@ class Weights:
     most: float = 1.35
 
 
-def sample_weights(frame: DataFrame, w: Weights = Weights()) -> DataFrame:
-    """frame with weight: exponential decay from the last time, a boost for recent rows and for clear market regimes."""
-    last = frame.agg(F.max("ts").alias("t")).first()["t"]
-    days = (F.lit(last) - F.col("ts")) / float(DAY_MS)
+def sample_weights(frame: DataFrame, w: Weights = Weights(), by: str | None = None) -> DataFrame:
+    """frame with weight: exponential decay from the last time (of its group ``by``, of which there are few), a boost for recent rows and for clear market regimes."""
+    columns = frame.columns
+    if by is None:
+        last = F.lit(frame.agg(F.max("ts").alias("t")).first()["t"])
+    else:
+        frame = frame.join(F.broadcast(frame.groupBy(by).agg(F.max("ts").alias("__last"))), by)  # a row a group
+        last = F.col("__last")
+    days = (last - F.col("ts")) / float(DAY_MS)
     weight = F.exp(-F.log(F.lit(2.0)) / w.half_life_days * days) * F.when(days <= w.recent_days, w.recent_boost).otherwise(1.0)
     terms = []
     for c in ("market_breadth_ema_fast_slow_1h", "market_breadth_pos_return_4h_3"):
@@ -103,27 +112,40 @@ def sample_weights(frame: DataFrame, w: Weights = Weights()) -> DataFrame:
         terms.append(F.tanh(F.abs(F.coalesce("ema_slope_4h", F.lit(0.0))) / w.slope_scale))
     if terms:
         weight = weight * (1.0 + F.greatest(F.lit(0.0), F.least(sum(terms[1:], terms[0]) / float(len(terms)) * w.strength, F.lit(w.strength_cap))))
-    return frame.withColumn("weight", F.greatest(F.lit(w.least), F.least(weight, F.lit(max(w.least, w.most)))))
-
-
-def eval_split(train: DataFrame, label: str = "y", fractions: tuple[float, ...] = (0.15, 0.2, 0.25, 0.3, 0.35, 0.4), most_gap: float = 0.08) -> dict:
-    """The first suffix share whose label rate is within most_gap of the rest's, else the closest. Rates come from one pass of conditional sums over row places."""
-    n = train.count()
-    rows = numbered(train.select("ts", "symbol", label), "r")
-    sizes = [min(max(1, int(n * f)), n - 1) for f in fractions] if n > 1 else []
-    if not sizes:
-        rate = train.agg(F.avg(label)).first()[0] if n else 0.5
-        return {"eval_size": 1, "fit_rate": rate, "eval_rate": rate, "expanded": False}
-    sums = rows.agg(*[F.sum(F.when(F.col("r") > n - s, F.col(label)).otherwise(0)).alias(f"s{i}") for i, s in enumerate(sizes)], F.sum(label).alias("all")).first()
+    return frame.select(*[f"`{c}`" for c in columns if c != "weight"], F.greatest(F.lit(w.least), F.least(weight, F.lit(max(w.least, w.most)))).alias("weight"))
+
+
+FRACTIONS = (0.15, 0.2, 0.25, 0.3, 0.35, 0.4)
+
+
+def eval_split(train: DataFrame, label: str = "y", fractions: tuple[float, ...] = FRACTIONS, most_gap: float = 0.08) -> dict:
+    """The first suffix share whose label rate is within most_gap of the rest's, else the closest."""
+    plans = eval_plans(train.select("ts", "symbol", F.col(label).alias("y"), F.lit(0).alias("fold")), fractions, most_gap)
+    return plans.get(0) or {"rows": 0, "eval_size": 1, "fit_rate": 0.5, "eval_rate": 0.5, "expanded": False}
+
+
+def eval_plans(train: DataFrame, fractions: tuple[float, ...] = FRACTIONS, most_gap: float = 0.08) -> dict[int, dict]:
+    """``eval_split`` of every fold of train (fold, ts, symbol, y), with its number of rows; rates come from one pass of conditional sums over row places."""
+    sizes = train.groupBy("fold").agg(F.count("*").alias("n"))
+    rows = numbered(train.select("fold", "ts", "symbol", "y"), "r", "fold").join(F.broadcast(sizes), "fold")  # a row a fold
+    late = {i: F.greatest(F.lit(1), F.least(F.floor(F.col("n") * f), F.col("n") - 1)) for i, f in enumerate(fractions)}
+    sums = rows.groupBy("fold").agg(F.first("n").alias("n"), F.sum("y").alias("all"), *[F.sum(F.when(F.col("r") > F.col("n") - s, F.col("y")).otherwise(0)).alias(f"s{i}") for i, s in late.items()])
+    return {r["fold"]: chosen(r["n"], r["all"], [r[f"s{i}"] for i in late], fractions, most_gap) for r in sums.collect()}
+
+
+def chosen(n: int, total: float, late: list[float], fractions: tuple[float, ...], most_gap: float) -> dict:
+    """The split of n rows with ``total`` positive ones, of which ``late`` are in the suffixes."""
+    sizes = [min(max(1, int(n * f)), n - 1) for f in fractions]
+    if n < 2:
+        return {"rows": n, "eval_size": 1, "fit_rate": total / n, "eval_rate": total / n, "expanded": False}
     best = None
     for i, s in enumerate(sizes):
-        late, early = sums[f"s{i}"], sums["all"] - sums[f"s{i}"]
-        if late in (0, s) or early in (0, n - s):
+        early = total - late[i]
+        if late[i] in (0, s) or early in (0, n - s):
             continue
-        plan = {"eval_size": s, "fit_rate": early / (n - s), "eval_rate": late / s, "expanded": i > 0}
+        plan = {"rows": n, "eval_size": s, "fit_rate": early / (n - s), "eval_rate": late[i] / s, "expanded": i > 0}
         plan["rate_gap"] = abs(plan["eval_rate"] - plan["fit_rate"])
         if plan["rate_gap"] <= most_gap:
             return plan
         best = plan if best is None or plan["rate_gap"] < best["rate_gap"] else best
-    first = sizes[0]
-    return best or {"eval_size": first, "fit_rate": (sums["all"] - sums["s0"]) / (n - first), "eval_rate": sums["s0"] / first, "expanded": False}
+    return best or {"rows": n, "eval_size": sizes[0], "fit_rate": (total - late[0]) / (n - sizes[0]), "eval_rate": late[0] / sizes[0], "expanded": False}

@@ -11,6 +11,7 @@ from ..functions import features as fx
 from ..functions.dialect import DUCKDB, doubles
 from ..operators import feature_frame, labels, metrics, reports, simulator, training, validation
 from ..operators.asof import asof
+from ..operators.lineage import cut
 from ..sources import bars, exchange
 from ..streaming import live
 
@@ -332,8 +333,7 @@ def portfolio_simulation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("walk_forward_model", None)
 def walk_forward_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-sample probabilities of all folds, on every feature column, with the operator's defaults."""
-    rows = labels.label(feature_frame.from_events(table(spark, sf_dir, "events"), BENCHMARK))
+    rows = cut(labels.label(feature_frame.from_events(table(spark, sf_dir, "events"), BENCHMARK)))
     columns = training.feature_columns(rows)
     rows = labels.finalise(rows, columns)
-    rows.cache()
     return training.walk_forward(rows, columns)[0]
