@@ -116,6 +116,21 @@ def test_drop_near_duplicates(docs, corpus):
     assert len(ids) < len({r[0] for r in corpus})
 
 
+def test_drop_near_duplicates_by_row(spark):
+    """Repeated ids are rows of their own: what resembles nothing stays, and one row of each group does."""
+    rng = random.Random(11)
+    a, b, c, d = (" ".join(words(rng, 40)) for _ in range(4))
+    rows = [(1, a, 0), (5, a, 0), (5, b, 0), (7, c, 0), (7, c, 0), (None, a, 0), (None, d, 1), (None, d, 2), (9, c + " tail", 0), (9, "", 0), (9, None, 0), (3, "", 0), (8, d + "  ", 0), (8, d, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark int").withColumn("keeps", F.lit("clash")).repartition(4)
+    kept = jaccard_join.drop_near_duplicates(docs)
+    assert kept.columns == ["doc_id", "text", "mark", "keeps"]
+    got = sorted(((r["doc_id"], (r["text"] or "").strip()) for r in kept.collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (7, c), (9, ""), (9, ""), (3, ""), (8, d)], key=str)
+    nulls = spark.createDataFrame([(None, d, 1), (None, d, 2), (None, a, 3)], "doc_id long, text string, mark int")
+    assert sorted(r["text"] for r in jaccard_join.drop_near_duplicates(nulls).collect()) == sorted([a, d])
+    assert jaccard_join.drop_near_duplicates(docs.limit(0)).count() == 0
+
+
 def removed_bytes(rows, length):
     seen, out = {}, {}
     for i, text in sorted(rows, key=lambda r: r[0]):
@@ -502,6 +517,15 @@ def test_top_k(spark):
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2]
 
 
+def test_top_k_of_large_numbers(spark):
+    x = [[2.0**19, -(2.0**19)], [2.0**20, 3.0], [-1.0, 2.0**20]]
+    vectors = top_k.integers(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>"))
+    got = top_k.search(vectors, vectors.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "v")).collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 2**16 * (2**39 - 3 * 2**19)), (2, 2**16 * (-(2**19) - 2**39))]
+    with pytest.raises(Exception, match="too large for exact scores in vec_id 17"):
+        top_k.integers(spark.createDataFrame([(17, [1e17, 0.0])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_top_k_prunes(monkeypatch):
     """Where vectors lie in clusters, a search opens few of the tree's nodes and is still exact."""
     rng = np.random.default_rng(9)

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import signature_tree
@@ -45,8 +45,8 @@ def sure(n: int) -> int:
     return max(1, n // 10)
 
 
-def shingle_sets(docs: DataFrame, k: int, num: int, den: int, whole: bool = False) -> DataFrame:
-    """(doc_id, n, h1, h2, need, tokens): the set's size and two hashes, and its sorted prefix (the whole set if ``whole``)."""
+def shingle_sets(docs: DataFrame, k: int, num: int, den: int, whole: bool = False, mark: list[Column] = ()) -> DataFrame:
+    """(doc_id, n, h1, h2, need, tokens): the set's size and two hashes, and its sorted prefix (the whole set if ``whole``). A column of longs given as ``mark`` comes along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,9 +64,11 @@ def shingle_sets(docs: DataFrame, k: int, num: int, den: int, whole: bool = Fals
                 flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
                 at = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
                 arrays = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(need, pa.int32()), arrays], ["doc_id", "n", "h1", "h2", "need", "tokens"])
+                marks = [c.slice(lo, hi - lo) for c in batch.columns[2:]]
+                names = ["doc_id", "n", "h1", "h2", "need", "tokens", *["mark"][: len(marks)]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(need, pa.int32()), arrays, *marks], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"{SET}, need int, tokens array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *mark).mapInArrow(run, f"{SET}, need int, tokens array<long>{', mark long' if mark else ''}")
 
 
 def blocks_of(nodes: DataFrame) -> DataFrame:
@@ -161,14 +163,15 @@ def tree_components(members: DataFrame, num: int, den: int) -> tuple[DataFrame,
     return links, joined
 
 
-def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, chunk_tokens: int = 400_000, count_links: bool = False) -> DataFrame:
+def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, chunk_tokens: int = 400_000, count_links: bool = False, mark: list[Column] = ()) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked where den * intersection >= num * union of their shingle sets.
 
     ``count_links`` adds n_links, the number of other rows that the document is linked with, copies included: then all
     similar pairs of different sets are visited (and only counted), where otherwise those inside a component already
-    found are passed over.
+    found are passed over. With ``mark``, a column of longs, the row's mark and whether its component ``keeps`` it are added: that
+    is one row of each component, of the smallest doc_id (nulls last), and every row of the empty set.
     """
-    rows = cut(shingle_sets(docs, k, num, den).withColumn("row", F.monotonically_increasing_id()))
+    rows = cut(shingle_sets(docs, k, num, den, mark=mark).withColumn("row", F.monotonically_increasing_id()))
     key = ["h1", "h2", "n"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("m")
     equal = rows.where("n > 0").groupBy(*key).agg(first, F.count("*").alias("copies"))
@@ -182,8 +185,9 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, chunk
     members = cut(placed.join(sets, ["doc_id", *key]).select("node", "block", "chunk", "class", "tokens"))
     joined = tree_components(members, num, den)[1]
     of_node = equal.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = of_node.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = of_node.join(least, "component").select("node", *key, "component_id", "copies")
+    best = F.min(F.struct(F.col("first").isNull().alias("no"), "first", "node")).alias("best")
+    least = of_node.groupBy("component").agg(best).select("component", F.col("best.first").alias("component_id"), F.col("best.node").alias("best"))
+    named = of_node.join(least, "component").select("node", *key, "component_id", "copies", "best")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     out = ["doc_id", F.col("n").alias("n_shingles"), component]
     if count_links:
@@ -192,10 +196,31 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, chunk
         named = named.join(counted, "node", "left")
         links = F.coalesce(F.col("copies") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).cast("long")
         out.append(links.alias("n_links"))
-    return rows.select("doc_id", *key).join(named.drop("node"), key, "left").select(*out)
+    if mark:
+        out += ["mark", F.when(F.col("n") > 0, F.col("row") == F.col("best")).otherwise(True).alias("keeps")]
+    return rows.select("doc_id", *key, *["row", "mark"][: 2 * len(mark)]).join(named.drop("node"), key, "left").select(*out)
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The documents with the smallest id of each component, with all columns; documents without words stay."""
-    found = components(docs, **options)
-    return docs.join(side_of_ids(cut(found.where("doc_id <> component_id").select("doc_id").distinct())), "doc_id", "left_anti").select(docs.columns)
+    """One document of each component, one with the smallest id, with all its columns.
+
+    Rows are judged each by its own text, and known by id and a hash of the text: of rows that repeat an id, those that resemble nothing stay.
+    Where the row to keep is repeated as it is or with other values beside its text, one of them stays. Null ids come
+    after all others; documents without words stay, all of them; an empty table stays empty; columns of any name are kept.
+    """
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = components(docs, mark=[text.alias("mark")], **options).where("n_shingles > 0")
+    found = cut(found.groupBy("doc_id", "mark").agg(F.bool_or("keeps").alias("keeps"), F.count("*").alias("rows")).where("NOT keeps OR rows > 1"))
+    names = {c: F.col(f"d.`{c}`") for c in docs.columns}
+
+    def of(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64(F.coalesce(F.col("d.text").cast("string"), F.lit(""))) == F.col("k.mark"))
+        return rows.alias("d").join(side_of_ids(keys).alias("k"), same, how)
+
+    repeated = found.where("keeps")
+    out = of(docs, found, "left_anti").select(list(names.values()))
+    if repeated.isEmpty():
+        return out
+    one = F.min_by(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(names.values())]), F.xxhash64(*[names[c] for c, kind in docs.dtypes if "map<" not in kind])).alias("one")
+    single = of(docs, repeated, "inner").groupBy("k.doc_id", "k.mark").agg(one)
+    return out.unionByName(single.select(*[F.col(f"one.c{i}").alias(c) for i, c in enumerate(names)]))

@@ -10,7 +10,8 @@ shard, and the shards' best k are merged.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows without an id, take no part; only
 vectors as long as the query are candidates; a row never finds rows of its own id; ids that repeat are candidates once
-for each different vector; equal scores go to the smaller id; with fewer candidates than k all are returned; empty
+for each different vector; equal scores go to the smaller id; with fewer candidates than k all are returned; components so
+large that a score might not fit in a long raise, naming the row; columns of other names are not read; empty
 tables give an empty result.
 """
 
@@ -20,7 +21,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 256
@@ -120,9 +121,19 @@ class Tree:
 
 
 def integers(rows: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v array<long>) of the rows that take part."""
+    """(vec_id, v array<long>) of the rows that take part.
+
+    Vectors with components so large that a score might not fit in a long raise and name the vec_id, so no score is ever wrong.
+    """
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine).select("vec_id", F.transform("embedding", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0) & fine).select("vec_id", checked(F.col("embedding"), scale).alias("v"))
+
+
+def checked(embedding: Column, scale: int) -> Column:
+    """floor(scale * x) of the components; raises where the sum of their squares might not fit in a long."""
+    fits = F.forall(embedding, lambda x: F.abs(x * scale) * F.sqrt(F.size(embedding).cast("double")) < float(1 << 30))
+    wrong = F.raise_error(F.concat(F.lit("components too large for exact scores in vec_id "), F.col("vec_id").cast("string")))
+    return F.when(fits, F.transform(embedding, lambda x: F.floor(x * scale).cast("long"))).otherwise(wrong.cast("array<bigint>"))
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 32_768, query_rows: int = 32_768, page: int = 64) -> DataFrame:
