@@ -64,11 +64,11 @@ def test_segment_tree_merges_as_the_plain_loop():
 
 
 def test_decode_of_unknown_ids_and_bad_vocabularies(spark, tmp_path, library):
-    ranks = spark.sparkContext.broadcast(byte_bpe.read_ranks(spark, VOCABULARY))
+    ranks = spark.sparkContext.broadcast(byte_bpe.Vocabulary(byte_bpe.read_ranks(spark, VOCABULARY)))
     rows = [(1, [library.encode_ordinary("hi")[0]]), (2, [10**6]), (3, [-1]), (4, [1, None]), (5, None), (6, [])]
     got = {r["doc_id"]: r["decoded"] for r in byte_bpe.decode(spark.createDataFrame(rows, "doc_id long, ids array<int>"), ranks).collect()}
     assert got == {1: bytearray(b"hi"), 2: None, 3: None, 4: None, 5: bytearray(b""), 6: bytearray(b"")}
-    assert byte_bpe.read_ranks(spark, f"file://{VOCABULARY}") == ranks.value
+    assert byte_bpe.read_ranks(spark, f"file://{VOCABULARY}") == ranks.value.ranks
     bad = tmp_path / "bad.tiktoken"
     bad.write_bytes(b"YQ== 0\n")
     with pytest.raises(ValueError, match="no rank for bytes"):

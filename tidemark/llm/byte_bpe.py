@@ -8,7 +8,7 @@ and that of the position that is no longer a start. So a piece of n bytes takes
 
 Both directions are narrow: rows are encoded where they lie, nothing is shuffled and a lost executor costs its own rows.
 The ranks are read on the driver and broadcast; a file above ``MOST_BYTES`` is refused, as a vocabulary does not grow
-with the corpus. Pieces met before are looked up; twice ``KEPT`` are kept a task at most, so memory is bounded.
+with the corpus. Pieces met before are looked up; twice ``KEPT`` are kept a Python worker at most, so memory is bounded.
 
 Defined cases: null and empty texts have no tokens and decode to no bytes; a null doc_id is kept; repeated rows are rows
 of their own; texts of any length are encoded whole; equal ranks do not occur in a table, equal pairs in a piece are
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 #: Largest rank file that is broadcast.
 MOST_BYTES = 16_000_000
-#: Pieces in a generation of those whose ids a task keeps, and the longest that is worth keeping.
+#: Pieces in a generation of those whose ids a worker keeps, and the longest that is worth keeping.
 KEPT, KEPT_CHARS = 150_000, 40
 #: Characters of text that are encoded before a batch goes out.
 BATCH_CHARS = 2_000_000
@@ -63,7 +63,8 @@ def put(least: list[int], leaf: int, value: int) -> None:
     least[leaf] = value
     while leaf > 1:
         sibling = least[leaf ^ 1]
-        value = min(value, sibling)
+        if sibling < value:
+            value = sibling
         leaf >>= 1
         if least[leaf] == value:
             return
@@ -80,7 +81,8 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
         if (rank := rank_of(piece[i : i + 2])) is not None:
             least[n + i] = rank * n + i  # the position makes the leftmost of equal ranks the smallest
     for k in range(n - 1, 0, -1):
-        least[k] = min(least[2 * k], least[2 * k + 1])
+        a, b = least[2 * k], least[2 * k + 1]
+        least[k] = a if a < b else b
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # next and previous start
     while n and (low := least[1]) < NONE:
         at = low % n
@@ -120,11 +122,21 @@ class Pieces(dict):
         return ids
 
 
-def encode(docs: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
-    """(doc_id, ids array<int>) of every text."""
+class Vocabulary:
+    """Ranks and the pieces met of late. Spark keeps a broadcast value in a Python worker, so the pieces serve the tasks that follow there."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.pieces = ranks, Pieces(ranks)
+
+    def __reduce__(self):
+        return Vocabulary, (self.ranks,)
+
+
+def encode(docs: DataFrame, vocabulary: Broadcast, pattern: str) -> DataFrame:
+    """(doc_id, ids array<int>) of every text; ``vocabulary`` is a broadcast ``Vocabulary``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, pieces = regex.compile(pattern).findall, Pieces(ranks.value)
+        split, pieces = regex.compile(pattern).findall, vocabulary.value.pieces
 
         def out(batch: pa.RecordBatch, lo: int, rows: list[np.ndarray]) -> pa.RecordBatch:
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
@@ -146,11 +158,11 @@ def encode(docs: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def decode(encoded: DataFrame, ranks: Broadcast) -> DataFrame:
+def decode(encoded: DataFrame, vocabulary: Broadcast) -> DataFrame:
     """(doc_id, ids, decoded binary): the bytes of every row's ids, null where an id is not in the table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ranks.value
+        known = vocabulary.value.ranks
         top = max(known.values()) + 2  # the last place stands for ids that the table does not have
         size, start = np.full(top, -1, np.int64), np.zeros(top, np.int64)
         at = 0
@@ -178,8 +190,8 @@ def decode(encoded: DataFrame, ranks: Broadcast) -> DataFrame:
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every text: encoded by the ranks of ``path``, then decoded."""
-    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(docs.sparkSession, path))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(docs.sparkSession, path)))
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return decode(encode(docs, ranks, pattern), ranks).select(
+    return decode(encode(docs, vocabulary, pattern), vocabulary).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
