@@ -168,3 +168,19 @@ def test_pruned(spark, built):
     dfs, _ = frames(spark, market(30))
     few = feature_frame.build(*dfs, benchmark="AAA", request=["volume_24h"])._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile" not in few and "regr_slope" not in few and "adx" not in few
+
+
+@pytest.mark.parametrize(("block", "scans", "python"), [("time_context", 1, False), ("funding", 2, False), ("structure", 1, False), ("htf", 2, True), ("momentum", 1, True)])
+def test_plan_holds_what_the_request_needs(spark, block, scans, python):
+    """Tables, joins and recursions that no requested feature rests on are not in the plan."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    plan = feature_frame.from_events(events, "purchase", fx.BLOCKS[block])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == scans
+    assert ("FlatMapGroupsInPandas" in plan) == python
+
+
+def test_needed_follows_levels_down():
+    which = [{"a": "x + 1", "b": "y"}, {"c": "a * 2", "a": "a + b"}, {"d": "c", "e": "z"}]
+    assert feature_frame.needed(which, {"d"}) == ([{"a": "x + 1"}, {"c": "a * 2"}, {"d": "c"}], {"x"})
+    assert feature_frame.needed(which, {"a"})[1] == {"x", "y"}
+    assert feature_frame.needed(which, {"q"}) == ([], {"q"})

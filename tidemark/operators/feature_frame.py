@@ -1,11 +1,13 @@
 """The feature pipeline: base bars, series beside them and higher-timeframe bars to one wide frame.
 
 Exchanges: one by symbol for all per-symbol levels (the recursion keeps it), one by time for the cross-sections, one by symbol for
-the as-of join and the interactions. Columns that the request does not need are pruned by Catalyst.
+the as-of join and the interactions. The request is followed down the levels: columns, joins, recursions and tables that nothing
+requested needs are not in the plan.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -26,26 +28,56 @@ def levels(df: DataFrame, which: list[dict[str, str]]) -> DataFrame:
     return df
 
 
-def higher_timeframe(htf: DataFrame) -> DataFrame:
-    """(symbol, ts, features) of the higher timeframe; every output is lagged by one bar of it."""
-    out = with_averages(levels(htf, fx.htf_before(SPARK)), htf_averages, HTF_NAMES)
-    return levels(out, fx.htf_after(SPARK)).select("symbol", "ts", *fx.BLOCKS["htf"], *fx.HTF_CROSS)
+def needed(which: list[dict[str, str]], wanted: set[str]) -> tuple[list[dict[str, str]], set[str]]:
+    """The levels without the columns that ``wanted`` does not rest on, and the columns that they and ``wanted`` need of the rows below them."""
+    out = []
+    for level in reversed(which):
+        own = {name: sql for name, sql in level.items() if name in wanted}
+        wanted = (wanted - set(own)) | {word for sql in own.values() for word in re.findall(r"[A-Za-z_]\w*", sql)}
+        if own:
+            out.insert(0, own)
+    return out, wanted
+
+
+def averaged(before: list[dict[str, str]], after: list[dict[str, str]], make, names: list[str], inputs: set[str], wanted: set[str]):
+    """(a function that adds the levels and the recursion between them, as far as needed, what they need of the rows)."""
+    late, under = needed(after, wanted)
+    recursive = bool(under & set(names))
+    early, base = needed(before, under | inputs if recursive else under)
+
+    def add(rows: DataFrame) -> DataFrame:
+        rows = levels(rows, early)
+        return levels(with_averages(rows, make, names) if recursive else rows, late)
+
+    return add, base
+
+
+HTF_INPUTS, MAIN_INPUTS = {"close", "tr", "plus_dm", "minus_dm"}, {"close", "dc", "realized_vol_1h"}
+
+
+def higher_timeframe(htf: DataFrame, wanted: list[str] | None = None) -> DataFrame:
+    """(symbol, ts, wanted features) of the higher timeframe, all without ``wanted``; every output is lagged by one bar of it."""
+    wanted = [*fx.BLOCKS["htf"], *fx.HTF_CROSS] if wanted is None else wanted
+    add, _ = averaged(fx.htf_before(SPARK), fx.htf_after(SPARK), htf_averages, HTF_NAMES, HTF_INPUTS, set(wanted))
+    return add(htf).select("symbol", "ts", *wanted)
 
 
 def build(main: DataFrame, htf: DataFrame, funding: DataFrame, premium: DataFrame, interest: DataFrame, benchmark: str, request: fx.Request | Iterable[str] = fx.Request()) -> DataFrame:
     """(symbol, ts, prices, requested features in order of name). All frames are keyed by (symbol, ts), ts being the time of decision."""
     names = fx.resolve(request)
+    last, wanted = needed(fx.interactions(SPARK), set(names))
+    wide = [c for c in (*fx.BLOCKS["htf"], *fx.HTF_CROSS) if c in wanted]
+    add, base = averaged(fx.main_before(SPARK), fx.main_after(SPARK, benchmark), main_averages, MAIN_NAMES, MAIN_INPUTS, wanted - set(wide))
     rows = main.select("symbol", "ts", *PRICES)
     for right, column in ((funding, "funding_rate"), (premium, "premium_index_close"), (interest, "open_interest")):
-        rows = asof(rows, right, "symbol", "ts", [column])
-    rows = rows.join(main.where(F.col("symbol") == benchmark).select("ts", F.col("close").alias("benchmark_close")), "ts", "left")
-    rows = with_averages(levels(rows, fx.main_before(SPARK)), main_averages, MAIN_NAMES)
-    rows = levels(rows, fx.main_after(SPARK, benchmark))
-    wide = [*fx.BLOCKS["htf"], *fx.HTF_CROSS]
-    if set(names) & {*wide, *fx.BLOCKS["interactions"]}:
-        rows = asof(rows, higher_timeframe(htf), "symbol", "ts", wide)
-        rows = levels(rows, fx.interactions(SPARK))
-    return rows.select("symbol", "ts", *PRICES, *names)
+        if column in base:
+            rows = asof(rows, right, "symbol", "ts", [column])
+    if "benchmark_close" in base:
+        rows = rows.join(main.where(F.col("symbol") == benchmark).select("ts", F.col("close").alias("benchmark_close")), "ts", "left")
+    rows = add(rows)
+    if wide:
+        rows = asof(rows, higher_timeframe(htf, wide), "symbol", "ts", wide)
+    return levels(rows, last).select("symbol", "ts", *PRICES, *names)
 
 
 def from_events(events: DataFrame, benchmark: str, request: fx.Request | Iterable[str] = fx.Request()) -> DataFrame:
