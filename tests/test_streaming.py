@@ -6,6 +6,7 @@ import os
 import pandas as pd
 import pytest
 
+from tidemark.sources import exchange
 from tidemark.streaming import live
 
 
@@ -59,3 +60,16 @@ def test_tumbling_stream_equals_table(spark, tmp_path):
     streamed = {tuple(r) for r in spark.read.parquet(str(tmp_path / "o3")).collect()}
     table = {tuple(r) for r in live.tumbling_bars(events).collect()}
     assert streamed <= table and len(table) - len(streamed) <= 20  # the last bars stay open behind the watermark
+
+
+def test_numbers_that_cannot_be_read(spark):
+    """One bad price leaves out its bar, or is null in a stored answer; nothing else is lost."""
+    bar = {"start": 0, "end": 1, "open": "1", "high": "2", "low": "1", "close": "2", "volume": "x", "confirm": True, "timestamp": 1}
+    frames = [{"topic": "kline.60.A", "ts": 5, "data": [bar, {**bar, "start": 2, "close": "bad"}, {**bar, "start": 3}]}]
+    got = live.closed_bars(spark.createDataFrame([(json.dumps(f),) for f in frames], "value string")).collect()
+    assert [(r["start_ms"], r["volume"]) for r in got] == [(0, 0.0), (3, 0.0)]
+    payload = json.dumps([["1", "2", "3", "x", "4", "5", "0", "6"], ["late", "2", "3", "1", "4", "5", "0", "6"]])
+    rows = exchange.klines(spark.createDataFrame([("A", payload)], "symbol string, payload string"), "b").collect()
+    assert [(r["open_time"], r["low"], r["close"]) for r in rows] == [(1, None, 4.0)]
+    rates = json.dumps([{"fundingTime": "8", "fundingRate": "0.1"}, {"fundingTime": "9", "fundingRate": "bad"}])
+    assert [tuple(r) for r in exchange.points(spark.createDataFrame([("A", rates)], "symbol string, payload string"), "b", "funding").collect()] == [("A", 8, 0.1)]

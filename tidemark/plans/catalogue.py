@@ -177,10 +177,33 @@ def sample_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(validation.sample_weights(labelled(spark, sf_dir)), ["symbol", "ts"], ["weight"])
 
 
+_SPLIT = f"""line AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM {_LABELLED})),
+    f AS (SELECT *, n // 6 AS size, unnest([1, 2, 3, 4, 5]) AS fold FROM line), s AS (SELECT *, n - (6 - fold) * size AS start FROM f),
+    tr AS (SELECT s.fold, l.*, CAST(Target = 1 AS INTEGER) AS y FROM {_LABELLED} l JOIN s USING (ts) WHERE s.i < s.start - CASE WHEN s.start > 20 THEN 20 ELSE 0 END AND Target <> 0),
+    num AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY ts, symbol) AS r, count(*) OVER (PARTITION BY fold) AS n, (max(ts) OVER (PARTITION BY fold) - ts) / 86400000.0::DOUBLE AS d FROM tr),
+    c AS (SELECT fold, n, k, greatest(1, least(CAST(floor(n * x) AS BIGINT), n - 1)) AS size FROM (SELECT DISTINCT fold, n FROM num), (VALUES (0, 0.15::DOUBLE), (1, 0.2), (2, 0.25), (3, 0.3), (4, 0.35), (5, 0.4)) v(k, x)),
+    e AS (SELECT c.fold, c.n, k, size, sum(y) AS total, sum(y) FILTER (r > c.n - size) AS late FROM c JOIN num USING (fold) GROUP BY ALL),
+    g AS (SELECT *, abs((total - late) / (n - size) - late / size) AS gap, late NOT IN (0, size) AND total - late NOT IN (0, n - size) AS two FROM e),
+    best AS (SELECT fold, coalesce(arg_min(size, k) FILTER (two AND gap <= 0.08), arg_min(size, gap) FILTER (two), arg_min(size, k)) AS size FROM g GROUP BY fold)"""
+
+
+@query(
+    "fold_training_rows",
+    f"""{LABEL_SQL}, {_SPLIT} SELECT CAST(fold AS INTEGER) AS fold, symbol, ts, y, round(CAST({_WEIGHT} AS DOUBLE), {DIGITS}) AS weight,
+    CAST(CASE WHEN r > n - size THEN 1 WHEN r <= greatest(1, n - size - 20) THEN 0 ELSE 2 END AS INTEGER) AS use FROM num JOIN best USING (fold)""",
+)
+def fold_training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each fold's fit learns from, is stopped by, and leaves out between them, with its weights."""
+    rows = cut(labelled(spark, sf_dir))
+    train = training.directional(rows.join(validation.expanding_folds(rows).where("role = 'train'"), "ts"))
+    used = training.used_rows(validation.sample_weights(train, by="fold"), 20)
+    return used.select("fold", "symbol", "ts", F.col("y").cast("int").alias("y"), (F.round("weight", DIGITS) + F.lit(0.0)).alias("weight"), F.col("use").cast("int").alias("use"))
+
+
 @query("winsorised", f"{LABEL_SQL}, q AS (SELECT {', '.join(f'quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}' for c in LABEL_INPUTS)} FROM {_LABELLED}) SELECT symbol, ts, {', '.join(f'round(CASE WHEN {c} IS NULL THEN NULL ELSE least(greatest({c}, lo_{c}), hi_{c}) END, {DIGITS}) + 0.0 AS {c}' for c in LABEL_INPUTS)} FROM {_LABELLED}, q")
 def winsorised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features clipped to their first and last hundredth."""
-    rows = labelled(spark, sf_dir)
+    rows = cut(labelled(spark, sf_dir))  # read by each pass of the quantiles
     return rounded(validation.clipped(rows, validation.clip_bounds(rows, LABEL_INPUTS)), ["symbol", "ts"], LABEL_INPUTS)
 
 

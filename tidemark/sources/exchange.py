@@ -24,13 +24,14 @@ def request_windows(spark: SparkSession, start: int, end: int, step_ms: int, mos
 
 
 def klines(payloads: DataFrame, provider: str, price_only: bool = False) -> DataFrame:
-    """(symbol, open_time, open, high, low, close, volume, quote_volume) of payloads (symbol, payload JSON). Short rows of price series are left out."""
+    """(symbol, open_time, open, high, low, close, volume, quote_volume) of payloads (symbol, payload JSON). Short rows of price series are left out, and rows without a readable time; other numbers that cannot be read are null."""
     text = F.get_json_object("payload", "$.result.list") if provider == "a" else F.col("payload")
     rows = payloads.select("symbol", F.explode(F.from_json(text, "array<array<string>>")).alias("x"))
     if price_only:
         rows = rows.where(F.size("x") >= 5)
-    at = lambda i, kind="double": F.try_element_at("x", F.lit(i + 1)).cast(kind)
+    at = lambda i, kind="double": F.try_element_at("x", F.lit(i + 1)).try_cast(kind)
     volume = [F.lit(0.0), F.lit(0.0)] if price_only else [at(5), at(PLACES[provider])]
+    rows = rows.where(at(0, "bigint").isNotNull())
     return rows.select("symbol", at(0, "bigint").alias("open_time"), at(1).alias("open"), at(2).alias("high"), at(3).alias("low"), at(4).alias("close"), volume[0].alias("volume"), volume[1].alias("quote_volume"))
 
 
@@ -44,7 +45,7 @@ def points(payloads: DataFrame, provider: str, what: str) -> DataFrame:
     else:
         names = ("fundingRateTimestamp" if provider == "a" else "fundingTime", "fundingRate", "funding_time", "funding_rate")
     rows = payloads.select("symbol", F.explode(F.from_json(text, "array<map<string,string>>")).alias("x"))
-    out = rows.select("symbol", F.try_element_at("x", F.lit(names[0])).cast("bigint").alias(names[2]), F.try_element_at("x", F.lit(names[1])).cast("double").alias(names[3]))
+    out = rows.select("symbol", F.try_element_at("x", F.lit(names[0])).try_cast("bigint").alias(names[2]), F.try_element_at("x", F.lit(names[1])).try_cast("double").alias(names[3]))
     return out.where(F.col(names[2]).isNotNull() & F.col(names[3]).isNotNull())
 
 

@@ -14,13 +14,15 @@ FRAME = f"op string, topic string, ts bigint, data array<struct<{_ROW.replace('
 
 
 def closed_bars(frames: DataFrame, topics: list[str] | None = None) -> DataFrame:
-    """Closed bars of JSON frames (value). Control frames, other topics, bad JSON and bars that are not confirmed are left out."""
+    """Closed bars of JSON frames (value). Control frames, other topics, bad JSON, bars that are not confirmed and bars with a price that cannot be read are left out."""
     x = frames.select(F.from_json("value", FRAME, {"mode": "PERMISSIVE"}).alias("x")).select("x.*").where(F.col("op").isNull() & F.col("topic").startswith("kline."))
     if topics is not None:
         x = x.where(F.col("topic").isin(topics))
     rows = x.select("topic", "ts", F.explode("data").alias("r")).where("r.confirm")
     part = F.split("topic", r"\.")
-    price = lambda c: F.col(f"r.{c}").cast("double")
+    price = lambda c: F.col(f"r.{c}").try_cast("double")
+    for c in ("open", "high", "low", "close"):
+        rows = rows.where(price(c).isNotNull())
     return rows.where(F.size(part) >= 3).select("topic", part[2].alias("symbol"), part[1].alias("interval"), F.col("r.start").alias("start_ms"), F.col("r.end").alias("end_ms"), price("open").alias("open_price"), price("high").alias("high_price"), price("low").alias("low_price"), price("close").alias("close_price"), F.coalesce(price("volume"), F.lit(0.0)).alias("volume"), F.coalesce("ts", "r.timestamp", "r.end").alias("source_ts_ms"))
 
 
