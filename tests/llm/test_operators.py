@@ -108,6 +108,21 @@ def test_jaccard_many_mutual_links(spark):
     assert {r["component_id"] for r in got if r["n_shingles"]} == {0}
 
 
+def test_jaccard_frequent_tokens(spark, monkeypatch):
+    """Tokens that very many nodes have are counted apart and their nodes meet in parts; rows without an id are linked too."""
+    monkeypatch.setattr("tidemark.llm.jaccard_join.PART_NODES", 4)
+    rng = random.Random(12)
+    base = words(rng, 100)
+    rows = [(i, " ".join([*base[: 10 + i % 7], f"e{i}", *base[10 + i % 7 :]])) for i in range(60)]
+    rows += [(100 + i, " ".join(words(rng, 80))) for i in range(20)]
+    alone = words(rng, 90)
+    rows += [(None, " ".join(alone)), (None, " ".join([*alone, "tail"])), (200, " ".join([*alone, "other"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("text_hash", F.lit("clash")).repartition(5)
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in jaccard_join.components(docs, k=3, num=90).collect())
+    want = [(str(i), "0") for i in range(60)] + [(str(i), str(i)) for i in range(100, 120)] + [("None", "200"), ("None", "200"), ("200", "200")]
+    assert got == sorted(want)
+
+
 def test_drop_near_duplicates(docs, corpus):
     kept = jaccard_join.drop_near_duplicates(docs)
     assert kept.columns == docs.columns

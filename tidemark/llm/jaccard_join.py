@@ -6,22 +6,25 @@
    and a node that has fewer than ``l`` such tokens can have no partner. The rest are ordered by how many nodes have
    them, rarest first, and all but the last ``l - 1`` name the node's routes. Nodes that share a route belong to one block
    (connected components), so every link lies inside a block, and passages that many documents share seldom join blocks.
-3. A block is cut into chunks by size class and hash, of about ``chunk_tokens`` tokens. Signature trees over the chunks are joined
+   Tokens that very many nodes have are counted apart with partial sums, and their nodes meet in parts.
+3. A block is one chunk, or where it is large cut into chunks by size class and hash, of about ``chunk_tokens`` tokens. Signature trees over the chunks are joined
    by dual traversal: first each chunk with itself and with its classes' first chunks, then the pairs of chunks that are
-   not yet all one component. Links found are verified on the whole sets and give the components.
+   not yet all one component. Links found are verified on the whole sets and give the components. Whole sets are made from the
+   texts where a task needs them, and never stored.
 
 No pairs of a group are emitted, only the links that span its components or, where links are counted, each set's number of
 them; nothing is capped, and no step gathers a block.
 
 Defined cases: null text, or text without words, has the empty set (size 0) and is linked with nothing; fewer than k
 words make one shingle of the whole sequence; rows that repeat an id are rows of their own that end in the same result if their
-texts are equal; rows without an id are linked through equal sets only; an empty table gives an empty result.
+texts are equal; rows without an id are linked like all others, and have no id to give to their component; texts of any length are read whole; of ties
+the smallest id names the component; an empty table gives an empty result; only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,8 +48,13 @@ def sure(n: int) -> int:
     return max(1, n // 10)
 
 
-def shingle_sets(docs: DataFrame, k: int, num: int, den: int, whole: bool = False, mark: list[Column] = ()) -> DataFrame:
-    """(doc_id, n, h1, h2, need, tokens): the set's size and two hashes, and its sorted prefix (the whole set if ``whole``). A column of longs given as ``mark`` comes along."""
+def text_hash(text: str = "text") -> Column:
+    """What identifies a row's text beside its id: null and empty texts are one."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
+def shingle_sets(docs: DataFrame, k: int, num: int, den: int, whole: bool = False, along: list[str] = ()) -> DataFrame:
+    """(doc_id, n, h1, h2, need, tokens): the set's size and two hashes, and its sorted prefix (the whole set if ``whole``). The columns of longs named in ``along`` come along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,32 +72,62 @@ def shingle_sets(docs: DataFrame, k: int, num: int, den: int, whole: bool = Fals
                 flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
                 at = np.concatenate(([0], np.cumsum([len(t) for t in tokens])))
                 arrays = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64()))
-                marks = [c.slice(lo, hi - lo) for c in batch.columns[2:]]
-                names = ["doc_id", "n", "h1", "h2", "need", "tokens", *["mark"][: len(marks)]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(need, pa.int32()), arrays, *marks], names)
+                more = [c.slice(lo, hi - lo) for c in batch.columns[2:]]
+                names = ["doc_id", "n", "h1", "h2", "need", "tokens", *along]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(need, pa.int32()), arrays, *more], names)
+
+    schema = ", ".join([SET, "need int, tokens array<long>", *(f"{c} long" for c in along)])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *along).mapInArrow(run, schema)
+
+
+#: Nodes of one token that meet in one group; a token with more of them meets in parts whose smallest nodes meet.
+PART_NODES = 10_000
+#: Tokens that the sketch of frequent ones names, and items that it tracks in each task.
+FREQUENT, TRACKED = 1_000, 16_384
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *mark).mapInArrow(run, f"{SET}, need int, tokens array<long>{', mark long' if mark else ''}")
+def counted_tokens(tokens: DataFrame) -> DataFrame:
+    """(node, need, token, df): the tokens (node, need, token) that two nodes or more have, with their number of nodes.
+
+    Tokens that a sketch of bounded size names as frequent are counted by partial sums and joined back by broadcast (``FREQUENT``
+    rows at most); all others by windows. The counts are exact whatever the sketch names.
+    """
+    named = tokens.agg(F.expr(f"approx_top_k(token, {FREQUENT}, {TRACKED})").alias("top")).select(F.explode("top.item").alias("token"))
+    named = cut(named)
+    frequent = tokens.join(F.broadcast(named), "token", "left_semi")
+    counts = cut(frequent.groupBy("token").agg(F.count("*").alias("df")))
+    frequent = frequent.join(F.broadcast(counts), "token").select("node", "need", "token", "df")
+    others = tokens.join(F.broadcast(named), "token", "left_anti").withColumn("df", F.count("*").over(Window.partitionBy("token")))
+    return others.unionByName(frequent).where("df > 1")
 
 
 def blocks_of(nodes: DataFrame) -> DataFrame:
     """(node, component): nodes that may have links, by block. nodes: (node, need, tokens)."""
-    tokens = nodes.select("node", "need", F.explode("tokens").alias("token"))
-    shared = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    shared = counted_tokens(nodes.select("node", "need", F.explode("tokens").alias("token")))
     rare = shared.groupBy("node").agg(F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).where(F.size("t") >= F.col("need"))
-    routes = rare.select("node", F.explode(F.slice("t", F.lit(1), F.size("t") - F.col("need") + 1)).alias("t")).select("node", F.col("t.token").alias("token"))
-    edges = routes.withColumn("low", F.min("node").over(Window.partitionBy("token"))).where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    routes = rare.select("node", F.explode(F.slice("t", F.lit(1), F.size("t") - F.col("need") + 1)).alias("t")).select("node", F.col("t.token").alias("token"), F.col("t.df").alias("df"))
+    parts = F.ceil(F.col("df") / PART_NODES)
+    routes = routes.select("node", "token", (parts > 1).alias("many"), F.pmod(F.xxhash64("node"), parts).alias("part"))
+    met = cut(routes.withColumn("low", F.min("node").over(Window.partitionBy("token", "part"))).where("node > low OR many").select("node", "token", "low", "many").distinct())
+    lows = met.where("many").select("token", "low").distinct().withColumn("least", F.min("low").over(Window.partitionBy("token")))
+    edges = met.select(F.col("node").alias("a"), F.col("low").alias("b")).unionByName(lows.select(F.col("low").alias("a"), F.col("least").alias("b")))
     return connected_components(edges)
 
 
-def chunk_links(members: DataFrame, tasks: DataFrame, num: int, den: int, counted: bool = False) -> DataFrame:
-    """(a, b): links that the tree joins of the tasks (block, c1, c2) find. members: (node, block, chunk, label, tokens).
+#: Gives members (task, side, node, label and what else they have) their column tokens.
+Sets = Callable[[DataFrame], DataFrame]
+
+
+def chunk_links(members: DataFrame, tasks: DataFrame, num: int, den: int, counted: bool = False, sets: Sets | None = None) -> DataFrame:
+    """(a, b): links that the tree joins of the tasks (block, c1, c2) find. members: (node, block, chunk, label, tokens or what ``sets`` makes them from).
 
     ``counted``: instead (node, n), the summed labels of all sets that are similar to the node's in each task.
     """
     left = tasks.select("block", "c1", "c2", F.col("c1").alias("chunk"), F.when(F.col("c1") == F.col("c2"), 2).otherwise(0).alias("side"))
     right = tasks.where("c1 <> c2").select("block", "c1", "c2", F.col("c2").alias("chunk"), F.lit(1).alias("side"))
     rows = members.join(left.unionByName(right), ["block", "chunk"])
-    rows = rows.select(F.xxhash64("block", "c1", "c2").alias("task"), "side", "node", "label", "tokens")
+    rows = rows.withColumn("task", F.xxhash64("block", "c1", "c2")).withColumn("side", F.col("side").cast("long"))
+    rows = (rows if sets is None else sets(rows)).select("task", "side", "node", "label", "tokens")
     names = ["node", "n"] if counted else ["a", "b"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,11 +150,11 @@ def chunk_links(members: DataFrame, tasks: DataFrame, num: int, den: int, counte
         if len(held) < 2:
             return []
         ids = list(held)
-        side, label, sets = zip(*held.values(), strict=True)
+        side, label, own = zip(*held.values(), strict=True)
         if counted:
-            n = signature_tree.degrees(list(sets), np.array(side), np.array(label), num, den)
+            n = signature_tree.degrees(list(own), np.array(side), np.array(label), num, den)
             return [(ids[i], int(n[i])) for i in np.flatnonzero(n).tolist()]
-        return [(ids[i], ids[j]) for i, j in signature_tree.links(list(sets), np.array(side), np.array(label), num, den)]
+        return [(ids[i], ids[j]) for i, j in signature_tree.links(list(own), np.array(side), np.array(label), num, den)]
 
     def pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
         a, b = zip(*found, strict=True) if found else ((), ())
@@ -133,24 +171,31 @@ def all_chunk_pairs(members: DataFrame) -> DataFrame:
     return met.select("l.block", F.col("l.chunk").alias("c1"), F.col("r.chunk").alias("c2"))
 
 
-def placed_in_chunks(nodes: DataFrame, num: int, den: int, chunk_tokens: int) -> DataFrame:
-    """The nodes (node, block, n, ...) with their size class and chunk: about chunk_tokens tokens of one class by hash. Similar sets lie in the same or neighbouring classes."""
+def placed_in_chunks(nodes: DataFrame, num: int, den: int, chunk_tokens: int, whole_blocks: bool = False) -> DataFrame:
+    """The nodes (node, block, n, ...) with their size class and chunk: about chunk_tokens tokens of one class by hash. Similar sets lie in the same or neighbouring classes.
+
+    ``whole_blocks``: a block of no more than ``chunk_tokens`` tokens is one class and one chunk, so that each of its sets is sent once.
+    """
     size_class = F.floor(F.log("n") / (1.02 * math.log(den / num))).cast("int")
-    nodes = cut(nodes.withColumn("class", size_class))
+    if whole_blocks:
+        sizes = nodes.groupBy("block").agg(F.sum("n").alias("block_tokens"))
+        nodes = nodes.join(sizes, "block")
+        size_class = F.when(F.col("block_tokens") > chunk_tokens, size_class).otherwise(0)
+    nodes = cut(nodes.withColumn("class", size_class).drop("block_tokens"))
     counts = nodes.groupBy("block", "class").agg(F.sum("n").alias("class_tokens"))
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("class_tokens") / chunk_tokens))
     return nodes.join(counts, ["block", "class"]).withColumn("chunk", F.concat_ws(":", F.lpad("class", 4, "0"), F.lpad(part.cast("string"), 9, "0"))).drop("class_tokens")
 
 
-def tree_components(members: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """(links (a, b), components (node, component)) of members (node, block, chunk, class, tokens), by tree joins of their chunks."""
+def tree_components(members: DataFrame, num: int, den: int, sets: Sets | None = None) -> tuple[DataFrame, DataFrame]:
+    """(links (a, b), components (node, component)) of members (node, block, chunk, class, tokens or what ``sets`` makes them from), by tree joins of their chunks."""
     chunks = members.select("block", "chunk", "class").distinct()
     hubs = chunks.groupBy("block", "class").agg(F.min("chunk").alias("hub"))
     near = F.abs(F.col("l.class") - F.col("r.class")) <= 1
     selfs = chunks.select("block", F.col("chunk").alias("c1"), F.col("chunk").alias("c2"))
     to_hub = chunks.alias("l").join(hubs.alias("r"), F.col("l.block") == F.col("r.block")).where(near & (F.col("l.chunk") != F.col("r.hub"))).select("l.block", F.least("l.chunk", "r.hub").alias("c1"), F.greatest("l.chunk", "r.hub").alias("c2"))
     first = cut(selfs.unionByName(to_hub).distinct())
-    links = cut(chunk_links(members.withColumn("label", F.col("node")), first, num, den))
+    links = cut(chunk_links(members.withColumn("label", F.col("node")), first, num, den, sets=sets))
     joined = connected_components(links)
     labels = members.join(joined, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     range_of = labels.groupBy("block", "chunk", "class").agg(F.min("label").alias("low"), F.max("label").alias("high"))
@@ -158,32 +203,39 @@ def tree_components(members: DataFrame, num: int, den: int) -> tuple[DataFrame,
     rest = rest.where((F.col("l.low") != F.col("l.high")) | (F.col("r.low") != F.col("r.high")) | (F.col("l.low") != F.col("r.low"))).select("l.block", F.col("l.chunk").alias("c1"), F.col("r.chunk").alias("c2"))
     rest = cut(rest.join(first, ["block", "c1", "c2"], "left_anti"))
     if not rest.isEmpty():
-        links = cut(links.unionByName(chunk_links(labels, rest, num, den)))
+        links = cut(links.unionByName(chunk_links(labels, rest, num, den, sets=sets)))
         joined = connected_components(links)
     return links, joined
 
 
-def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, chunk_tokens: int = 400_000, count_links: bool = False, mark: list[Column] = ()) -> DataFrame:
+def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, chunk_tokens: int = 400_000, count_links: bool = False, mark: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id): documents linked where den * intersection >= num * union of their shingle sets.
 
     ``count_links`` adds n_links, the number of other rows that the document is linked with, copies included: then all
     similar pairs of different sets are visited (and only counted), where otherwise those inside a component already
-    found are passed over. With ``mark``, a column of longs, the row's mark and whether its component ``keeps`` it are added: that
+    found are passed over. With ``mark`` the row's text_hash and whether its component ``keeps`` it are added: that
     is one row of each component, of the smallest doc_id (nulls last), and every row of the empty set.
     """
-    rows = cut(shingle_sets(docs, k, num, den, mark=mark).withColumn("row", F.monotonically_increasing_id()))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_hash().alias("text_hash"))
+    rows = cut(shingle_sets(docs, k, num, den, along=["text_hash"]).withColumn("row", F.monotonically_increasing_id()))
     key = ["h1", "h2", "n"]
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("m")
     equal = rows.where("n > 0").groupBy(*key).agg(first, F.count("*").alias("copies"))
-    equal = equal.select(*key, F.col("m.doc_id").alias("first"), F.col("m.row").alias("node"), "copies")
-    nodes = rows.join(equal.withColumnRenamed("node", "row").select("row", "first"), "row")
-    blocks = blocks_of(nodes.select(F.col("row").alias("node"), "need", "tokens"))
-    placed = blocks.join(nodes.select(F.col("row").alias("node"), *key, "doc_id"), "node").withColumnRenamed("component", "block")
-    placed = placed_in_chunks(placed, num, den, chunk_tokens)
-    wanted = docs.join(side_of_ids(cut(placed.select("doc_id").distinct())), "doc_id", "left_semi")
-    sets = shingle_sets(wanted, k, num, den, whole=True).select("doc_id", *key, "tokens")
-    members = cut(placed.join(sets, ["doc_id", *key]).select("node", "block", "chunk", "class", "tokens"))
-    joined = tree_components(members, num, den)[1]
+    equal = cut(equal.select(*key, F.col("m.doc_id").alias("first"), F.col("m.row").alias("node"), "copies"))
+    nodes = rows.join(side_of_ids(equal.select(F.col("node").alias("row"))), "row", "left_semi").withColumnRenamed("row", "node")
+    blocks = blocks_of(nodes.select("node", "need", "tokens"))
+    placed = blocks.withColumnRenamed("component", "block").join(nodes.select("node", "n", "doc_id", "text_hash"), "node")
+    members = placed_in_chunks(placed, num, den, chunk_tokens, whole_blocks=True)
+    members = cut(members.select("node", "block", "chunk", "class", "doc_id", "text_hash"))
+    wanted = docs.join(side_of_ids(cut(members.select("text_hash").distinct())), "text_hash", "left_semi")
+
+    def sets(tasks: DataFrame) -> DataFrame:
+        """Each row's whole set, made from its text again."""
+        same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.text_hash") == F.col("t.text_hash"))
+        found = wanted.alias("d").join(tasks.alias("t"), same).select("d.doc_id", "d.text", "task", "side", "node", "label")
+        return shingle_sets(found, k, num, den, whole=True, along=["task", "side", "node", "label"])
+
+    joined = tree_components(members, num, den, sets)[1]
     of_node = equal.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best = F.min(F.struct(F.col("first").isNull().alias("no"), "first", "node")).alias("best")
     least = of_node.groupBy("component").agg(best).select("component", F.col("best.first").alias("component_id"), F.col("best.node").alias("best"))
@@ -192,13 +244,13 @@ def components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, chunk
     out = ["doc_id", F.col("n").alias("n_shingles"), component]
     if count_links:
         weighed = members.join(equal.select("node", F.col("copies").alias("label")), "node")
-        counted = chunk_links(weighed, all_chunk_pairs(members), num, den, counted=True).groupBy("node").agg(F.sum("n").alias("others"))
+        counted = chunk_links(weighed, all_chunk_pairs(members), num, den, counted=True, sets=sets).groupBy("node").agg(F.sum("n").alias("others"))
         named = named.join(counted, "node", "left")
         links = F.coalesce(F.col("copies") - 1 + F.coalesce("others", F.lit(0)), F.lit(0)).cast("long")
         out.append(links.alias("n_links"))
     if mark:
-        out += ["mark", F.when(F.col("n") > 0, F.col("row") == F.col("best")).otherwise(True).alias("keeps")]
-    return rows.select("doc_id", *key, *["row", "mark"][: 2 * len(mark)]).join(named.drop("node"), key, "left").select(*out)
+        out += ["text_hash", F.when(F.col("n") > 0, F.col("row") == F.col("best")).otherwise(True).alias("keeps")]
+    return rows.select("doc_id", *key, "row", "text_hash").join(named.drop("node"), key, "left").select(*out)
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -208,13 +260,12 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     Where the row to keep is repeated as it is or with other values beside its text, one of them stays. Null ids come
     after all others; documents without words stay, all of them; an empty table stays empty; columns of any name are kept.
     """
-    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    found = components(docs, mark=[text.alias("mark")], **options).where("n_shingles > 0")
+    found = components(docs, mark=True, **options).where("n_shingles > 0").withColumnRenamed("text_hash", "mark")
     found = cut(found.groupBy("doc_id", "mark").agg(F.bool_or("keeps").alias("keeps"), F.count("*").alias("rows")).where("NOT keeps OR rows > 1"))
     names = {c: F.col(f"d.`{c}`") for c in docs.columns}
 
     def of(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (F.xxhash64(F.coalesce(F.col("d.text").cast("string"), F.lit(""))) == F.col("k.mark"))
+        same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("k.doc_id")) & (text_hash("d.text") == F.col("k.mark"))
         return rows.alias("d").join(side_of_ids(keys).alias("k"), same, how)
 
     repeated = found.where("keeps")
