@@ -145,6 +145,8 @@ def chunk_links(members: DataFrame, tasks: DataFrame, num: int, den: int, counte
                 held.setdefault(int(node[r]), (side[r], label[r], flat[at[r] : at[r + 1]].copy()))
             yield pairs(found)
         yield pairs(joined(held))
+        held.clear()
+        pa.default_memory_pool().release_unused()
 
     def joined(held: dict[int, tuple]) -> list[tuple[int, int]]:
         if len(held) < 2:

@@ -47,11 +47,20 @@ class Node:
         self.least_bits = int(bits[items].min())
 
 
+#: Cells of the table of single bits that are held before they are packed.
+CELLS = 1 << 22
+
+
 def bitmaps(sets: list[np.ndarray], n_bits: int) -> np.ndarray:
-    flat = np.zeros((len(sets), n_bits), dtype=bool)
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    flat[rows, (np.concatenate(sets).view(np.uint64) & np.uint64(n_bits - 1)).astype(np.int64)] = True
-    return np.packbits(flat, axis=1).view(np.uint64)
+    maps = np.empty((len(sets), n_bits // 64), dtype=np.uint64)
+    step = max(1, CELLS // n_bits)
+    for lo in range(0, len(sets), step):
+        own = sets[lo : lo + step]
+        flat = np.zeros((len(own), n_bits), dtype=bool)
+        rows = np.repeat(np.arange(len(own)), [len(s) for s in own])
+        flat[rows, (np.concatenate(own).view(np.uint64) & np.uint64(n_bits - 1)).astype(np.int64)] = True
+        maps[lo : lo + step] = np.packbits(flat, axis=1).view(np.uint64)
+    return maps
 
 
 def build(items: np.ndarray, sizes: np.ndarray, maps: np.ndarray, bits: np.ndarray) -> Node:
