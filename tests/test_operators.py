@@ -228,12 +228,63 @@ def test_store_and_sync(spark, tmp_path):
     store.replace_features(frame)
     store.replace_features(frame.where("symbol = 'X'").withColumn("f", F.lit(0.9)))
     assert {r["symbol"]: r["f"] for r in store.load_features(["X", "Y"]).collect()} == {"X": 0.9, "Y": 0.7}
-    with pytest.raises(LookupError):
-        store.load_features(["Z"])
+    with pytest.warns(UserWarning, match="no features of Z"):
+        assert store.load_features(["Z"]).count() == 0
+    with pytest.warns(UserWarning, match="no feature table"):
+        assert tables.Store(spark, str(tmp_path / "none")).load_features(["X"]).columns == ["symbol", "ts"]
     assert tables.keep_last(frame.unionByName(frame.withColumn("ts", F.lit(5).cast("long"))), ["symbol"], "ts").select("ts").distinct().first()[0] == 5
 
 
+def test_series_windows(spark):
+    wanted = spark.createDataFrame([("A", "1h", 10, 0, 95, 20), ("B", "1h", 10, 0, 95, None), ("C", "1h", 10, 0, 95, 0), ("D", "1h", 10, 0, 95, 200), ("E", "1h", 10, None, 95, None), ("F", "4h", 40, 0, None, 0)], "symbol string, timeframe string, step_ms long, start long, end long, listed long")
+    marks = spark.createDataFrame([("B", "1h", 50), ("C", "1h", 90), ("A", "4h", 90)], "symbol string, timeframe string, last long")
+    state = spark.createDataFrame([("B", "1h", 70)], "symbol string, timeframe string, last_checked_ts long")
+    got = lambda m, s, most=3: sorted((r["symbol"], r["k"], r["start"], r["end"]) for r in tables.series_windows(wanted, m, s, most).collect())
+    # A begins where it was listed, B behind what was checked, C is up to date, D was listed later, E and F lack an end or a start
+    assert got(marks, state) == [("A", 0, 20, 40), ("A", 1, 50, 70), ("A", 2, 80, 95), ("B", 0, 80, 95)]
+    assert [x for x in got(marks, state.limit(0), 1) if x[0] == "B"] == [("B", k, 60 + 10 * k, 60 + 10 * k) for k in range(4)]
+    assert len(got(marks.drop("timeframe").where("symbol = 'C'"), state.limit(0), 100)) == 2  # A and B from their starts
+    assert got(marks.limit(0), state.limit(0), 100)[0] == ("A", 0, 20, 95)
+    assert tables.series_windows(wanted.limit(0), marks, state).count() == 0
+
+
+def test_sync_all(spark, tmp_path):
+    store = tables.Store(spark, str(tmp_path))
+    kind = tables.SCHEMAS["candles"]
+    bar = lambda s, i: (s, "1h", i * HOUR, 1.0, 2.0, 0.5, 1.0, 1.0, 1.0)
+    store.insert_new("candles", spark.createDataFrame([bar("A", 0), bar("A", 1), bar("C", 0)], kind))
+    asked, has, down = [], {"A": 3, "B": 5, "C": 0, "D": 9}, {"D"}
+
+    def fetch(windows):
+        asked.append(sorted((r["symbol"], r["start"] // HOUR, r["end"] // HOUR) for r in windows.collect()))
+        rows = [bar(s, i) for s, a, b in asked[-1] for i in range(a, b + 1) if i <= has[s]]
+        return spark.createDataFrame([*rows, *rows[:1], *[(s, "1h", *[None] * 7) for s in down]], kind)
+
+    def run(end):
+        wanted = spark.createDataFrame([(s, "1h", HOUR, 0, end * HOUR) for s in "ABCD"], "symbol string, timeframe string, step_ms long, start long, end long")
+        return {r["symbol"]: (r["added"], r["failed"]) for r in tables.sync_all(store, "candles", wanted, fetch, 4).collect()}
+
+    assert run(5) == {"A": (2, False), "B": (6, False), "C": (0, False), "D": (0, True)}
+    assert asked[0] == [("A", 2, 5), ("B", 0, 3), ("B", 4, 5), ("C", 1, 4), ("C", 5, 5), ("D", 0, 3), ("D", 4, 5)]
+    state = store.read("data_sync_state").collect()
+    assert [(r["symbol"], r["empty_since_ts"], r["last_checked_ts"]) for r in state] == [("C", HOUR, 5 * HOUR)]
+    down.clear()
+    has["C"] = 7
+    assert run(5) == {"A": (0, False), "D": (6, False)}  # B is full, C known to be empty up to there
+    assert run(7) == {"A": (0, False), "B": (0, False), "C": (2, False), "D": (2, False)}
+    assert {r["symbol"] for r in store.read("data_sync_state").collect()} == {"A", "B"}  # C is forgotten again
+    assert asked[2] == [("A", 6, 7), ("B", 6, 7), ("C", 6, 7), ("D", 6, 7)]
+    assert store.bounds("candles").where("symbol = 'D'").first()["n"] == 8
+    rates = tables.Store(spark, str(tmp_path / "rates"))
+    answer = lambda w: w.select("symbol", F.col("start").alias("funding_time"), F.lit(0.1).alias("funding_rate"))
+    wanted = spark.createDataFrame([("A", "", HOUR, 0, HOUR)], "symbol string, timeframe string, step_ms long, start long, end long")
+    assert tables.sync_all(rates, "funding_rates", wanted, answer).first()["added"] == 1
+    assert tables.sync_all(rates, "funding_rates", wanted.limit(0), answer).count() == 0
+
+
 def test_payloads(spark, tmp_path):
+    assert [tuple(r) for r in exchange.request_windows(spark, 0, 50, 10, 4, listed=20).collect()] == [(0, 20, 50)]
+    assert exchange.request_windows(spark, 0, 50, 10, 4, listed=60).count() == 0
     a = json.dumps({"result": {"list": [["2", "1", "2", "0.5", "1.5", "10", "66", "7"], ["1", "1", "2", "0.5", "1.5", "10", "66", "7"]]}})
     b = json.dumps([["1", "1", "2", "0.5", "1.5", "10", "66", "7"], ["5", "1"]])
     x = spark.createDataFrame([("A", a, b)], "symbol string, payload string, other string")

@@ -12,7 +12,7 @@ from ..functions.dialect import DUCKDB, doubles
 from ..operators import feature_frame, labels, metrics, reports, simulator, training, validation
 from ..operators.asof import asof
 from ..operators.lineage import cut
-from ..sources import bars, exchange
+from ..sources import bars, exchange, tables
 from ..streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -122,6 +122,26 @@ def request_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exchange.request_windows(spark, r["a"], r["b"], bars.HOUR_MS, 10)
 
 
+_MONTH, _CHECKED, _WIDTH = 30 * 86_400_000, 5 * 86_400_000, 100
+_SYNC_SQL = f"""WITH c AS ({bars.duckdb()}), r AS (SELECT min(open_time) AS a, max(open_time) + {_MONTH} AS b FROM c),
+m AS (SELECT symbol, max(open_time) AS last, count(*) AS n FROM c GROUP BY symbol),
+w AS (SELECT symbol, b, CASE WHEN symbol = '{BENCHMARK}' THEN a ELSE last + {bars.HOUR_MS} END AS s, CASE WHEN n % 2 = 1 THEN last + {_CHECKED + bars.HOUR_MS} END AS seen FROM m, r),
+v AS (SELECT symbol, b, greatest(s, seen) AS s FROM w)
+SELECT symbol, '1h' AS timeframe, CAST(i AS INTEGER) AS k, s + i * {_WIDTH * bars.HOUR_MS} AS start, least(s + i * {_WIDTH * bars.HOUR_MS} + {(_WIDTH - 1) * bars.HOUR_MS}, b) AS "end"
+FROM (SELECT symbol, s, b, unnest(range(0, (b - s) // {_WIDTH * bars.HOUR_MS} + 1)) AS i FROM v WHERE s <= b)"""
+
+
+@query("sync_windows", _SYNC_SQL)
+def sync_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a month's sync of all series at once has to ask for: the benchmark was never stored, and symbols with an odd number of bars had an empty answer of five days."""
+    of = bars.candles(table(spark, sf_dir, "events")).groupBy("symbol").agg(F.min("open_time").alias("first"), F.max("open_time").alias("last"), F.count("*").alias("n"))
+    of = cut(of.withColumn("timeframe", F.lit("1h")))
+    span = of.agg(F.min("first").alias("start"), (F.max("last") + _MONTH).alias("end"))
+    wanted = of.select("symbol", "timeframe", F.lit(bars.HOUR_MS).cast("long").alias("step_ms")).join(F.broadcast(span))
+    state = of.where("n % 2 = 1").select("symbol", "timeframe", (F.col("last") + _CHECKED).alias("last_checked_ts"))
+    return tables.series_windows(wanted, of.where(F.col("symbol") != BENCHMARK), state, _WIDTH).drop("step_ms")
+
+
 # Labels, folds, weights
 
 _LABEL_PARTS, _LABELLED = feature_frame.duckdb_levels(_LAST, labels.label_levels(labels.Barriers(), DUCKDB), "lab")

@@ -14,8 +14,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 PLACES = {"a": 6, "b": 7}  # where an answer has the quote volume
 
 
-def request_windows(spark: SparkSession, start: int, end: int, step_ms: int, most: int = 1000) -> DataFrame:
-    """(k, start, end): windows of at most ``most`` bars, both ends included."""
+def request_windows(spark: SparkSession, start: int, end: int, step_ms: int, most: int = 1000, listed: int | None = None) -> DataFrame:
+    """(k, start, end): windows of at most ``most`` bars, both ends included; nothing is asked for before the symbol was ``listed``."""
+    start = start if listed is None else max(start, listed)
     span = step_ms * max(most - 1, 1)
     if start > end:
         return spark.createDataFrame([], "k int, start bigint, end bigint")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
+
 _PRICES = "open double, high double, low double, close double"
 SCHEMAS: dict[str, str] = {
     "candles": f"symbol string, timeframe string, open_time bigint, {_PRICES}, volume double, quote_volume double",
@@ -73,25 +76,32 @@ class Store:
 
     def insert_new(self, table: str, batch: DataFrame) -> int:
         """Appends the rows whose key is not there yet; of equal keys in the batch one stays. How many were added."""
-        keys = KEYS[table]
-        fields = [x.split(" ") for x in SCHEMAS[table].split(", ")]
-        fresh = batch.select(*[F.col(n).cast(t).alias(n) for n, t in fields]).dropDuplicates(keys).join(self.read(table).select(*keys), keys, "left_anti").select(*[n for n, _ in fields])
-        before = self.read(table).count()
-        parts = ["symbol"] if "symbol" in keys and table != "data_sync_state" else []
-        fresh.write.mode("append").partitionBy(*parts).parquet(self.path(table))
-        return self.read(table).count() - before
+        fresh = cut(self.fresh(table, batch))
+        self.append(table, fresh)
+        return fresh.count()
+
+    def fresh(self, table: str, batch: DataFrame) -> DataFrame:
+        """The rows of batch, in the table's columns, whose key the table lacks; of equal keys one stays."""
+        keys, fields = KEYS[table], [x.split(" ") for x in SCHEMAS[table].split(", ")]
+        own = batch.select(*[F.col(n).cast(t).alias(n) for n, t in fields]).dropDuplicates(keys)
+        return own.join(self.read(table).select(*keys), keys, "left_anti").select(*[n for n, _ in fields])
+
+    def append(self, table: str, rows: DataFrame) -> None:
+        parts = ["symbol"] if "symbol" in KEYS[table] and table != "data_sync_state" else []
+        rows.write.mode("append").partitionBy(*parts).parquet(self.path(table))
 
     def replace_features(self, frame: DataFrame) -> None:
         """Writes the frame's symbols anew and leaves other symbols' partitions alone."""
         frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(self.path("features"))
 
     def load_features(self, symbols: list[str]) -> DataFrame:
-        """Feature rows of symbols; raises if there are none at all."""
+        """Feature rows of symbols. Without a table, or without rows of them, a warning and an empty frame."""
         if not self.exists("features"):
-            raise LookupError("no feature table")
+            warnings.warn("no feature table", stacklevel=2)
+            return self.spark.createDataFrame([], "symbol string, ts bigint")
         rows = self.spark.read.option("mergeSchema", "true").parquet(self.path("features")).where(F.col("symbol").isin(symbols))
         if rows.isEmpty():
-            raise LookupError(f"no features of {', '.join(symbols)}")
+            warnings.warn(f"no features of {', '.join(symbols)}", stacklevel=2)
         return rows
 
     def candles_until(self, symbols: list[str], timeframe: str, step_ms: int, until: int | None = None) -> DataFrame:
@@ -160,3 +170,52 @@ def sync(store: Store, table: str, symbol: str, timeframe: str, step_ms: int, st
     since = start if latest is None else max(start, latest + step_ms)
     store.upsert("data_sync_state", key.withColumns({"empty_since_ts": F.lit(since).cast("long"), "last_checked_ts": F.lit(end).cast("long")}))
     return 0
+
+
+SERIES = ["symbol", "timeframe"]
+
+
+def series_windows(wanted: DataFrame, marks: DataFrame, state: DataFrame, most: int = 1000) -> DataFrame:
+    """(symbol, timeframe, step_ms, k, start, end): what has to be asked for, for all series in one plan, as windows of at most ``most`` bars, both ends included.
+
+    wanted: (symbol, timeframe, step_ms, start, end) and, where known, ``listed``, before which nothing is asked for. marks: (symbol, last),
+    with timeframe where the table has one: the last time stored. state: (symbol, timeframe, last_checked_ts): up to where an earlier
+    answer was empty. A series begins behind the later of both; one that is up to date has no window. Null ends have none, null starts begin behind the
+    mark only. One row a series is joined, whatever the tables' sizes.
+    """
+    if "listed" in wanted.columns:
+        wanted = wanted.withColumn("start", F.greatest("start", "listed"))
+    by = [c for c in SERIES if c in marks.columns]
+    rows = wanted.select(*SERIES, "step_ms", "start", "end").join(marks.select(*by, "last"), by, "left").join(state.select(*SERIES, "last_checked_ts"), SERIES, "left")
+    behind = F.greatest(F.coalesce(F.col("last") + F.col("step_ms"), F.col("start")), F.col("last_checked_ts") + F.col("step_ms"))
+    rows = rows.withColumn("start", behind).where("start <= end")
+    width = F.col("step_ms") * max(most, 1)
+    rows = rows.select(*SERIES, "step_ms", "end", F.posexplode(F.sequence(F.col("start"), F.col("end"), width)).alias("k", "start"))
+    return rows.select(*SERIES, "step_ms", "k", "start", F.least(F.col("start") + F.col("step_ms") * (max(most, 1) - 1), F.col("end")).alias("end"))
+
+
+def sync_all(store: Store, table: str, wanted: DataFrame, fetch, most: int = 1000) -> DataFrame:
+    """Brings all wanted series of a table up to date at once: (symbol, timeframe, start, end, added, failed) of every series that was asked for.
+
+    fetch(windows) gives the table's columns for all windows; a row without a time says that a window of its series failed. Such a series
+    adds nothing and its state stays. A series that answered but brought nothing new is remembered as checked up to its end, and
+    one that did is forgotten there. The jobs are as many for a thousand series as for one; answers are fetched once, into the shared folder.
+    ``wanted`` names a series once.
+    """
+    at, by = TIME[table], [k for k in KEYS[table] if k != TIME[table]]
+    marks = store.read(table).groupBy(*by).agg(F.max(at).alias("last"))
+    state = store.read("data_sync_state")
+    windows = cut(series_windows(wanted, marks, state.where(F.col("dataset") == table), most))
+    answers = cut(fetch(windows))
+    failed = answers.where(F.col(at).isNull()).select(*by).distinct()
+    fresh = cut(store.fresh(table, answers.where(F.col(at).isNotNull()).join(failed, by, "left_anti")))
+    asked = windows.groupBy(*SERIES, "step_ms").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    latest = answers.groupBy(*by).agg(F.max(at).alias("latest"), F.max(F.col(at).isNull()).alias("failed"))
+    added = fresh.groupBy(*by).agg(F.count("*").alias("added"))
+    result = cut(asked.join(latest, by, "left").join(added, by, "left").na.fill(0, ["added"]).na.fill(False, ["failed"]))
+    store.append(table, fresh)
+    since = F.greatest("start", F.col("latest") + F.col("step_ms"))
+    empty = result.where("added = 0 and not failed").select(F.lit(table).alias("dataset"), *SERIES, since.alias("empty_since_ts"), F.col("end").alias("last_checked_ts"))
+    told = result.where("not failed").select(F.lit(table).alias("dataset"), *SERIES)
+    store.rewrite("data_sync_state", state.join(told, KEYS["data_sync_state"], "left_anti").unionByName(empty))
+    return result.select(*SERIES, "start", "end", "added", "failed")
