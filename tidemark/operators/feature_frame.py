@@ -8,13 +8,14 @@ requested needs are not in the plan.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
 from ..functions.dialect import DUCKDB, SPARK, doubles
+from ..functions.registry import Registry
 from ..sources import bars
 from .asof import asof
 from .recursive import HTF_NAMES, MAIN_NAMES, duckdb, htf_averages, main_averages, with_averages
@@ -80,8 +81,23 @@ def build(main: DataFrame, htf: DataFrame, funding: DataFrame, premium: DataFram
     return levels(rows, last).select("symbol", "ts", *PRICES, *names)
 
 
+def build_with(registry: Registry, names: Iterable[str], settings: Mapping[str, float], frames: list[DataFrame], benchmark: str) -> DataFrame:
+    """(symbol, ts, prices, names in order): catalogue features and registered ones side by side. frames: what ``build`` takes, in its order.
+
+    Registered features are levels above the catalogue's; only the catalogue features that these or the request name are planned.
+    """
+    names = sorted(set(names))
+    own, wanted = registry.plan(names, settings)
+    return levels(build(*frames, benchmark, wanted), own).select("symbol", "ts", *PRICES, *names)
+
+
 def from_events(events: DataFrame, benchmark: str, request: fx.Request | Iterable[str] = fx.Request()) -> DataFrame:
-    return build(bars.candles(events), bars.candles(events, 4 * bars.HOUR_MS), bars.funding_rates(events), bars.premium_index(events), bars.open_interest(events), benchmark, request)
+    return build(*frames_of(events), benchmark, request)
+
+
+def frames_of(events: DataFrame) -> list[DataFrame]:
+    """Base bars, higher-timeframe bars, funding rates, premium index and open interest."""
+    return [bars.candles(events), bars.candles(events, 4 * bars.HOUR_MS), bars.funding_rates(events), bars.premium_index(events), bars.open_interest(events)]
 
 
 def duckdb_levels(first: str, which: list[dict[str, str]], prefix: str) -> tuple[list[str], str]:

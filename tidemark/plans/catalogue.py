@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import features as fx
-from ..functions.dialect import DUCKDB, doubles
+from ..functions.dialect import DUCKDB, doubles, full, zscore
+from ..functions.registry import Feature, Parameter, Registry
 from ..operators import feature_frame, labels, metrics, reports, simulator, training, validation
 from ..operators.asof import asof
 from ..operators.lineage import cut
@@ -66,6 +67,35 @@ for _name, _names in fx.BLOCKS.items():
     QUERIES[f"features_{_name}"] = (_block(sorted(_names)), features_sql(sorted(_names)))
 
 
+# A user's own features
+
+_OWN = ["close_zscore", "rsi_mean", "zscore_gap", "breadth_push"]
+
+
+def own_features() -> Registry:
+    """Four features that no part of the library knows: two with a window, one on both of them and held back, one on an interaction."""
+    n = Parameter("zscore_bars", 20, 5, 200)
+    return Registry().register(
+        Feature("zscore_gap", "own", "close_zscore - (rsi_mean - 50) / {scale}", (Parameter("scale", 25.0, 1.0),), shift=2),
+        Feature("close_zscore", "own", lambda zscore_bars: zscore("close", zscore_bars), (n,)),
+        Feature("rsi_mean", "own", lambda rsi_bars: full("avg", "rsi_1h", rsi_bars), (Parameter("rsi_bars", 8, 2, 12),)),
+        Feature("breadth_push", "own", "market_directional_pressure_1h * {weight}", (Parameter("weight", 2.0),)),
+    )
+
+
+_OWN_SQL = f"""{FRAME_SQL}, own1 AS (SELECT symbol, ts, market_directional_pressure_1h * 2.0 AS breadth_push,
+CASE WHEN count(close) OVER z = 30 THEN (close - avg(close) OVER z) / nullif(stddev_samp(close) OVER z, 0) END AS close_zscore, CASE WHEN count(rsi_1h) OVER r = 12 THEN avg(rsi_1h) OVER r END AS rsi_mean FROM {_LAST}
+WINDOW z AS (PARTITION BY symbol ORDER BY ts ROWS 29 PRECEDING), r AS (PARTITION BY symbol ORDER BY ts ROWS 11 PRECEDING)),
+own2 AS (SELECT *, lag(close_zscore - (rsi_mean - 50) / 25.0, 2) OVER (PARTITION BY symbol ORDER BY ts) AS zscore_gap FROM own1) SELECT symbol, ts, {sql_rounded(_OWN)} FROM own2"""
+
+
+@query("registered_features", _OWN_SQL)
+def registered_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of a user's own beside the catalogue, with one window set to 30 bars and one moved to its bound of 12."""
+    frames = feature_frame.frames_of(table(spark, sf_dir, "events"))
+    return rounded(feature_frame.build_with(own_features(), _OWN, {"zscore_bars": 30, "rsi_bars": 90}, frames, BENCHMARK), ["symbol", "ts"], _OWN)
+
+
 # Bars and series
 
 
