@@ -89,17 +89,18 @@ FREQUENT, TRACKED = 1_000, 16_384
 def counted_tokens(tokens: DataFrame) -> DataFrame:
     """(node, need, token, df): the tokens (node, need, token) that two nodes or more have, with their number of nodes.
 
-    Tokens that a sketch of bounded size names as frequent are counted by partial sums and joined back by broadcast (``FREQUENT``
-    rows at most); their nodes then go through the window of all other tokens in parts. The counts are exact whatever the sketch names.
+    Tokens that a sketch of bounded size names as frequent (``FREQUENT`` at most, which come to the driver with their counts) are counted by
+    partial sums; all others by windows. The counts are exact whatever the sketch names.
     """
-    named = tokens.agg(F.expr(f"approx_top_k(token, {FREQUENT}, {TRACKED})").alias("top")).select(F.explode("top.item").alias("token"))
-    named = cut(named.withColumn("often", F.lit(True)))
-    marked = tokens.join(F.broadcast(named), "token", "left")
-    counts = cut(marked.groupBy(F.when(F.col("often"), F.col("token")).alias("token")).agg(F.count("*").alias("many"))).where("token is not null")
-    part = F.when(F.col("many").isNotNull(), F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / PART_NODES)))
-    parted = tokens.join(F.broadcast(counts), "token", "left").withColumn("part", part)
-    df = F.coalesce("many", F.count("*").over(Window.partitionBy("token", "part")))
-    return parted.select("node", "need", "token", df.alias("df")).where("df > 1")
+    named = tokens.agg(F.expr(f"approx_top_k(token, {FREQUENT}, {TRACKED})").alias("top")).first()["top"]
+    often = F.col("token").isin([x["item"] for x in named or () if x["item"] is not None])
+    others = tokens.where(~often).withColumn("df", F.count("*").over(Window.partitionBy("token")))
+    frequent = tokens.where(often)
+    counts = dict(frequent.groupBy("token").count().collect())
+    if counts:
+        held = F.map_from_arrays(*(F.lit(list(x)).cast("array<bigint>") for x in (counts.keys(), counts.values())))
+        others = others.unionByName(frequent.withColumn("df", F.try_element_at(held, F.col("token"))))
+    return others.where("df > 1")
 
 
 def blocks_of(nodes: DataFrame) -> DataFrame:
