@@ -22,11 +22,20 @@ def keyed(events: DataFrame, step_ms: int) -> DataFrame:
     return events.select(F.col("event_type").alias("symbol"), (F.floor(ms / step_ms) * step_ms).cast("long").alias("open_time"), "ts", "event_id", "value")
 
 
+def ends() -> tuple[Column, Column]:
+    """Orders of events for a bar's first and last value: by time, and of events at one time the one of the smallest id counts at either end.
+
+    The SQL leaves that open; its engine keeps the first row of the table. Events without a value count at neither end.
+    """
+    there = F.col("value").isNotNull()
+    return F.when(there, F.struct("ts", "event_id")), F.when(there, F.struct("ts", -F.col("event_id")))
+
+
 def candles(events: DataFrame, step_ms: int = HOUR_MS) -> DataFrame:
     """(symbol, open_time, ts, open, high, low, close, volume, quote_volume); ts is the close, the time of decision."""
-    first = F.struct("ts", "event_id")
+    first, last = ends()
     return keyed(events, step_ms).groupBy("symbol", "open_time").agg(
-        F.min_by("value", first).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", first).alias("close"), F.count("*").cast("double").alias("volume"), F.sum("value").alias("quote_volume")
+        F.min_by("value", first).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", last).alias("close"), F.count("*").cast("double").alias("volume"), F.sum("value").alias("quote_volume")
     ).select("symbol", "open_time", (F.col("open_time") + step_ms).alias("ts"), "open", "high", "low", "close", "volume", "quote_volume")
 
 

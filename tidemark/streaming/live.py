@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.bars import ends
+
 _ROW = "start bigint, end bigint, open string, high string, low string, close string, volume string, confirm boolean, timestamp bigint"
 FRAME = f"op string, topic string, ts bigint, data array<struct<{_ROW.replace(' ', ':').replace(',:', ',')}>>"
 
@@ -28,11 +30,11 @@ def closed_bars(frames: DataFrame, topics: list[str] | None = None) -> DataFrame
 
 def tumbling_bars(events: DataFrame, width: str = "4 hours", late: str = "1 hour") -> DataFrame:
     """Bars of a stream (or table) of (ts, event_type, value, event_id); a bar comes out when the watermark has passed it."""
-    order = F.struct("ts", "event_id")
+    first, last = ends()
     if dict(events.dtypes)["ts"] == "timestamp_ntz":  # read as UTC, whatever the session's time zone
         events = events.withColumn("ts", F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")))
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", order).alias("close"), F.count("*").alias("volume")).select(F.col("event_type").alias("symbol"), F.col("w.start").alias("open_time"), "open", "high", "low", "close", "volume")
+    return timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.min_by("value", first).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", last).alias("close"), F.count("*").alias("volume")).select(F.col("event_type").alias("symbol"), F.col("w.start").alias("open_time"), "open", "high", "low", "close", "volume")
 
 
 def once_each(bars: DataFrame, late: str = "1 day") -> DataFrame:
