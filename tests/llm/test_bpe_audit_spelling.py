@@ -63,6 +63,17 @@ def test_segment_tree_merges_as_the_plain_loop():
             assert byte_bpe.merged(bytes(letters), ranks) == plain(bytes(letters)), letters
 
 
+def test_short_pieces_are_scanned_and_equal_the_tree(monkeypatch, library):
+    ranks = library._mergeable_ranks
+    rng = random.Random(5)
+    pieces = [bytes(rng.choice(b"abcdet in") if rng.random() < 0.9 else rng.randrange(256) for _ in range(n)) for n in range(1, 140) for _ in range(6)]
+    trees = [byte_bpe.by_tree(piece, ranks) for piece in pieces]
+    assert trees == [byte_bpe.by_scan(piece, ranks) for piece in pieces] == [tuple(library._encode_single_piece(piece)) for piece in pieces]
+    monkeypatch.setattr(byte_bpe, "put", None)  # no leaf of a tree can be changed
+    short = [piece for piece in pieces if len(piece) <= byte_bpe.SCANNED]
+    assert [byte_bpe.merged(piece, ranks) for piece in short] == [tuple(library._encode_single_piece(piece)) for piece in short]
+
+
 def test_decode_of_unknown_ids_and_bad_vocabularies(spark, tmp_path, library):
     ranks = spark.sparkContext.broadcast(byte_bpe.Vocabulary(byte_bpe.read_ranks(spark, VOCABULARY)))
     rows = [(1, [library.encode_ordinary("hi")[0]]), (2, [10**6]), (3, [-1]), (4, [1, None]), (5, None), (6, [])]

@@ -5,6 +5,7 @@ token. Otherwise it starts as single bytes; a segment tree over the byte positio
 pair that starts there (above every rank where there is none) and in each node the smallest of its leaves, the leftmost
 of equal ones. A merge takes the root's pair and changes three leaves: the merged token's own, its left neighbour's
 and that of the position that is no longer a start. So a piece of n bytes takes O(n log n) steps, however long it is.
+Pieces of at most ``SCANNED`` bytes, as words are, make no tree: the list of their pairs' ranks is scanned for the smallest.
 
 Both directions are narrow: rows are encoded where they lie, nothing is shuffled and a lost executor costs its own rows.
 The ranks are read on the driver and broadcast; a file above ``MOST_BYTES`` is refused, as a vocabulary does not grow
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 MOST_BYTES = 16_000_000
 #: Pieces in a generation of those whose ids a worker keeps, and the longest that is worth keeping.
 KEPT, KEPT_CHARS = 150_000, 40
+#: Longest piece in bytes whose pairs are scanned at each merge; a tree is slower below some 70.
+SCANNED = 64
 #: Characters of text that are encoded before a batch goes out.
 BATCH_CHARS = 2_000_000
 NONE = 1 << 62
@@ -75,6 +78,25 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     """The ids of one piece."""
     if (whole := ranks.get(piece)) is not None:
         return (whole,)
+    return by_scan(piece, ranks) if len(piece) <= SCANNED else by_tree(piece, ranks)
+
+
+def by_scan(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    """The ids of a piece by merging the leftmost pair of smallest rank, in a number of steps that grows with the square of its length."""
+    rank_of, starts = ranks.get, list(range(len(piece) + 1))
+    least = [rank_of(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]  # of each token and the next one
+    while least and (low := min(least)) < NONE:
+        at = least.index(low)
+        del starts[at + 1], least[at]
+        if at < len(least):
+            least[at] = rank_of(piece[starts[at] : starts[at + 2]], NONE)
+        if at:
+            least[at - 1] = rank_of(piece[starts[at - 1] : starts[at + 1]], NONE)
+    return tuple([ranks[piece[a:b]] for a, b in pairwise(starts)])
+
+
+def by_tree(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
+    """The same in O(n log n) steps."""
     n, rank_of = len(piece), ranks.get
     least = [NONE] * (2 * n)  # leaf n + i is for the pair that starts at i
     for i in range(n - 1):
